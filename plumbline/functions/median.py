@@ -34,15 +34,14 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
         .repartition(*keys, "_range")
     )
 
-    within_group = Window.partitionBy(*keys)
-    in_order = within_group.orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    in_group = Window.partitionBy(*keys).orderBy("_range")
+    so_far = in_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = in_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     middle = (
         counted.groupBy(*keys, "_range")
         .agg(F.sum("_n").alias("_size"))
-        .withColumn("_total", F.sum("_size").over(within_group))
-        .withColumn("_before", F.sum("_size").over(in_order) - F.col("_size"))
+        .withColumn("_total", F.sum("_size").over(whole))
+        .withColumn("_before", F.sum("_size").over(so_far) - F.col("_size"))
         # Ranks of the two middle values, counted from one inside this range.
         .withColumn("_lower", F.expr("(_total + 1) div 2") - F.col("_before"))
         .withColumn("_upper", F.expr("_total div 2 + 1") - F.col("_before"))

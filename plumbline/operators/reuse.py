@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import broadcast_join
+from plumbline.settle import settled
 
 BUCKET_WIDTH = 100
 
@@ -62,7 +62,7 @@ def by_signup(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("signup_region").agg(average.alias("avg_amount"))
 
 
-def _money():
+def _money() -> Column:
     return F.col("order_amount").cast("decimal(18,2)")
 
 
@@ -99,10 +99,9 @@ def reuse_cached(enriched: DataFrame) -> DataFrame:
     The result is checkpointed while the cache is there and comes back as a plain
     lazy frame that no longer needs it.
     """
-    ensure_checkpoint_dir(enriched.sparkSession)
     with shared(enriched.select(*_USED)) as frame:
         frame.count()
-        return _three_results(frame).checkpoint()
+        return settled(_three_results(frame))
 
 
 def reuse_grouping_sets(enriched: DataFrame) -> DataFrame:
@@ -129,18 +128,3 @@ def reuse_grouping_sets(enriched: DataFrame) -> DataFrame:
         key = F.when(here, F.col(_KEYS[name]).cast("string")).otherwise(key)
         value = F.when(here, F.col(column).cast("double")).otherwise(value)
     return grouped.select(dim.alias("dim"), key.alias("dim_key"), value.alias("value"))
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names.
-
-    Only a local session without one gets a temporary folder of its own: on a
-    cluster a machine's folder would be lost with the machine.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all machines share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
-    return context.getCheckpointDir()

@@ -26,8 +26,12 @@ def stage_rollup(
     if exclude_failed:
         tasks = tasks.where(~F.col("failed"))
 
+    ratios = {"shuffle_read_skew_ratio": "shuffle_read_bytes"}
+    if duration_skew:
+        ratios["task_duration_skew_ratio"] = "executor_run_time_ms"
+
     serde = F.col("executor_deserialize_time_ms") + F.col("result_serialization_time_ms")
-    stages = tasks.groupBy(*STAGE_KEY).agg(
+    sums = tasks.groupBy(*STAGE_KEY).agg(
         F.count(F.lit(1)).alias("num_tasks"),
         F.sum("shuffle_read_bytes").alias("total_shuffle_read_bytes"),
         F.sum("shuffle_write_bytes").alias("total_shuffle_write_bytes"),
@@ -38,15 +42,15 @@ def stage_rollup(
         F.sum("executor_run_time_ms").alias("total_executor_run_time_ms"),
         F.max("executor_run_time_ms").alias("max_task_run_time_ms"),
         F.sum(serde).alias("serde_time_ms"),
+        *_extents(ratios),
     )
 
     # Every frame joined below has one row per stage and is already partitioned by
     # the stage key from its aggregation, so the joins add no shuffle.
-    stages = stages.join(stage_shuffle_skew(tasks), STAGE_KEY, "left")
-    if duration_skew:
-        stages = stages.join(stage_duration_skew(tasks), STAGE_KEY, "left")
-    else:
-        stages = stages.withColumn("task_duration_skew_ratio", F.lit(None).cast("double"))
+    stages = sums.join(_medians(tasks, STAGE_KEY, ratios), STAGE_KEY, "left")
+    for out in ("shuffle_read_skew_ratio", "task_duration_skew_ratio"):
+        ratio = _ratio(out) if out in ratios else F.lit(None).cast("double")
+        stages = stages.withColumn(out, ratio)
 
     if stage_events is None:
         stages = stages.select(
@@ -93,13 +97,44 @@ def stage_duration_skew(tasks: DataFrame) -> DataFrame:
 
 def max_over_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``keys, out``: skew ratio of the positive values, null for fewer than two."""
-    positive = df.where(F.col(value) > 0).select(*keys, value)
-    middle = exact_median(positive, keys, value, "_median")
-    extent = positive.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(value).alias("_largest")
+    positive = df.where(F.col(value) > 0)
+    extents = positive.groupBy(*keys).agg(*_extents({out: value}))
+    middle = _medians(positive, keys, {out: value})
+    return extents.join(middle, keys).select(*keys, _ratio(out).alias(out))
+
+
+# A skew ratio has three parts: how many values are positive and the largest, from
+# an aggregation, and the median of the positive ones.
+
+
+def _extents(ratios: dict[str, str]) -> list[Column]:
+    parts = []
+    for out, value in ratios.items():
+        parts.append(F.count_if(F.col(value) > 0).alias(f"_n_{out}"))
+        parts.append(F.max(value).alias(f"_max_{out}"))
+    return parts
+
+
+def _medians(df: DataFrame, keys: list[str], ratios: dict[str, str]) -> DataFrame:
+    """Medians of the positive values of several columns, from one pass."""
+    values = F.array(
+        *[
+            F.struct(F.lit(number).alias("_of"), F.col(value).alias("_value"))
+            for number, value in enumerate(ratios.values())
+        ]
     )
-    ratio = F.when(F.col("_n") >= 2, F.col("_largest") / F.col("_median"))
-    return extent.join(middle, keys).select(*keys, ratio.alias(out))
+    stacked = df.select(*keys, F.inline(values)).where(F.col("_value") > 0)
+    found = exact_median(stacked, [*keys, "_of"], "_value", "_median")
+    return found.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_of") == number, F.col("_median"))).alias(f"_mid_{out}")
+            for number, out in enumerate(ratios)
+        ]
+    )
+
+
+def _ratio(out: str) -> Column:
+    return F.when(F.col(f"_n_{out}") >= 2, F.col(f"_max_{out}") / F.col(f"_mid_{out}"))
 
 
 def app_rollup(stages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.formatting import fmt_bytes, fmt_pct_change, pct_change
 from plumbline.operators import advice, compare, report, rollup, rules
+from plumbline.settle import settled
 from plumbline.sources import eventlog, telemetry
 
 # --- frames the queries share ------------------------------------------------
@@ -32,6 +33,14 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.app_metrics(telemetry.app_rows(spark, sf), _stages(spark, sf))
 
 
+def _settled_metrics_and_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both from one roll-up, for queries that come back to them several times."""
+    stages = settled(_stages(spark, sf))
+    metrics = rollup.app_metrics(telemetry.app_rows(spark, sf), stages)
+    findings = rules.all_findings(stages, _signals(spark, sf))
+    return settled(metrics), settled(findings)
+
+
 def _compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return telemetry.pair_rows(spark), telemetry.app_rows(spark, sf)
 
@@ -207,7 +216,7 @@ def recommendations(spark, sf):
 
 def compare_metrics(spark, sf):
     pairs, apps = _compared(spark, sf)
-    rows = compare.compare_metrics(pairs, apps, _metrics(spark, sf))
+    rows = compare.compare_metrics(pairs, apps, settled(_metrics(spark, sf)))
     return rows.select(
         "label",
         "report_name",
@@ -235,7 +244,8 @@ def compare_recommendations(spark, sf):
 
 def compare_suite(spark, sf):
     pairs, apps = _compared(spark, sf)
-    return compare.compare_suite(pairs, apps, _metrics(spark, sf), _findings(spark, sf))
+    metrics, findings = _settled_metrics_and_findings(spark, sf)
+    return compare.compare_suite(pairs, apps, metrics, findings)
 
 
 def pct_change_query(spark, sf):
@@ -272,13 +282,14 @@ def fmt_bytes_cases(spark, sf):
 
 def single_run_report(spark, sf):
     """Lines of the report of every run."""
-    return report.single_run_lines(_metrics(spark, sf), _findings(spark, sf))
+    return report.single_run_lines(*_settled_metrics_and_findings(spark, sf))
 
 
 def comparison_report(spark, sf):
     """Lines of the report of every pair."""
     pairs, apps = _compared(spark, sf)
-    return report.comparison_lines(pairs, apps, _metrics(spark, sf), _findings(spark, sf))
+    metrics, findings = _settled_metrics_and_findings(spark, sf)
+    return report.comparison_lines(pairs, settled(apps), metrics, findings)
 
 
 def suite_report(spark, sf):
