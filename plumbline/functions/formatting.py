@@ -14,7 +14,8 @@ def fmt_fixed(value: Column, digits: int) -> Column:
 
     ``format_string`` alone would round ties up, so the rounding is done first.
     """
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    text = F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    return F.when(value.isNotNull(), text)
 
 
 def fmt_bytes(n: Column) -> Column:
@@ -28,7 +29,7 @@ def fmt_bytes(n: Column) -> Column:
     for power in reversed(range(last)):
         shown = F.concat(fmt_fixed(size / 1024**power, 1), F.lit(BYTE_UNITS[power]))
         text = F.when(F.abs(size) < 1024 ** (power + 1), shown).otherwise(text)
-    return F.when(n.isNotNull(), text)
+    return text
 
 
 def pct_change(before: Column, after: Column) -> Column:
