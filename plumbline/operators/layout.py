@@ -49,6 +49,16 @@ def compact_scan(
     return spark.read.parquet(*([path] if isinstance(path, str) else path)).coalesce(target)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deal the rows out over all cores if the source has fewer partitions than that.
+
+    For work that is heavy per row after a read that cannot be split further.  A
+    source with enough partitions, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_compacted(df: DataFrame, path: str, files: int) -> None:
     """Write ``df`` as Parquet in the given number of even files."""
     df.repartition(files).write.mode("overwrite").parquet(path)

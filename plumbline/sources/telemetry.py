@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.operators.layout import spread
 from plumbline.sources.eventlog import EVENT_KINDS
 
 RUNS = 4
@@ -221,7 +222,7 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             Input_Metrics=_named(Bytes_Read="input_bytes"),
         ),
     )
-    return _as_lines(task_rows(spark, sf_dir), line)
+    return _as_lines(spread(task_rows(spark, sf_dir), "task_id"), line)
 
 
 def stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +263,7 @@ def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("final_plan").isNotNull(),
         _line("sql_update", executionId=execution, physicalPlanDescription=text),
     )
-    return _as_lines(sql_rows(spark, sf_dir), start, update, end)
+    return _as_lines(spread(sql_rows(spark, sf_dir), "execution_id"), start, update, end)
 
 
 def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
