@@ -21,6 +21,7 @@ def mixed_bucket(number: Column, seed: int, buckets: int) -> Column:
     return F.pmod(twice, F.lit(buckets)).cast("bigint")
 
 
-def row_salt(columns: list[str], salts: int) -> Column:
+def row_salt(columns: list[str], salts: Column | int) -> Column:
     """Salt in ``0 .. salts-1`` from the content of a row."""
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+    salts = salts if isinstance(salts, Column) else F.lit(salts)
+    return F.pmod(F.xxhash64(*columns), salts).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.hashing import row_salt
 from plumbline.operators.rollup import max_over_median
+from plumbline.settle import settled
 
 BROADCAST_BYTES = 100 * 1024**2
 SALTS = 20
@@ -43,6 +44,8 @@ def _variable_bytes(field: T.StructField) -> Column:
         return F.coalesce(F.octet_length(column), F.lit(0))
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    if isinstance(field.dataType, T.DecimalType):
+        return F.lit(16)
     return F.lit(0)
 
 
@@ -88,7 +91,8 @@ def salted_join(
     A key that is hot on both sides also needs ``right_salts``: the two salts
     then form a grid, and each pair of rows meets in exactly one cell.
 
-    ``hot`` (see ``hot_keys``) limits salting and copying to those keys.
+    ``hot`` (see ``hot_keys``) limits salting and copying to those keys; if it has
+    a column ``salts``, that says how many each key gets.
     """
     keys = _names(on)
     if how not in SALTABLE:
@@ -98,43 +102,61 @@ def salted_join(
     if salts < 1 or right_salts < 1:
         raise ValueError("salt counts start at 1")
 
-    # Drawn from every left column so that rows of one key differ in their salts.
-    own = row_salt(salt_by or left.columns, salts)
-    opposite = row_salt(right_salt_by or right.columns, right_salts)
-    copies = F.sequence(F.lit(0), F.lit(salts - 1))
-    opposite_copies = F.sequence(F.lit(0), F.lit(right_salts - 1))
-
+    by_left, by_right = salt_by or left.columns, right_salt_by or right.columns
+    rows, columns, own_rows = F.lit(salts), F.lit(right_salts), F.lit(salts)
     if hot is not None:
-        marked = hot.select(*keys, F.lit(True).alias("_hot"))
-        left = left.join(F.broadcast(marked), keys, "left")
-        right = right.join(F.broadcast(marked), keys, "left")
-        is_hot = F.col("_hot").isNotNull()
-        own = F.when(is_hot, own).otherwise(0)
-        opposite = F.when(is_hot, opposite).otherwise(0)
-        one = F.array(F.lit(0))
-        copies = F.when(is_hot, copies).otherwise(one)
-        opposite_copies = F.when(is_hot, opposite_copies).otherwise(one)
-
-    left = left.withColumn("_salt", own)
-    right = right.withColumn("_salt", F.explode(copies))
-    cells = [*keys, "_salt"]
+        count = F.col("salts") if "salts" in hot.columns else F.lit(salts)
+        marked = F.broadcast(hot.select(*keys, count.cast("int").alias("_salts")))
+        left, right = left.join(marked, keys, "left"), right.join(marked, keys, "left")
+        rows = F.coalesce("_salts", F.lit(1))
+        columns = F.when(F.col("_salts").isNotNull(), right_salts).otherwise(1)
+        # Null keys match nothing, so they may go anywhere: spread them as well.
+        without_key = F.lit(False)
+        for key in keys:
+            without_key = without_key | F.col(key).isNull()
+        own_rows = F.when(without_key, salts).otherwise(rows)
+
+    left = left.withColumn("_row", row_salt(by_left, own_rows))
+    right = right.withColumn("_row", F.explode(F.sequence(F.lit(0), rows - 1)))
+    cells = [*keys, "_row"]
     if right_salts > 1:
-        left = left.withColumn("_salt2", F.explode(opposite_copies))
-        right = right.withColumn("_salt2", opposite)
-        cells.append("_salt2")
-    if hot is not None:
-        left, right = left.drop("_hot"), right.drop("_hot")
-    return left.join(right, cells, how).drop("_salt", "_salt2")
+        left = left.withColumn("_column", F.explode(F.sequence(F.lit(0), columns - 1)))
+        right = right.withColumn("_column", row_salt(by_right, columns))
+        cells.append("_column")
+    left, right = left.drop("_salts"), right.drop("_salts")
+    return left.join(right, cells, how).drop("_row", "_column")
 
 
-def hot_keys(df: DataFrame, on: str | list[str], share: float = 0.01) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows.
+def hot_keys(
+    df: DataFrame, on: str | list[str], share: float = 0.01, rows_per_salt: int | None = None
+) -> DataFrame:
+    """Keys that hold at least ``share`` of all rows, with their row counts.
 
     There can be no more than ``1 / share`` of them, so they may be broadcast.
+    ``rows_per_salt`` adds how many salts bring a key down to that many rows each.
     """
     keys = _names(on)
     least = max(df.count() * share, 1)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
+    if rows_per_salt is not None:
+        found = found.withColumn("salts", F.ceil(F.col("rows") / rows_per_salt).cast("int"))
+    return found
+
+
+def skew_aware_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str | list[str],
+    how: str = "inner",
+    salt_by: list[str] | None = None,
+    share: float = 0.01,
+    rows_per_salt: int = 5_000_000,
+) -> DataFrame:
+    """Salt the keys of ``left`` that need it, and join plainly if none does."""
+    hot = settled(hot_keys(left, on, share, rows_per_salt).where("salts > 1"))
+    if hot.isEmpty():
+        return left.join(right, _names(on), how)
+    return salted_join(left, right, on, how=how, salt_by=salt_by, hot=hot)
 
 
 def key_skew_profile(df: DataFrame, on: str | list[str]) -> DataFrame:

@@ -98,13 +98,19 @@ def salted_join_rows(spark, sf):
     """Order rows with the event count of their customer; only hot customers are salted."""
     orders, events = _hot_facts(spark, sf)
     per_customer = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_events"))
+    hot = joins.hot_keys(orders, "customer_id", share=0.05, rows_per_salt=1_000)
     joined = joins.salted_join(
-        orders,
-        per_customer,
-        "customer_id",
-        how="left",
-        salt_by=["order_id"],
-        hot=joins.hot_keys(orders, "customer_id", share=0.05),
+        orders, per_customer, "customer_id", how="left", salt_by=["order_id"], hot=hot
+    )
+    return joined.select("order_id", "customer_id", "n_events")
+
+
+def skew_aware_join(spark, sf):
+    """The same with the choice of join left to the row counts."""
+    orders, events = _hot_facts(spark, sf)
+    per_customer = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_events"))
+    joined = joins.skew_aware_join(
+        orders, per_customer, "customer_id", "left", ["order_id"], rows_per_salt=1_000
     )
     return joined.select("order_id", "customer_id", "n_events")
 

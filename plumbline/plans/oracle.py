@@ -259,6 +259,11 @@ _HOT_JOIN = f"""with {_HOT_FACTS}
 select customer_id, count(*) as matched_pairs, sum(order_amount)::double as total_amount
 from hot_orders join hot_events using (customer_id) group by 1"""
 
+_HOT_LEFT_JOIN = f"""with {_HOT_FACTS}
+select order_id, customer_id, n_events
+from hot_orders left join
+  (select customer_id, count(*) as n_events from hot_events group by 1) using (customer_id)"""
+
 _DIM_JOIN = """
 select c_nationkey as signup_region, sum(o_totalprice::decimal(18, 2))::double as total
 from orders join customer on o_custkey = c_custkey group by 1"""
@@ -445,10 +450,8 @@ from (select l_partkey, sum(floor(l_discount * 100 + 0.5::double)) as discounts,
       from lineitem group by 1)""",
     "shuffle_join_hot_key": _HOT_JOIN,
     "salted_join_hot_key": _HOT_JOIN,
-    "salted_join_rows": f"""with {_HOT_FACTS}
-select order_id, customer_id, n_events
-from hot_orders left join
-  (select customer_id, count(*) as n_events from hot_events group by 1) using (customer_id)""",
+    "salted_join_rows": _HOT_LEFT_JOIN,
+    "skew_aware_join": _HOT_LEFT_JOIN,
     "dim_join_shuffle": _DIM_JOIN,
     "dim_join_broadcast": _DIM_JOIN,
     "key_skew_profile": _key_profile("orders", "o_custkey"),

@@ -55,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "shuffle_join_hot_key": fixes.shuffle_join_hot_key,
     "salted_join_hot_key": fixes.salted_join_hot_key,
     "salted_join_rows": fixes.salted_join_rows,
+    "skew_aware_join": fixes.skew_aware_join,
     "dim_join_shuffle": fixes.dim_join_shuffle,
     "dim_join_broadcast": fixes.dim_join_broadcast,
     "key_skew_profile": fixes.key_skew_profile,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.sources.files import file_listing, partitions_for
+from plumbline.sources.files import PARTITION_BYTES, file_listing, partitions_for
 
 _SQL_EVENT = "org.apache.spark.sql.execution.ui.SparkListenerSQL"
 
@@ -66,7 +66,8 @@ def read_log_lines(
         lines = lines.where(~file_path.endswith(UNFINISHED_SUFFIX))
     lines = lines.select(run_key_of(file_path).alias("run_key"), "value")
     if bytes_per_task is not None:
-        lines = lines.coalesce(partitions_for(file_listing(spark, path), bytes_per_task))
+        cores = spark.sparkContext.defaultParallelism
+        lines = lines.coalesce(partitions_for(file_listing(spark, path), bytes_per_task, cores))
     return lines
 
 
@@ -142,7 +143,7 @@ def ingest(
     path: str | list[str],
     out: str,
     include_unfinished: bool = False,
-    bytes_per_task: int = 512 * 1024**2,
+    bytes_per_task: int = PARTITION_BYTES,
 ) -> DataFrame:
     """Parse all logs below ``path`` once and keep the events at ``out`` as Parquet."""
     lines = read_log_lines(spark, path, include_unfinished, bytes_per_task)
@@ -232,10 +233,31 @@ def sql_executions(events: DataFrame) -> DataFrame:
     )
 
 
-def sql_signals(events: DataFrame) -> DataFrame:
-    """Plan signals per SQL execution, for the rules.
+# Operator names searched for in plan text.
+PLAN_FLAGS = {
+    "has_sort_merge_join": ("SortMergeJoin",),
+    "has_broadcast_join": ("BroadcastHashJoin",),
+    "has_parquet_scan": ("Scan parquet",),
+    "has_cached_scan": ("InMemoryTableScan", "InMemoryRelation"),
+}
+
 
-    The text is searched where it is read; only flags are shuffled.
+def plan_flags(plan: Column, names: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """Which operators a plan text mentions; any of its names raises a flag."""
+    flags = {}
+    for flag, spellings in names.items():
+        found = F.lit(False)
+        for spelling in spellings:
+            found = found | plan.contains(spelling)
+        flags[flag] = found
+    return flags
+
+
+def sql_signals(events: DataFrame, names: dict[str, tuple[str, ...]] = PLAN_FLAGS) -> DataFrame:
+    """Plan flags per SQL execution, for the rules.
+
+    The text is searched where it is read; only flags are shuffled.  ``names`` may
+    list more spellings, such as those of other scans, under the same flags.
     """
     started = F.col("kind") == "sql_start"
     text = F.col("physical_plan")
@@ -247,50 +269,32 @@ def sql_signals(events: DataFrame) -> DataFrame:
         "execution_id",
         started.alias("_started"),
         is_final.alias("_final"),
-        *[flag.alias(name) for name, flag in plan_flags(plan).items()],
+        *[flag.alias(name) for name, flag in plan_flags(plan, names).items()],
     )
     return (
         flagged.where("_started or _final")
         .groupBy("run_key", "execution_id")
         .agg(
             F.max("_started").alias("_any_start"),
-            *[F.max(F.when(F.col("_started"), F.col(f))).alias(f) for f in PLAN_FLAGS],
-            *[F.max(F.when(F.col("_final"), F.col(f))).alias("final_" + f) for f in PLAN_FLAGS],
+            *[F.max(F.when(F.col("_started"), F.col(f))).alias(f) for f in names],
+            *[F.max(F.when(F.col("_final"), F.col(f))).alias("final_" + f) for f in names],
         )
         .where("_any_start")
         .select(
             "run_key",
             "execution_id",
-            *PLAN_FLAGS,
-            *[F.coalesce("final_" + f, f).alias("final_" + f) for f in PLAN_FLAGS],
+            *names,
+            *[F.coalesce("final_" + f, f).alias("final_" + f) for f in names],
         )
     )
 
 
-# Operator names searched for in plan text.
-PLAN_FLAGS = {
-    "has_sort_merge_join": ("SortMergeJoin",),
-    "has_broadcast_join": ("BroadcastHashJoin",),
-    "has_parquet_scan": ("Scan parquet",),
-    "has_cached_scan": ("InMemoryTableScan", "InMemoryRelation"),
-}
-
-
-def plan_flags(plan: Column, patterns: dict[str, tuple[str, ...]] = PLAN_FLAGS) -> dict[str, Column]:
-    """Which of the named operators a plan text mentions."""
-    flags = {}
-    for flag, names in patterns.items():
-        found = F.lit(False)
-        for name in names:
-            found = found | plan.contains(name)
-        flags[flag] = found
-    return flags
-
-
-def signals_of(executions: DataFrame) -> DataFrame:
+def signals_of(
+    executions: DataFrame, names: dict[str, tuple[str, ...]] = PLAN_FLAGS
+) -> DataFrame:
     """``sql_signals`` for executions that are at hand with their plan text."""
-    first = plan_flags(F.col("physical_plan"))
-    last = plan_flags(F.coalesce("final_plan", "physical_plan"))
+    first = plan_flags(F.col("physical_plan"), names)
+    last = plan_flags(F.coalesce("final_plan", "physical_plan"), names)
     return executions.select(
         "run_key",
         "execution_id",

@@ -47,6 +47,23 @@ def test_salting_hot_keys_only(sides, how):
     assert same(left.join(right, "k", how), joins.salted_join(left, right, "k", 8, how, hot=hot))
 
 
+@pytest.mark.parametrize("how", joins.SALTABLE)
+def test_salts_by_size_of_the_key(sides, how):
+    left, right = sides
+    hot = joins.hot_keys(left, "k", share=0.02, rows_per_salt=8)
+    counts = {r.k: r.salts for r in hot.collect()}
+    assert counts[1] == 8 and set(counts.values()) <= {1, 2, 8}
+    assert same(left.join(right, "k", how), joins.salted_join(left, right, "k", how=how, hot=hot))
+
+
+@pytest.mark.parametrize("rows_per_salt, salted", [(8, True), (1_000, False)])
+def test_skew_aware_join(sides, rows_per_salt, salted):
+    left, right = sides
+    joined = joins.skew_aware_join(left, right, "k", "left", ["a"], 0.02, rows_per_salt)
+    assert ("explode" in plan(joined)) == salted
+    assert same(left.join(right, "k", "left"), joined)
+
+
 @pytest.mark.parametrize("hot_only", [False, True])
 def test_salting_both_sides(sides, hot_only):
     left, right = sides

@@ -122,6 +122,14 @@ def test_missing_cache(signals, plans, scans):
     assert [r.evidence["num_scanning_executions"] for r in rows] == ([scans] if scans else [])
 
 
+def test_other_scans_can_be_named(spark):
+    rows = [("r", i, "", "BatchScan orders", None, i, None) for i in range(2)]
+    plans = spark.createDataFrame(rows, schemas.SQL_EXECUTIONS)
+    assert rules.detect_missing_cache(eventlog.signals_of(plans)).isEmpty()
+    named = {**eventlog.PLAN_FLAGS, "has_parquet_scan": ("Scan parquet", "BatchScan")}
+    assert rules.detect_missing_cache(eventlog.signals_of(plans, named)).count() == 1
+
+
 def test_all_findings_and_advice(spark, stages, signals):
     bad = [{"shuffle_read_bytes": 10, "memory_bytes_spilled": 5}] * 7 + [{"shuffle_read_bytes": 40}]
     two = [dict(t, stage_id=s) for s in (1, 2) for t in bad]
