@@ -106,8 +106,10 @@ def salted_join(
     rows, columns, own_rows = F.lit(salts), F.lit(right_salts), F.lit(salts)
     if hot is not None:
         count = F.col("salts") if "salts" in hot.columns else F.lit(salts)
-        marked = F.broadcast(hot.select(*keys, count.cast("int").alias("_salts")))
-        left, right = left.join(marked, keys, "left"), right.join(marked, keys, "left")
+        marked = settled(hot.select(*keys, count.cast("int").alias("_salts")))
+        size = measured_bytes(marked)
+        left = broadcast_join(left, marked, keys, "left", dim_bytes=size)
+        right = broadcast_join(right, marked, keys, "left", dim_bytes=size)
         rows = F.coalesce("_salts", F.lit(1))
         columns = F.when(F.col("_salts").isNotNull(), right_salts).otherwise(1)
         # Null keys match nothing, so they may go anywhere: spread them as well.
@@ -153,7 +155,7 @@ def skew_aware_join(
     rows_per_salt: int = 5_000_000,
 ) -> DataFrame:
     """Salt the keys of ``left`` that need it, and join plainly if none does."""
-    hot = settled(hot_keys(left, on, share, rows_per_salt).where("salts > 1"))
+    hot = hot_keys(left, on, share, rows_per_salt).where("salts > 1")
     if hot.isEmpty():
         return left.join(right, _names(on), how)
     return salted_join(left, right, on, how=how, salt_by=salt_by, hot=hot)

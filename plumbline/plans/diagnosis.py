@@ -50,8 +50,7 @@ def _compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def evt_type_counts(spark, sf):
     """Events of each kind among the lines of the logs."""
-    events = eventlog.parse_events(telemetry.log_lines(spark, sf))
-    return events.groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+    return eventlog.event_counts(telemetry.log_lines(spark, sf))
 
 
 def evt_task_extract(spark, sf):
@@ -63,7 +62,8 @@ def evt_task_extract(spark, sf):
 def evt_stage_rollup(spark, sf):
     """Stages straight from JSON lines."""
     lines = telemetry.task_lines(spark, sf).unionByName(telemetry.stage_lines(spark, sf))
-    events = eventlog.parse_events(lines)
+    # Parsed once; the roll-up comes back to the events for sums, medians and times.
+    events = settled(eventlog.parse_events(lines))
     return rollup.stage_rollup(
         eventlog.tasks(events), eventlog.stage_events(events), duration_skew=False
     ).drop("task_duration_skew_ratio")
@@ -72,7 +72,7 @@ def evt_stage_rollup(spark, sf):
 def evt_apps(spark, sf):
     """The runs found in the logs."""
     events = eventlog.parse_events(telemetry.log_lines(spark, sf))
-    return eventlog.apps(events)
+    return eventlog.apps(settled(events.select("kind", "run_key", "app_id", "app_name", "event_ms")))
 
 
 def sql_durations(spark, sf):

@@ -77,21 +77,8 @@ def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFr
     Other events, blank lines, truncated lines and JSON that is not an object
     are left out.  ``kinds`` narrows the work to some kinds of event.
     """
-    wanted = {
-        name: kind for name, kind in EVENT_KINDS.items() if kinds is None or kind in set(kinds)
-    }
-    # A cheap text test first: most lines need not be parsed at all.
-    mentioned = F.lit(False)
-    for name in wanted:
-        mentioned = mentioned | F.col("value").contains(name)
-
-    # Going through inline() keeps the filter below from repeating the parse.
-    parsed = (
-        lines.where(mentioned)
-        .select("run_key", F.inline(F.array(F.from_json("value", schemas.EVENT_JSON))))
-        .where(F.col("Event").isin(*wanted))
-    )
-    kinds_by_name = F.create_map(*[F.lit(part) for pair in wanted.items() for part in pair])
+    wanted = _wanted(kinds)
+    parsed = _of_kinds(lines, wanted, schemas.EVENT_JSON)
 
     def info(name: str) -> Column:
         return F.col(f"`Stage Info`.`{name}`")
@@ -106,7 +93,7 @@ def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFr
 
     # The task columns mean something on task events only.
     return parsed.select(
-        F.element_at(kinds_by_name, F.col("Event")).alias("kind"),
+        _kind(wanted),
         "run_key",
         F.col("`App ID`").alias("app_id"),
         F.col("`App Name`").alias("app_name"),
@@ -138,6 +125,37 @@ def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFr
     )
 
 
+def event_counts(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """``kind, events``: how many events of each kind there are, parsing nothing else."""
+    wanted = _wanted(kinds)
+    named = _of_kinds(lines, wanted, "Event string").select(_kind(wanted))
+    return named.groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _wanted(kinds: Iterable[str] | None) -> dict[str, str]:
+    chosen = set(EVENT_KINDS.values()) if kinds is None else set(kinds)
+    return {name: kind for name, kind in EVENT_KINDS.items() if kind in chosen}
+
+
+def _kind(wanted: dict[str, str]) -> Column:
+    by_name = F.create_map(*[F.lit(part) for pair in wanted.items() for part in pair])
+    return F.element_at(by_name, F.col("Event")).alias("kind")
+
+
+def _of_kinds(lines: DataFrame, wanted: dict[str, str], schema: str) -> DataFrame:
+    """Lines of the wanted events, parsed."""
+    # A cheap text test first: most lines need not be parsed at all.
+    mentioned = F.lit(False)
+    for name in wanted:
+        mentioned = mentioned | F.col("value").contains(name)
+    # Going through inline() keeps the last filter from repeating the parse.
+    return (
+        lines.where(mentioned)
+        .select("run_key", F.inline(F.array(F.from_json("value", schema))))
+        .where(F.col("Event").isin(*wanted))
+    )
+
+
 def ingest(
     spark: SparkSession,
     path: str | list[str],
