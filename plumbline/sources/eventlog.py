@@ -31,6 +31,7 @@ EVENT_KINDS = {
 }
 
 UNFINISHED_SUFFIX = ".inprogress"
+COMPRESSED_SUFFIX = ".zstd"
 
 # Headings around the executed tree in the plan text of a finished adaptive query.
 _FINAL_TREE = r"(?s)== Final Plan ==\n(.*?)\n\s*\+- == Initial Plan =="
@@ -53,22 +54,50 @@ def read_log_lines(
     spark: SparkSession,
     path: str | list[str],
     include_unfinished: bool = False,
-    bytes_per_task: int | None = None,
+    bytes_per_task: int = PARTITION_BYTES,
 ) -> DataFrame:
     """Lines of all logs below ``path``: ``run_key, value``.
 
-    Both layouts and compressed logs are read alike.  ``bytes_per_task`` merges
-    many small logs into fewer read tasks.
+    Rolling and single-file logs, plain or compressed with zstd, are read alike.
+    Logs are packed into read tasks of about ``bytes_per_task``.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    listing = file_listing(spark, path)
+    reader = _unsplit_reader(spark, listing)
+    lines = reader.read.option("recursiveFileLookup", "true").text(path)
     file_path = F.col("_metadata.file_path")
     if not include_unfinished:
         lines = lines.where(~file_path.endswith(UNFINISHED_SUFFIX))
-    lines = lines.select(run_key_of(file_path).alias("run_key"), "value")
-    if bytes_per_task is not None:
-        cores = spark.sparkContext.defaultParallelism
-        lines = lines.coalesce(partitions_for(file_listing(spark, path), bytes_per_task, cores))
-    return lines
+    cores = spark.sparkContext.defaultParallelism
+    return lines.select(run_key_of(file_path).alias("run_key"), "value").coalesce(
+        partitions_for(listing, bytes_per_task, cores)
+    )
+
+
+def _unsplit_reader(spark: SparkSession, listing: DataFrame) -> SparkSession:
+    """A session like the given one that cuts no compressed log in two.
+
+    Spark takes a ``.zstd`` text file for one it may read from the middle, and then
+    fails to.  Splits at least as large as the largest such file leave it whole;
+    plain logs are still split.
+    """
+    largest = listing.where(F.col("path").endswith(COMPRESSED_SUFFIX)).agg(F.max("length")).first()[0]
+    reader = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if reader.conf.isModifiable(name):
+            reader.conf.set(name, value)
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        if largest is not None:
+            reader.conf.set(name, str(max(largest, _bytes(reader.conf.get(name)))))
+    return reader
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a setting such as ``134217728b`` or ``128MB``."""
+    number = size.lower().rstrip("b")
+    for power, unit in enumerate("kmgt", 1):
+        if number.endswith(unit):
+            return int(number[:-1]) * 1024**power
+    return int(number)
 
 
 def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:

@@ -245,3 +245,41 @@ def test_ingested_events_prune_by_kind(spark, tmp_path):
     events = eventlog.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     plan = eventlog.tasks(events)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan and "physical_plan" not in plan
+
+
+def test_large_compressed_logs_are_read_whole(spark, tmp_path):
+    """Texts that hardly compress, so that each log is larger than a usual split."""
+    import os
+    import random
+
+    import zstandard
+
+    rng = random.Random(5)
+    logs = tmp_path / "logs" / "eventlog_v2_big"
+    logs.mkdir(parents=True)
+    for part in (1, 2):
+        lines = [
+            json.dumps(sql_start(1000 * part + i, plan=f"SortMergeJoin {rng.randbytes(20_000).hex()}"))
+            for i in range(500)
+        ]
+        end = json.dumps({"Event": "SparkListenerApplicationEnd", "Timestamp": 2})
+        text = "\n".join([*lines, end]).encode()
+        (logs / f"events_{part}_big.zstd").write_bytes(zstandard.compress(text))
+    (tmp_path / "logs" / "plain").write_text("\n".join(json.dumps(sql_start(i)) for i in range(9)))
+    assert os.path.getsize(logs / "events_1_big.zstd") > 2 * 4 * 1024**2
+
+    events = eventlog.ingest(spark, str(tmp_path / "logs"), str(tmp_path / "out"))
+    counts = {r.run_key.rsplit("/", 1)[1]: r["count"] for r in events.where("kind = 'sql_start'").groupBy("run_key").count().collect()}
+    assert counts == {"eventlog_v2_big": 1000, "plain": 9}
+
+    lines = eventlog.read_log_lines(spark, str(tmp_path / "logs"))
+    labels = spark.createDataFrame([(r,) for r in ["x"]], "label string")
+    signals = eventlog.sql_signals(eventlog.parse_events(lines))
+    assert signals.where("has_sort_merge_join").count() == 1000
+    assert labels.join(signals, labels.label == signals.run_key, "left").count() == 1
+    assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304b", "4194304", "4MB")
+
+
+@pytest.mark.parametrize("text, size", [("134217728b", 2**27), ("4194304", 2**22), ("128MB", 2**27), ("1g", 2**30)])
+def test_size_settings(text, size):
+    assert eventlog._bytes(text) == size
