@@ -20,7 +20,7 @@ from plumbline.operators.compare import (
     compare_suite,
 )
 
-LINE_ORDER = ["report", "section", "item", "sub_item", "line_no"]
+LINE_ORDER = ["report", "label", "section", "item", "sub_item", "line_no"]
 
 
 def _text(value) -> Column:
@@ -35,12 +35,16 @@ def _lines(
     item: Column | None = None,
     sub_item: Column | None = None,
 ) -> DataFrame:
-    """One row per text and input row; null texts give no line."""
+    """One row per text and input row; null texts give no line.
+
+    Pairs may share a report name, so lines of pairs are kept apart by label.
+    """
     if isinstance(texts, list):
         texts = F.array_compact(F.array(*[_text(t) for t in texts]))
     zero = F.lit(0)
     return df.select(
         F.col(report).alias("report"),
+        (F.col("label") if "label" in df.columns else F.lit("")).alias("label"),
         F.lit(section).alias("section"),
         (zero if item is None else item).cast("bigint").alias("item"),
         (zero if sub_item is None else sub_item).cast("bigint").alias("sub_item"),

@@ -38,11 +38,18 @@ def diagnose(
     include_unfinished: bool = False,
     exclude_failed: bool = False,
     use_final_plan: bool = False,
+    tolerate_cut_off: bool = False,
 ) -> Fleet:
     """Read all logs and write ``events, apps, stages, signals, metrics, findings``
     and ``recommendations`` below ``folder``."""
     fleet = Fleet(spark, folder.rstrip("/"))
-    events = eventlog.ingest(spark, logs, f"{fleet.folder}/events", include_unfinished)
+    events = eventlog.ingest(
+        spark,
+        logs,
+        f"{fleet.folder}/events",
+        include_unfinished,
+        tolerate_cut_off=tolerate_cut_off,
+    )
     apps = fleet._save("apps", eventlog.apps(events, include_unfinished))
     stages = fleet._save(
         "stages",

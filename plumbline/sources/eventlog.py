@@ -55,14 +55,21 @@ def read_log_lines(
     path: str | list[str],
     include_unfinished: bool = False,
     bytes_per_task: int = PARTITION_BYTES,
+    tolerate_cut_off: bool = False,
 ) -> DataFrame:
     """Lines of all logs below ``path``: ``run_key, value``.
 
     Rolling and single-file logs, plain or compressed with zstd, are read alike.
     Logs are packed into read tasks of about ``bytes_per_task``.
+
+    A compressed log that a killed job left cut off in mid-block fails the read.
+    ``tolerate_cut_off`` reads such logs up to the cut instead; as Spark treats
+    any read error on a file like that then, it is off unless asked for.
     """
     listing = file_listing(spark, path)
     reader = _unsplit_reader(spark, listing)
+    if tolerate_cut_off:
+        reader.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
     lines = reader.read.option("recursiveFileLookup", "true").text(path)
     file_path = F.col("_metadata.file_path")
     if not include_unfinished:
@@ -191,9 +198,10 @@ def ingest(
     out: str,
     include_unfinished: bool = False,
     bytes_per_task: int = PARTITION_BYTES,
+    tolerate_cut_off: bool = False,
 ) -> DataFrame:
     """Parse all logs below ``path`` once and keep the events at ``out`` as Parquet."""
-    lines = read_log_lines(spark, path, include_unfinished, bytes_per_task)
+    lines = read_log_lines(spark, path, include_unfinished, bytes_per_task, tolerate_cut_off)
     parse_events(lines).write.mode("overwrite").partitionBy("kind").parquet(out)
     return spark.read.parquet(out)
 

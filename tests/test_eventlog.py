@@ -283,3 +283,23 @@ def test_large_compressed_logs_are_read_whole(spark, tmp_path):
 @pytest.mark.parametrize("text, size", [("134217728b", 2**27), ("4194304", 2**22), ("128MB", 2**27), ("1g", 2**30)])
 def test_size_settings(text, size):
     assert eventlog._bytes(text) == size
+
+
+def test_cut_off_log_is_read_up_to_the_cut(spark, tmp_path):
+    import random
+
+    import zstandard
+
+    rng = random.Random(1)
+    lines = [json.dumps(task(note=rng.randbytes(2_000).hex())) for _ in range(1000)]
+    packed = zstandard.compress("\n".join(lines).encode())
+    (tmp_path / "a.zstd").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "b").write_text(json.dumps(task()))
+
+    def count(tolerate):
+        lines = eventlog.read_log_lines(spark, str(tmp_path), tolerate_cut_off=tolerate)
+        return eventlog.tasks(eventlog.parse_events(lines)).count()
+
+    assert 100 < count(True) < 1001
+    with pytest.raises(Exception, match="a.zstd"):
+        count(False)

@@ -166,6 +166,18 @@ def test_comparison_report(frames):
     assert all_lines.select("report").distinct().count() == 2
 
 
+def test_pairs_of_one_baseline_follow_each_other(spark, frames):
+    pairs = [("First", "a_baseline", "a_tuned"), ("Second", "a_baseline", "b_tuned")]
+    both = {**frames, "pairs": spark.createDataFrame(pairs, schemas.PAIRS)}
+    lines = lines_of(report.comparison_lines(**both), "a")
+    second = lines.index("# Second: baseline and tuned")
+    assert lines[0] == "# First: baseline and tuned"
+    assert "- none" in lines[:second] and "- **[MEDIUM] spill**: m3" in lines[second:]
+    assert [x for x in lines if x.startswith("| tasks")] == [
+        "| tasks | 15 | 11 | ↓27% |", "| tasks | 15 | 4 | ↓73% |",
+    ]
+
+
 def test_suite(frames):
     suite = compare.compare_suite(**{k: frames[k] for k in ("pairs", "apps", "metrics", "findings")})
     rows = {r.label: r for r in suite.collect()}
