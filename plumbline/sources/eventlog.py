@@ -66,11 +66,14 @@ def read_log_lines(
     ``tolerate_cut_off`` reads such logs up to the cut instead; as Spark treats
     any read error on a file like that then, it is off unless asked for.
     """
+    reader = _twin_session(spark)
+    lines = reader.read.option("recursiveFileLookup", "true").text(path)
+    # Listed after the lines took note of their files: a log that is being written
+    # may be longer here than there, but not shorter.
     listing = file_listing(spark, path)
-    reader = _unsplit_reader(spark, listing)
+    _keep_whole(reader, listing)
     if tolerate_cut_off:
         reader.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    lines = reader.read.option("recursiveFileLookup", "true").text(path)
     file_path = F.col("_metadata.file_path")
     if not include_unfinished:
         lines = lines.where(~file_path.endswith(UNFINISHED_SUFFIX))
@@ -80,22 +83,27 @@ def read_log_lines(
     )
 
 
-def _unsplit_reader(spark: SparkSession, listing: DataFrame) -> SparkSession:
-    """A session like the given one that cuts no compressed log in two.
+def _twin_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of the given one, to be changed on its own."""
+    twin = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if twin.conf.isModifiable(name):
+            twin.conf.set(name, value)
+    return twin
+
+
+def _keep_whole(reader: SparkSession, listing: DataFrame) -> None:
+    """Set ``reader`` to cut none of the listed compressed logs in two.
 
     Spark takes a ``.zstd`` text file for one it may read from the middle, and then
     fails to.  Splits at least as large as the largest such file leave it whole;
     plain logs are still split.
     """
     largest = listing.where(F.col("path").endswith(COMPRESSED_SUFFIX)).agg(F.max("length")).first()[0]
-    reader = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if reader.conf.isModifiable(name):
-            reader.conf.set(name, value)
+    if largest is None:
+        return
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        if largest is not None:
-            reader.conf.set(name, str(max(largest, _bytes(reader.conf.get(name)))))
-    return reader
+        reader.conf.set(name, str(max(largest, _bytes(reader.conf.get(name)))))
 
 
 def _bytes(size: str) -> int:
@@ -202,8 +210,14 @@ def ingest(
 ) -> DataFrame:
     """Parse all logs below ``path`` once and keep the events at ``out`` as Parquet."""
     lines = read_log_lines(spark, path, include_unfinished, bytes_per_task, tolerate_cut_off)
-    parse_events(lines).write.mode("overwrite").partitionBy("kind").parquet(out)
-    return spark.read.parquet(out)
+    # One open file per kind, where Spark would otherwise sort all events by kind.
+    lines.sparkSession.conf.set(
+        "spark.sql.maxConcurrentOutputFileWriters", str(len(EVENT_KINDS))
+    )
+    events = parse_events(lines)
+    events.write.mode("overwrite").partitionBy("kind").parquet(out)
+    # The schema is known, so no file need be opened for it, nor need there be any.
+    return spark.read.schema(events.schema).parquet(out)
 
 
 # --- tables ----------------------------------------------------------------

@@ -247,6 +247,14 @@ def test_ingested_events_prune_by_kind(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in plan and "physical_plan" not in plan
 
 
+def test_a_folder_without_logs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    events = eventlog.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert eventlog.apps(events).count() == 0
+    assert stage_rollup(eventlog.tasks(events), eventlog.stage_events(events)).count() == 0
+    assert eventlog.sql_signals(events).count() == 0
+
+
 def test_large_compressed_logs_are_read_whole(spark, tmp_path):
     """Texts that hardly compress, so that each log is larger than a usual split."""
     import os
