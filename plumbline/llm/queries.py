@@ -31,3 +31,5 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op7_exact_dedup": op7_exact_dedup,
 }
+
+ORACLE_SQL: dict[str, str] = {}
