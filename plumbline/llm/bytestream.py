@@ -79,9 +79,19 @@ class Hashed:
     """Polynomial prefix hash of a byte array: the hash of any stretch takes three steps."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray = PLAIN):
-        self.powers, self.inverses = _power_tables(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * self.powers[: len(data)], out=self.prefix[1:])
+        self._sum(values[data])
+
+    @classmethod
+    def over(cls, values: np.ndarray) -> Hashed:
+        """The same over 64-bit values of any kind instead of bytes."""
+        own = cls.__new__(cls)
+        own._sum(values)
+        return own
+
+    def _sum(self, values: np.ndarray) -> None:
+        powers, self.inverses = _power_tables(len(values) + 1)
+        self.prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers[: len(values)], out=self.prefix[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.inverses[starts])

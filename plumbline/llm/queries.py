@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, mixing, warc
+from plumbline.llm import embedding_dedup, exact_dedup, langid, lm_score, mixing, pieces, repair, substring_dedup, warc
 from plumbline.llm.frames import table
 
 
@@ -22,14 +24,56 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told, (ids, n, lossless) = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
+    return told.select("doc_id", F.col(n).alias("n_pieces"), F.hash(ids).alias("ids_hash"), F.col(lossless).alias("lossless"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_on(docs)
+    told, (lang, score, rejected) = langid.identify(docs.select("doc_id", "text"), model)
+    return told.select(
+        "doc_id",
+        langid.is_held_out(F.col("doc_id")).alias("held_out"),
+        F.col(lang).alias("lang_pred"),
+        F.col(score).alias("score"),
+        F.col(rejected).alias("rejected"),
+    )
+
+
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = repair.packed_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
+    "op6_repair_ids": op6_repair_ids,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_score": op8_lm_score,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
