@@ -103,8 +103,9 @@ def mix_counts(
         ),
         "mix-targets",
     ).toDF(key, whole, target, rate)
-    # 53 bits of the hash: every value of the draw is an exact double below one.
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), named(id_col)), 11) / F.lit(float(2**53))
+    # Thirteen hexadecimal digits are 52 bits: every draw is an exact double below one.
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_col).cast("string"), F.lit("-")))
+    draw = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     counted = join_small(sized, targets, key).withColumn(
         copies,
         (F.floor(named(rate)) + F.when(draw < named(rate) - F.floor(named(rate)), 1).otherwise(0)).cast("int"),

@@ -7,9 +7,10 @@ are candidates if their sizes allow it (length filter), and if what follows the
 shared place can still hold enough (positional filter).  Each candidate pair is then
 verified once, first by halves (suffix filter), then exactly.
 
-Links only have to connect, so a shingle posted by many classes does not yield all pairs.
-Each meets the first of them; pairs that the links found so far already connect are never
-formed; only classes still apart are paired further, until no pair is left untested.
+Links only have to connect, so not all pairs that meet in a shingle are formed.  First each
+class meets the one that posts the shingle earliest, which of near copies is the one with the
+fewest words of its own.  Then only classes that are still apart are paired, in blocks of
+bounded size, until no candidate is left untested.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from plumbline.llm.frames import join_small, kept, named
 
 # Counts of shingles by hash bucket: a table of fixed size however large the corpus is.
 SKETCH_BITS = 17
-ROWS = 4096
+# Classes that a task holds at once come in blocks of about so many.
+BLOCK = 256
 
 
 def set_class(found: np.ndarray) -> bytes:
@@ -82,7 +84,7 @@ _POSTING = pa.schema([("token", pa.int64()), ("meta", pa.int64()), ("cls", pa.bi
 
 
 def _poster(n: int, num: int, den: int, counts):
-    """Prefixes, rarest shingle first.  ``meta`` is the size of the set and the place in it."""
+    """Prefixes, rarest shingle first.  ``meta`` is the place in the set and the set's size."""
 
     def post(batches):
         df, seen = counts.value, set()
@@ -99,7 +101,7 @@ def _poster(n: int, num: int, den: int, counts):
                 # Stable on sorted hashes: ties in rarity go by hash, the same way in every text.
                 order = np.argsort(rarity, kind="stable")[:length]
                 tokens.append(found[order])
-                metas.append((size << 32) + np.arange(length, dtype=np.int64))
+                metas.append((np.arange(length, dtype=np.int64) << 32) + size)
                 classes.append(np.frombuffer(cls * length, np.uint8))
             if tokens:
                 raw = pa.py_buffer(np.concatenate(classes))
@@ -117,13 +119,24 @@ _MEET = pa.schema([("token", pa.int64()), ("meta", pa.int64()), ("cls", pa.binar
 def _meetings(batches):
     """Of rows sorted by token, those whose token occurs twice, each with its token's first row.
 
-    Only the first row of the token at hand is carried from batch to batch.
+    Copies posted by several tasks stand side by side and count once.  Only the first row
+    of the token at hand is carried from batch to batch.
     """
     held = None  # token, meta, cls of the token's first row, and whether it has been given out
+    before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        token = batch.column("token").to_numpy()
+        token, halves = batch.column("token").to_numpy(), flat(batch.column("cls"))[0].view(np.uint64).reshape(-1, 2)
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (halves[1:] == halves[:-1]).all(axis=1)
+        again[0] = before == (int(token[0]), *halves[0].tolist())
+        before = (int(token[-1]), *halves[-1].tolist())
+        if again.any():
+            batch = batch.filter(pa.array(~again))
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
         n = len(token)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         run = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
@@ -154,8 +167,8 @@ def _meetings(batches):
 
 def _may_link(meta_a: str, meta_b: str, num: int, den: int):
     """Length and positional filter on the two ``meta`` columns."""
-    x, y = F.shiftright(meta_a, 32), F.shiftright(meta_b, 32)
-    i, j = F.col(meta_a).bitwiseAND(0xFFFFFFFF), F.col(meta_b).bitwiseAND(0xFFFFFFFF)
+    i, j = F.shiftright(meta_a, 32), F.shiftright(meta_b, 32)
+    x, y = F.col(meta_a).bitwiseAND(0xFFFFFFFF), F.col(meta_b).bitwiseAND(0xFFFFFFFF)
     most = F.least(i, j) + 1 + F.least(x - i - 1, y - j - 1)
     return (
         (F.least(x, y) * den >= F.greatest(x, y) * num)
@@ -178,14 +191,39 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _verifier(num: int, den: int):
+    """Links among the pairs of each pair of blocks.
+
+    Rows are sorted so that the sets of a pair of blocks come before its pairs; the sets of one
+    pair of blocks are held at a time.  A pair whose ends earlier links of the task connect
+    is not looked at again.
+    """
+
     def verify(batches):
+        key, sets, leader = None, {}, {}
+
+        def find(x):
+            while (up := leader.get(x, x)) != x:
+                leader[x] = leader.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
-            kept_rows = []
-            xs, ys = batch.column("set_a"), batch.column("set_b")
-            for i in range(batch.num_rows):
-                if linked(np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64), num, den):
-                    kept_rows.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept_rows, pa.int64()))
+            keys = zip(batch.column("low").to_pylist(), batch.column("high").to_pylist())
+            out_a, out_b = [], []
+            columns = [batch.column(n).to_pylist() for n in ("a", "b", "group_a", "group_b")]
+            contents = batch.column("set")
+            for i, (own, a, b, group_a, group_b) in enumerate(zip(keys, *columns)):
+                if own != key:
+                    key, sets, leader = own, {}, {}
+                if b is None:
+                    sets[a] = np.frombuffer(contents[i].as_py(), np.uint64)
+                    continue
+                group_a, group_b = find(group_a), find(group_b)
+                if group_a != group_b and linked(sets[a], sets[b], num, den):
+                    leader[group_b] = group_a
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
     return verify
 
@@ -208,17 +246,108 @@ def _set_maker(n: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of classes ``a, b``, those that link."""
-    joined = (
-        pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
-        .select("a", "b", "set_a", "set_b")
+    """Of pairs of classes ``a, b, group_a, group_b, rank``, links ``a, b`` that connect their groups.
+
+    A class has a home: the least of the shingles it meets others in, which near copies have in
+    common.  Homes are cut into blocks, and a set travels once to each pair of blocks that has
+    pairs with it, however many these are.
+    """
+    blocks = sets.select("cls", "block")
+    placed = (
+        pairs.join(blocks.toDF("a", "block_a").hint("merge"), "a")
+        .join(blocks.toDF("b", "block_b").hint("merge"), "b")
+        .select(
+            F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"),
+            "a", "b", "group_a", "group_b", "rank",
+        )
+    )
+    placed = kept(placed, "ngram-pairs")
+    needed = placed.select("low", "high", F.col("a").alias("cls")).union(placed.select("low", "high", "b")).distinct()
+    no_class, no_group = F.lit(None).cast("binary"), F.lit(None).cast("bigint")
+    content = needed.join(sets.select("cls", "set").hint("merge"), "cls").select(
+        "low", "high", F.col("cls").alias("a"), no_class.alias("b"), no_group.alias("group_a"),
+        no_group.alias("group_b"), F.lit(-1).cast("bigint").alias("rank"), "set",
+    )
+    rows = content.unionByName(placed.withColumn("set", no_class))
+    return (
+        rows.repartition("low", "high")
+        .sortWithinPartitions("low", "high", "rank", "a", "b")
+        .mapInArrow(_verifier(num, den), "a binary, b binary")
     )
-    return joined.mapInArrow(_verifier(num, den), "a binary, b binary")
 
 
-def _in_order(one, other):
-    return F.least(one, other).alias("a"), F.greatest(one, other).alias("b")
+def _crossing(num: int, den: int):
+    """Pairs of classes of different groups within each run of rows of a shingle's pair of blocks.
+
+    Rows come sorted by run; only the run at hand is carried over, at most two blocks.
+    """
+    run_of = ["token", "row", "column"]
+
+    def pairs_of(run: pa.RecordBatch):
+        block, group = run.column("block").to_numpy(), run.column("group").to_numpy()
+        meta, lead = run.column("meta").to_numpy(), run.column("lead").to_numpy(zero_copy_only=False)
+        place, size = meta >> 32, meta & 0xFFFFFFFF
+        one = np.flatnonzero(block == run.column("row")[0].as_py())
+        other = np.flatnonzero(block == run.column("column")[0].as_py())
+        i, j = (x.ravel() for x in np.meshgrid(one, other, indexing="ij"))
+        # What the shingle's first class meets is tested already.
+        good = (group[i] != group[j]) & ~lead[i] & ~lead[j]
+        i, j = i[good], j[good]
+        most = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
+        good = (np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num) & (
+            most * (num + den) >= (size[i] + size[j]) * num
+        )
+        i, j = i[good], j[good]
+        return i, j, place[i] + place[j]
+
+    def cross(batches):
+        carried = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carried is not None:
+                batch = pa.concat_batches([carried, batch])
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for name in run_of:
+                values = batch.column(name).to_numpy()
+                change[1:] |= values[1:] != values[:-1]
+            starts = np.append(np.flatnonzero(change), batch.num_rows).tolist()
+            for a, b in zip(starts[:-2], starts[1:-1]):
+                yield from told(batch.slice(a, b - a))
+            carried = batch.slice(starts[-2])
+        if carried is not None:
+            yield from told(carried)
+
+    def told(run: pa.RecordBatch):
+        if run.num_rows < 2:
+            return
+        i, j, rank = pairs_of(run)
+        if len(i):
+            cls, group = run.column("cls"), run.column("group")
+            a, b = pa.array(i), pa.array(j)
+            yield pa.RecordBatch.from_arrays(
+                [cls.take(a), cls.take(b), group.take(a), group.take(b), pa.array(rank)],
+                names=["a", "b", "group_a", "group_b", "rank"],
+            )
+
+    return cross
+
+
+PAIR = "a binary, b binary, group_a bigint, group_b bigint, rank bigint"
+
+
+def _each_once(pairs: DataFrame) -> DataFrame:
+    """Every pair once, with its best rank."""
+    swap = F.col("a") > F.col("b")
+    ordered = pairs.select(
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+        F.when(swap, F.col("group_b")).otherwise(F.col("group_a")).alias("group_a"),
+        F.when(swap, F.col("group_a")).otherwise(F.col("group_b")).alias("group_b"),
+        "rank",
+    )
+    return ordered.groupBy("a", "b", "group_a", "group_b").agg(F.min("rank").alias("rank"))
 
 
 def similar_texts(
@@ -252,32 +381,71 @@ def similar_texts(
         profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node")),
         "ngram-nodes",
     )
+    # Copies in other tasks post the same rows; each is needed once.
     postings = texts.where("doc_id IS NOT NULL").mapInArrow(_poster(n, num, den, counts), POSTING)
-    # Copies in other tasks post the same rows; sorted, they stand side by side and link trivially.
     meetings = kept(
         postings.repartition("token").sortWithinPartitions("token", "meta", "cls").mapInArrow(_meetings, MEET),
         "ngram-meetings",
     )
-    wanted = kept(
-        meetings.where("cls <> first").select("cls").union(meetings.where("cls <> first").select("first")).distinct().join(nodes, "cls").select(F.col("node").alias("doc_id")),
-        "ngram-wanted",
+    # Classes that meet another one, each with its home block.
+    met = meetings.where("cls <> first")
+    homes = met.select("cls", "token").union(met.select("first", "token")).groupBy("cls").agg(F.min("token").alias("home"))
+    homes = kept(homes.join(nodes, "cls"), "ngram-homes")
+    per_home = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    number = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    homes = homes.join(per_home, "home").select("cls", F.xxhash64("home", number).alias("block"), "node")
+    found_sets = (
+        join_small(texts, kept(homes.select(F.col("node").alias("doc_id")), "ngram-wanted"), "doc_id")
+        .mapInArrow(_set_maker(n), "cls binary, set binary")
+        .dropDuplicates(["cls"])
+    )
+    sets = kept(found_sets.join(homes.select("cls", "block").hint("merge"), "cls"), "ngram-sets")
+
+    first_pairs = met.where(_may_link("first_meta", "meta", num, den)).select(
+        F.col("first").alias("a"), F.col("cls").alias("b"),
+        # Classes start out as groups of their own, told apart within a block by a hash of each.
+        F.xxhash64("first").alias("group_a"), F.xxhash64("cls").alias("group_b"),
+        F.shiftright("meta", 32).alias("rank"),
+    )
+    links = kept(_verified(_each_once(first_pairs), sets, num, den), "ngram-links")
+    groups = kept(_class_groups(links, nodes), "ngram-groups")
+
+    grouped = nodes.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("group"))
+    placed = kept(
+        meetings.select("token", "meta", "cls", (F.col("cls") == F.col("first")).alias("lead")).join(
+            grouped.hint("merge"), "cls"
+        ),
+        "ngram-placed",
+    )
+    apart = (
+        placed.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("least"), F.max("group").alias("most"))
+        .where("least <> most")
+        .select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    sets = kept(
-        join_small(texts, wanted, "doc_id").mapInArrow(_set_maker(n), "cls binary, set binary").dropDuplicates(["cls"]),
-        "ngram-sets",
+    blocked = (
+        placed.join(apart.hint("merge"), "token")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("token", F.least("block", "with").alias("row"), F.greatest("block", "with").alias("column"), "block", "meta", "cls", "group", "lead")
     )
-    pairs = (
-        meetings.where("cls <> first").where(_may_link("first_meta", "meta", num, den)).select(*_in_order("first", "cls")).distinct()
+    crossing = (
+        blocked.repartition("token", "row", "column")
+        .sortWithinPartitions("token", "row", "column")
+        .mapInArrow(_crossing(num, den), PAIR)
+    )
+    more = kept(_verified(_each_once(crossing), sets, num, den), "ngram-links")
+    groups = kept(_class_groups(links.union(more), nodes), "ngram-groups")
+
+    of_class = nodes.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("component_id"))
+    own = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_class.hint("merge"), "cls")
+    alone = profile.where("n_shingles = 0 OR doc_id IS NULL")
+    return own.select("doc_id", "n_shingles", "component_id").union(
+        alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
-    links = kept(_verified(pairs, sets, num, den), "ngram-links")
-    groups = _class_groups(links, nodes)
-    tested = kept(pairs, "ngram-tested") if False else pairs
-    return profile, meetings, sets, links, groups, nodes, tested
 
 
 def _class_groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component_id`` of linked classes."""
-    by_id = links.join(nodes.select(F.col("cls").alias("a"), F.col("node").alias("x")), "a").join(
-        nodes.select(F.col("cls").alias("b"), F.col("node").alias("y")), "b"
-    )
+    by_id = links.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b")
     return components(by_id.select("x", "y"))

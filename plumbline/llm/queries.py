@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, exact_dedup, langid, lm_score, mixing, pieces, repair, substring_dedup, warc
+from plumbline.llm import embedding_dedup, exact_dedup, langid, lm_score, mixing, ngram_join, pieces, repair, substring_dedup, warc
 from plumbline.llm.frames import table
 
 
@@ -64,7 +65,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -74,6 +80,102 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_lm_score": op8_lm_score,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_ngram_join": op10_ngram_join,
+}
+
+_SPACES = r"[\x20\x09-\x0D]"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+_COMPONENTS = """
+reach(a, b) as (
+  select id, id from nodes
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": f"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::bigint as size
+  from documents),
+per_source as (select source, sum(size)::bigint as source_size from sized group by source),
+weighed as (
+  select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
+    source_size * 2.0::double as cap
+  from per_source),
+tried as (
+  select *, (sum(source_size) over () * 1.5::double - (sum(cap) over up - cap))
+      / (sum(weight) over () - sum(weight) over up + weight) as attempt
+  from weighed
+  window up as (order by cap / weight, source nulls last rows between unbounded preceding and current row)),
+levelled as (
+  select *, (select arg_min(attempt, cap / weight) from tried where attempt * weight <= cap) as level
+  from tried),
+targets as (
+  select source, source_size, least(cap, coalesce(level * weight, cap)) as target from levelled),
+rates as (
+  select *, case when source_size > 0 then target / source_size else 0 end as rate from targets)
+select doc_id, size, source_size, target,
+  (size * (floor(rate)::bigint + case when
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '-')), 1, 13))::bigint / 4503599627370496.0::double
+    < rate - floor(rate) then 1 else 0 end))::bigint as taken
+from sized join rates on sized.source is not distinct from rates.source""",
+    "op2_warc": """
+with paid as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages),
+firsts as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as original
+  from paid)
+select page_id, payload_bytes, payload_digest,
+  case when original = page_id then 'response' else 'revisit' end as record_type,
+  case when original <> page_id then original end as refers_to
+from firsts""",
+    "op7_exact_dedup": f"""
+with normal as (
+  select doc_id, length(coalesce(text, '')) as chars,
+    regexp_replace(coalesce(text, ''), '{_SPACES}', '', 'g') as norm
+  from documents),
+grouped as (
+  select doc_id, norm, count(*) over (partition by norm) as group_size,
+    first_value(doc_id) over (partition by norm order by chars desc, doc_id) as keep_id
+  from normal)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from grouped""",
+    "op9_embedding_dedup": f"""
+with recursive vectors as (
+  select vec_id as id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select x.id as a, y.id as b from vectors x join vectors y
+    on x.label = y.label and x.id <> y.id and len(x.v) = len(y.v)
+  where list_cosine_similarity(x.v, y.v) >= 0.98),
+nodes as (select vec_id as id from embeddings),{_COMPONENTS},
+grouped as (select a, min(b) as component_id from reach group by a),
+degree as (select a, count(*) as n from links group by a)
+select id as vec_id, coalesce(n, 0)::bigint as n_links, component_id, id = component_id as kept
+from nodes join grouped on grouped.a = id left join degree on degree.a = id""",
+    "op10_ngram_join": f"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w
+  from documents),
+shingles as (
+  select distinct doc_id, unnest(
+    case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) as s
+  from worded),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select x.doc_id as a, y.doc_id as b
+  from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id
+  join sizes m on m.doc_id = x.doc_id join sizes n on n.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, m.n, n.n
+  having 100 * count(*) >= 85 * (m.n + n.n - count(*))),
+nodes as (select doc_id as id from documents),{_COMPONENTS}
+select a as doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id
+from reach left join sizes on sizes.doc_id = a group by a, n""",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
