@@ -9,7 +9,8 @@ import pandas as pd
 
 from plumbline.llm.bytestream import Hashed, mix
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
+RECENT = 60_000
 
 # A blank begins a chunk if a visible ASCII character or a two-byte letter follows: no
 # white space outside ASCII starts with these bytes.
@@ -36,55 +37,81 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ChunkCache:
-    """Runs of values per distinct chunk, worked out once by ``make`` for a list of new chunks.
+    """Runs of values per distinct chunk, worked out once by ``make``.
 
-    The cache is emptied when it has ``CACHE_ENTRIES``, so its size does not follow the input.
+    ``make`` takes a list of new chunks and gives all their values in a row and how many each
+    chunk has.  The cache is emptied when it has ``CACHE_ENTRIES``, so its size does not follow
+    the input.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.make = make
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # Sorted hashes and their places for most entries, and a dictionary of the latest.
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.recent: dict[int, int] = {}
+        self.entries = self.used = 0
         self.values = np.zeros(1 << 20, np.int32)
-        self.used = 0
-        self.begin = np.zeros(CACHE_ENTRIES, np.int64)
-        self.size = np.zeros(CACHE_ENTRIES, np.int64)
-
-    def _add(self, key: int, run: list[int]) -> int:
-        place = len(self.known)
-        if place == len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(run) > len(self.values):
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int32)
+
+    def _add(self, keys: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first = self.entries
+        self.entries += len(keys)
+        places = np.arange(first, first + len(keys))
+        while len(self.begin) < first + len(keys):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while len(self.values) < self.used + len(values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[self.used : self.used + len(run)] = run
-        self.begin[place], self.size[place] = self.used, len(run)
-        self.used += len(run)
-        self.known[key] = place
-        return place
+        self.values[self.used : self.used + len(values)] = values
+        self.begin[places] = self.used + np.cumsum(sizes) - sizes
+        self.size[places] = sizes
+        self.used += len(values)
+        self.recent.update(zip(keys.tolist(), places.tolist()))
+        if len(self.recent) > RECENT:
+            self.hashes = np.concatenate([self.hashes, np.fromiter(self.recent.keys(), np.uint64)])
+            order = np.argsort(self.hashes, kind="stable")
+            self.hashes = self.hashes[order]
+            self.places = np.concatenate([self.places, np.fromiter(self.recent.values(), np.int32)])[order]
+            self.recent = {}
+        return places
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for new ones."""
+        recent = self.recent
+        places = np.array([recent.get(k, -1) for k in keys.tolist()], np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+            places = np.where(self.hashes[at] == keys, self.places[at], places)
+        return places
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of all chunks in order, and where each text begins among them."""
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        hashed = Hashed(data).of(starts, ends) ^ mix((ends - starts).astype(np.uint64))
-        codes, distinct = pd.factorize(hashed)
-        if len(self.known) + len(distinct) > CACHE_ENTRIES:
+        codes, distinct, first = distinct_chunks(data, starts, ends)
+        if self.entries + len(distinct) > CACHE_ENTRIES:
             self.clear()
-        places = np.array([self.known.get(k, -1) for k in distinct.tolist()], np.int64)
+        places = self._known(distinct)
         new = np.flatnonzero(places < 0)
         if len(new):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = data.tobytes()
-            at = first[new]
+            raw, at = data.tobytes(), first[new]
             texts = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            for i, run in zip(new.tolist(), self.make(texts)):
-                places[i] = self._add(int(distinct[i]), run)
+            places[new] = self._add(distinct[new], *self.make(texts))
         own = places[codes]
         sizes = self.size[own]
         values = self.values[spread(self.begin[own], sizes)]
         before = np.concatenate([[0], np.cumsum(sizes)])
         return values, before[np.searchsorted(starts, offsets)]
+
+
+def distinct_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Number of the distinct chunk each chunk is, the hashes of these, and where each comes first."""
+    hashed = Hashed(data).of(starts, ends) ^ mix((ends - starts).astype(np.uint64))
+    codes, distinct = pd.factorize(hashed)
+    # Numbers are given in the order of first places.
+    seen = np.maximum.accumulate(codes) if len(codes) else codes
+    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]])) if len(codes) else codes
+    return codes, distinct, first

@@ -10,16 +10,16 @@ and cached; all chunks of a slice are sampled together, one array step per piece
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.bytestream import Hashed, flat, mix, slices
-from plumbline.llm.chunks import chunk_starts, spread
+from plumbline.llm.chunks import chunk_starts, distinct_chunks, spread
 from plumbline.llm.frames import fresh, named
 
 BLANK = "▁"
@@ -197,18 +197,16 @@ class Lattices:
 
     def ends(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """End and first node of each chunk of ``data``."""
-        hashed = Hashed(data).of(starts, stops) ^ mix((stops - starts).astype(np.uint64))
-        codes, distinct = pd.factorize(hashed)
+        codes, distinct, first = distinct_chunks(data, starts, stops)
         if self.n_nodes > CACHE_NODES:
             self.clear()
-        node = np.array([self.known.get(k, -1) for k in distinct.tolist()], np.int64)
+        known = self.known
+        node = np.array([known.get(k, -1) for k in distinct.tolist()], np.int64)
         new = np.flatnonzero(node < 0)
         if len(new):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw, at = data.tobytes(), first[new]
             node[new] = self.add([raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
-            self.known.update(zip(distinct[new].tolist(), node[new].tolist()))
+            known.update(zip(distinct[new].tolist(), node[new].tolist()))
         return node[codes]
 
     def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int):
@@ -262,6 +260,12 @@ class Lattices:
         return ids.astype(np.int32), sizes
 
 
+@lru_cache(maxsize=1)
+def lattices_of(path: str, alpha: float) -> Lattices:
+    """Lattices that a worker keeps from task to task."""
+    return Lattices(load(path), alpha)
+
+
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     """The text that ids stand for, as bytes."""
     return vocabulary.flat[spread(vocabulary.begin[ids], vocabulary.size[ids])].tobytes()
@@ -271,8 +275,8 @@ def _encoder(path: str, alpha: float, seed: int, text_col: str, key_col: str, na
     ids_name, n_name, ok_name = names
 
     def encode(batches):
-        vocabulary = load(path)
-        lattices = Lattices(vocabulary, alpha)
+        lattices = lattices_of(path, alpha)
+        vocabulary = lattices.vocabulary
         for batch in batches:
             data, offsets = flat(batch.column(text_col))
             keys = batch.column(key_col).to_numpy().view(np.uint64)

@@ -9,8 +9,10 @@ A rule refers only to symbols numbered below its own.  No rule crosses the end o
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from plumbline.llm.warc import store_of
 
 MAGIC = b"RPR1"
 END = 0
-SHARD_TOKENS = 3_000_000  # a shard is closed at the document that reaches this many
-ROUNDS = 6
+SHARD_TOKENS = 2_000_000  # a shard is closed at the document that reaches this many
+ROUNDS = 5
 LEAST = 12  # a pair rarer than this is not worth a rule
 _COUNTS = struct.Struct("<4s5Q")
 
@@ -47,10 +49,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = RO
     for turn in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         narrow = top <= 1 << 16
         if narrow:
             pairs = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+        else:
+            pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         free = ~ends[:-1]
         ordered = np.sort(pairs[free])
         if not len(ordered):
@@ -184,17 +187,44 @@ class Shard:
             yield (None if row["null"] else int(row["doc"])), int(a), ids[a:b]
 
 
-def tokenizer(path: str):
-    """``encode`` for lists of chunks, and the size of the vocabulary."""
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> tuple[ChunkCache, int]:
+    """A cache of encoded chunks, kept from task to task, and the size of the vocabulary."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return encode, own.get_vocab_size(with_added_tokens=True)
+    size = own.get_vocab_size(with_added_tokens=True)
+    lone = set(own.get_added_tokens_decoder())
+    # Bytes each id stands for: a byte-level piece has a character for every byte.
+    widths = np.zeros(size, np.int64)
+    for piece, i in own.get_vocab(with_added_tokens=True).items():
+        widths[i] = len(piece.encode()) if i in lone else len(piece)
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # A chunk that begins with a blank is a word of its own in any text: all of them are
+        # encoded as one text, and cut apart by how many bytes each id covers.
+        joins = np.array([c[:1] == b" " and len(c) > 1 for c in chunks])
+        sizes = np.zeros(len(chunks), np.int64)
+        runs: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
+        for i, e in zip(np.flatnonzero(~joins).tolist(), own.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in np.flatnonzero(~joins).tolist()], add_special_tokens=False)):
+            runs[i] = np.array(e.ids, np.int32)
+            sizes[i] = len(runs[i])
+        together = np.flatnonzero(joins)
+        for part in np.array_split(together, max(len(together) // 20_000, 1)):
+            some = [chunks[i] for i in part.tolist()]
+            if not some:
+                continue
+            text = b"".join(some).decode("utf-8", "replace")
+            ids = np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            upto = np.concatenate([[0], np.cumsum(widths[ids])])
+            cut = np.searchsorted(upto, np.concatenate([[0], np.cumsum([len(c) for c in some])]))
+            sizes[part] = np.diff(cut)
+            for i, a, b in zip(part.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+                runs[i] = ids[a:b]
+        return np.concatenate(runs) if runs else np.zeros(0, np.int32), sizes
+
+    return ChunkCache(encode), size
 
 
 FILES = "part int, number int, file string, n_docs bigint, n_tokens bigint"
@@ -202,11 +232,7 @@ FILES = "part int, number int, file string, n_docs bigint, n_tokens bigint"
 
 def _writer(path: str, folder: str, end: int, shard_tokens: int):
     def write(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, terminals = tokenizer(path)
-        cache = ChunkCache(encode)
+        cache, terminals = tokenizer(path)
         part, number = TaskContext.get().partitionId(), 0
         docs, ids, size = [], [], 0
 
