@@ -5,7 +5,8 @@ classes are compared.  A class posts only a prefix of its set, rarest shingles f
 sets as similar as asked share a shingle of their prefixes.  Classes that meet in a shingle
 are candidates if their sizes allow it (length filter), and if what follows the
 shared place can still hold enough (positional filter).  Each candidate pair is then
-verified once, first by halves (suffix filter), then exactly.
+verified once: by sixteen bits of each hash, which can only overrate what two sets share and
+travel at a quarter of the size, and what passes by halves (suffix filter) and exactly.
 
 Links only have to connect, so not all pairs that meet in a shingle are formed.  First each
 class meets the one that posts the shingle earliest, which of near copies is the one with the
@@ -166,10 +167,14 @@ def _meetings(batches):
 
 
 def _may_link(meta_a: str, meta_b: str, num: int, den: int):
-    """Length and positional filter on the two ``meta`` columns."""
+    """Length and positional filter on the two ``meta`` columns.
+
+    Similar sets pass at the first shingle their prefixes share: nothing before it is shared,
+    and what is left after later ones is only less.
+    """
     i, j = F.shiftright(meta_a, 32), F.shiftright(meta_b, 32)
     x, y = F.col(meta_a).bitwiseAND(0xFFFFFFFF), F.col(meta_b).bitwiseAND(0xFFFFFFFF)
-    most = F.least(i, j) + 1 + F.least(x - i - 1, y - j - 1)
+    most = F.least(x - i, y - j)
     return (
         (F.least(x, y) * den >= F.greatest(x, y) * num)
         & (most * (num + den) >= (x + y) * num)
@@ -190,13 +195,36 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _verifier(num: int, den: int):
-    """Links among the pairs of each pair of blocks.
+def short_of(found: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each hash of a set, sorted."""
+    return np.sort(found.astype(np.uint16))
+
+
+def may_link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets with these short hashes can be similar: equal hashes have equal short ones,
+    each of which counts as often as both sides have it."""
+    shared = np.intersect1d(_numbered(x), _numbered(y), assume_unique=True)
+    return len(shared) >= least_overlap(len(x), len(y), num, den)
+
+
+def _numbered(short: np.ndarray) -> np.ndarray:
+    """Sorted values made distinct: the second of equal ones is another value than the first."""
+    first = np.searchsorted(short, short)
+    return short.astype(np.uint64) | ((np.arange(len(short)) - first).astype(np.uint64) << np.uint64(16))
+
+
+PAIR = "a binary, b binary, group_a bigint, group_b bigint, rank bigint"
+_PAIR_COLUMNS = ["a", "b", "group_a", "group_b", "rank"]
+
+
+def _verifier(num: int, den: int, exact: bool):
+    """Pairs that pass, among the pairs of each pair of blocks.
 
     Rows are sorted so that the sets of a pair of blocks come before its pairs; the sets of one
-    pair of blocks are held at a time.  A pair whose ends earlier links of the task connect
-    is not looked at again.
+    pair of blocks are held at a time.  In the exact test a pair whose ends earlier links of
+    the task connect is not looked at again.
     """
+    test, dtype = (linked, np.uint64) if exact else (may_link, np.uint16)
 
     def verify(batches):
         key, sets, leader = None, {}, {}
@@ -209,32 +237,34 @@ def _verifier(num: int, den: int):
 
         for batch in batches:
             keys = zip(batch.column("low").to_pylist(), batch.column("high").to_pylist())
-            out_a, out_b = [], []
+            passed = []
             columns = [batch.column(n).to_pylist() for n in ("a", "b", "group_a", "group_b")]
             contents = batch.column("set")
             for i, (own, a, b, group_a, group_b) in enumerate(zip(keys, *columns)):
                 if own != key:
                     key, sets, leader = own, {}, {}
                 if b is None:
-                    sets[a] = np.frombuffer(contents[i].as_py(), np.uint64)
+                    sets[a] = np.frombuffer(contents[i].as_py(), dtype)
                     continue
-                group_a, group_b = find(group_a), find(group_b)
-                if group_a != group_b and linked(sets[a], sets[b], num, den):
+                if exact:
+                    group_a, group_b = find(group_a), find(group_b)
+                    if group_a == group_b:
+                        continue
+                if test(sets[a], sets[b], num, den):
                     leader[group_b] = group_a
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+                    passed.append(i)
+            yield batch.select(_PAIR_COLUMNS).take(pa.array(passed, pa.int64()))
 
     return verify
 
 
-def _set_maker(n: int):
+def _set_maker(n: int, short: bool):
     def make(batches):
         for batch in batches:
             classes, sets, size = [], [], 0
             for _, found in sets_of(batch, n):
                 classes.append(set_class(found))
-                sets.append(found.tobytes())
+                sets.append((short_of(found) if short else found).tobytes())
                 size += len(sets[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "set"])
@@ -245,26 +275,29 @@ def _set_maker(n: int):
     return make
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of classes ``a, b, group_a, group_b, rank``, links ``a, b`` that connect their groups.
+def _sets(texts: DataFrame, ids: DataFrame, n: int, short: bool) -> DataFrame:
+    """``cls, set`` of the texts with the given ids, one row per class."""
+    some = join_small(texts, kept(ids, "ngram-wanted"), "doc_id")
+    return some.mapInArrow(_set_maker(n, short), "cls binary, set binary").dropDuplicates(["cls"])
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, homes: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """Of pairs of classes, those that pass.
 
     A class has a home: the least of the shingles it meets others in, which near copies have in
     common.  Homes are cut into blocks, and a set travels once to each pair of blocks that has
     pairs with it, however many these are.
     """
-    blocks = sets.select("cls", "block")
+    blocks = homes.select("cls", "block")
     placed = (
         pairs.join(blocks.toDF("a", "block_a").hint("merge"), "a")
         .join(blocks.toDF("b", "block_b").hint("merge"), "b")
-        .select(
-            F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"),
-            "a", "b", "group_a", "group_b", "rank",
-        )
+        .select(F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), *_PAIR_COLUMNS)
     )
     placed = kept(placed, "ngram-pairs")
     needed = placed.select("low", "high", F.col("a").alias("cls")).union(placed.select("low", "high", "b")).distinct()
     no_class, no_group = F.lit(None).cast("binary"), F.lit(None).cast("bigint")
-    content = needed.join(sets.select("cls", "set").hint("merge"), "cls").select(
+    content = needed.join(sets.hint("merge"), "cls").select(
         "low", "high", F.col("cls").alias("a"), no_class.alias("b"), no_group.alias("group_a"),
         no_group.alias("group_b"), F.lit(-1).cast("bigint").alias("rank"), "set",
     )
@@ -272,10 +305,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return (
         rows.repartition("low", "high")
         .sortWithinPartitions("low", "high", "rank", "a", "b")
-        .mapInArrow(_verifier(num, den), "a binary, b binary")
+        .mapInArrow(_verifier(num, den, exact), PAIR)
     )
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, shorts: DataFrame, homes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` among pairs: enough of those that pass to connect all they connect."""
+    likely = kept(_passing(pairs, shorts, homes, num, den, False), "ngram-likely")
+    classes = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
+    ids = classes.join(homes, "cls").select(F.col("node").alias("doc_id"))
+    sets = kept(_sets(texts, ids, n, False), "ngram-sets")
+    return kept(_passing(likely, sets, homes, num, den, True).select("a", "b"), "ngram-links")
+
+
 def _crossing(num: int, den: int):
     """Pairs of classes of different groups within each run of rows of a shingle's pair of blocks.
 
@@ -293,7 +335,7 @@ def _crossing(num: int, den: int):
         # What the shingle's first class meets is tested already.
         good = (group[i] != group[j]) & ~lead[i] & ~lead[j]
         i, j = i[good], j[good]
-        most = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
+        most = np.minimum(size[i] - place[i], size[j] - place[j])
         good = (np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num) & (
             most * (num + den) >= (size[i] + size[j]) * num
         )
@@ -334,9 +376,6 @@ def _crossing(num: int, den: int):
     return cross
 
 
-PAIR = "a binary, b binary, group_a bigint, group_b bigint, rank bigint"
-
-
 def _each_once(pairs: DataFrame) -> DataFrame:
     """Every pair once, with its best rank."""
     swap = F.col("a") > F.col("b")
@@ -393,13 +432,10 @@ def similar_texts(
     homes = kept(homes.join(nodes, "cls"), "ngram-homes")
     per_home = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     number = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    homes = homes.join(per_home, "home").select("cls", F.xxhash64("home", number).alias("block"), "node")
-    found_sets = (
-        join_small(texts, kept(homes.select(F.col("node").alias("doc_id")), "ngram-wanted"), "doc_id")
-        .mapInArrow(_set_maker(n), "cls binary, set binary")
-        .dropDuplicates(["cls"])
+    homes = kept(
+        homes.join(per_home, "home").select("cls", F.xxhash64("home", number).alias("block"), "node"), "ngram-homes"
     )
-    sets = kept(found_sets.join(homes.select("cls", "block").hint("merge"), "cls"), "ngram-sets")
+    shorts = kept(_sets(texts, homes.select(F.col("node").alias("doc_id")), n, True), "ngram-shorts")
 
     first_pairs = met.where(_may_link("first_meta", "meta", num, den)).select(
         F.col("first").alias("a"), F.col("cls").alias("b"),
@@ -407,7 +443,7 @@ def similar_texts(
         F.xxhash64("first").alias("group_a"), F.xxhash64("cls").alias("group_b"),
         F.shiftright("meta", 32).alias("rank"),
     )
-    links = kept(_verified(_each_once(first_pairs), sets, num, den), "ngram-links")
+    links = _linked(_each_once(first_pairs), texts, shorts, homes, n, num, den)
     groups = kept(_class_groups(links, nodes), "ngram-groups")
 
     grouped = nodes.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("group"))
@@ -434,7 +470,7 @@ def similar_texts(
         .sortWithinPartitions("token", "row", "column")
         .mapInArrow(_crossing(num, den), PAIR)
     )
-    more = kept(_verified(_each_once(crossing), sets, num, den), "ngram-links")
+    more = _linked(_each_once(crossing), texts, shorts, homes, n, num, den)
     groups = kept(_class_groups(links.union(more), nodes), "ngram-groups")
 
     of_class = nodes.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("component_id"))

@@ -86,6 +86,9 @@ def test_filters_keep_every_link():
         y = np.sort(rng.choice(pool, rng.integers(1, 40), replace=False))
         both = len(np.intersect1d(x, y))
         assert nj.linked(x, y, 70, 100) == (100 * both >= 70 * (len(x) + len(y) - both))
+        assert nj.may_link(nj.short_of(x), nj.short_of(y), 70, 100) or not nj.linked(x, y, 70, 100)
+        crowded = [nj.short_of(s % np.uint64(7)) for s in (x, y)]
+        assert nj.may_link(*crowded, 70, 100) or not nj.linked(x, y, 70, 100)
         assert (100 * both >= 70 * (len(x) + len(y) - both)) == (both >= nj.least_overlap(len(x), len(y), 70, 100))
 
 
