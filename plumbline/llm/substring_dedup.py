@@ -5,10 +5,11 @@ can belong to a repeat are sorted.  In each window of ``length`` bytes the k-gra
 hash is its anchor; equal windows have equal anchors at equal places.  A run of windows with
 one anchor is a context.  Contexts whose anchor occurs nowhere else hold no repeat, and contexts
 that occur twice as a whole are repeats as a whole: both follow from counts that combine before
-the shuffle.  What remains, contexts that share an anchor and differ, goes into the suffix array:
-sampled splitters range-partition the suffixes by their leading bytes, with ties broken by place
-so that a string of any frequency spreads over buckets; each bucket sorts locally by a multikey
-quicksort and compares neighbours; first and last suffixes compare across buckets.
+the shuffle.  What remains, contexts that share an anchor and differ, is looked at again with longer
+k-grams, and what remains then goes into the suffix array: sampled splitters range-partition the
+suffixes by their leading bytes, with ties broken by place so that a string of any frequency
+spreads over buckets; each bucket sorts locally by a multikey quicksort and compares neighbours;
+first and last suffixes compare across buckets.
 """
 
 from __future__ import annotations
@@ -17,89 +18,104 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytestream import PLAIN_2, Hashed, flat, mix, signed, slices
+from plumbline.llm.chunks import spread
 from plumbline.llm.frames import join_small, kept, named
 
 LENGTH = 200
-GRAM = 32
+GRAMS = (64, 172)
 PIECE = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 
-ANCHOR = "gram bigint, context bigint, doc bigint, sig bigint, lo int, hi int"
+ANCHOR = "gram bigint, context bigint, doc bigint, sig bigint, lo int, hi int, open boolean"
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Contexts of flat texts: arrays of row, anchor hash, context hash, first and last start.
+def anchors(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int):
+    """Contexts among the window starts ``lo .. hi`` of each of several ranges.
 
-    The starts are those of windows within one text, counted from its beginning.
+    Ranges do not overlap.  Returns the range each context lies in, its anchor's hash, its own
+    hash, and its first and last start.
     """
     hashed = Hashed(data)
     grams = hashed.windows(gram)
-    n = len(grams)
-    places = np.arange(n, dtype=np.uint64)
     # Hash and place in one number: the least is the leftmost of the least hashes.
-    least = (grams & ~_PLACE) | places
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, length - gram + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    at = (least & _PLACE).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
-    start = np.arange(len(at))
-    inside = np.flatnonzero(start + length <= offsets[row + 1])
-    if not len(inside):
-        none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
-    at, row = at[inside], row[inside]
-    change = np.flatnonzero((at[1:] != at[:-1]) | (row[1:] != row[:-1])) + 1
+    start = spread(lo, hi - lo + 1)
+    range_of = np.repeat(np.arange(len(lo)), hi - lo + 1)
+    at = (least[start] & _PLACE).astype(np.int64)
+    change = np.flatnonzero((at[1:] != at[:-1]) | (range_of[1:] != range_of[:-1])) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change - 1, [len(at) - 1]])
-    lo, hi, anchor = inside[first], inside[last], at[first]
-    shape = ((anchor - lo) * (2 * length) + (hi - lo)).astype(np.uint64)
-    context = mix(hashed.of(lo, hi + length) + mix(shape))
-    begin = offsets[row[first]]
-    return row[first], grams[anchor], context, lo - begin, hi - begin
+    begin, end, anchor = start[first], start[last], at[first]
+    shape = ((anchor - begin) * (2 * length) + (end - begin)).astype(np.uint64)
+    context = mix(hashed.of(begin, end + length) + mix(shape))
+    return range_of[first], grams[anchor], context, begin, end
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Parts of a batch to work on at once: ``rows, data, offsets, shift``.
+    """Parts of a batch to work on at once: ``first row, last row, data, offsets, shift``.
 
     Small texts go together; a long one is cut where windows of the next part begin.
     """
     for first, last in slices(offsets):
         part = offsets[first : last + 1]
         if last - first > 1 or part[-1] - part[0] <= PIECE:
-            yield first, data[part[0] : part[-1]], part - part[0], 0
+            yield first, last, data[part[0] : part[-1]], part - part[0], 0
             continue
         size = int(part[1] - part[0])
         for shift in range(0, size, PIECE):
             own = data[part[0] + shift : part[0] + min(size, shift + PIECE + length - 1)]
-            yield first, own, np.array([0, len(own)]), shift
+            yield first, last, own, np.array([0, len(own)]), shift
 
 
 def _anchorer(length: int, gram: int):
+    """Contexts of the ranges ``wanted`` of each text, or of whole texts without that column."""
+
     def find(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             docs, sigs = batch.column("doc"), batch.column("sig")
-            for first, own, bounds, shift in pieces(data, offsets, length):
-                if len(own) < length:
-                    continue
-                row, gram_hash, context, lo, hi = anchors(own, bounds, length, gram)
-                if not len(row):
+            lists = batch.column("wanted") if "wanted" in batch.schema.names else None
+            for first, last, own, bounds, shift in pieces(data, offsets, length):
+                most = PIECE - 1 if last - first == 1 else len(own)
+                if lists is None:
+                    row = np.arange(last - first)
+                    lo, hi = np.zeros(len(row), np.int64), np.diff(bounds) - length
+                    is_open = np.ones(len(row), bool)
+                else:
+                    some = lists.slice(first, last - first)
+                    inner = some.flatten()
+                    row = np.repeat(np.arange(last - first), np.asarray(pc.list_value_length(some)))
+                    lo = inner.field("lo").to_numpy().astype(np.int64) - shift
+                    hi = inner.field("hi").to_numpy().astype(np.int64) - shift
+                    is_open = inner.field("open").to_numpy(zero_copy_only=False)
+                # A part of a long text has the starts below PIECE; the bytes after are the next one's.
+                lo, hi = np.maximum(lo, 0), np.minimum(hi, np.minimum(np.diff(bounds)[row] - length, most))
+                good = lo <= hi
+                if not good.any():
                     continue
-                at = pa.array(row + first)
+                row, lo, hi, is_open = row[good], lo[good], hi[good], is_open[good]
+                base = bounds[row]
+                which, gram_hash, context, begin, end = anchors(own, lo + base, hi + base, length, gram)
+                at = pa.array(row[which] + first)
+                shifted = shift - base[which]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(gram_hash)), pa.array(signed(context)), docs.take(at), sigs.take(at),
-                        pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)),
+                        pa.array((begin + shifted).astype(np.int32)), pa.array((end + shifted).astype(np.int32)),
+                        pa.array(is_open[which]),
                     ],
-                    names=["gram", "context", "doc", "sig", "lo", "hi"],
+                    names=["gram", "context", "doc", "sig", "lo", "hi", "open"],
                 )
 
     return find
@@ -220,52 +236,64 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def repeated_starts(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def repeated_starts(texts: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
     """``doc, sig, lo, hi``: runs of window starts in ``texts`` (``doc, sig, text``) that repeat."""
-    found = texts.mapInArrow(_anchorer(length, gram), ANCHOR)
-    several = (
-        found.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most"))
-        .where("n > 1")
-        .select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    )
-    shared = kept(found.join(several.hint("merge"), "gram"), "suffix-shared")
-    place = F.struct("doc", "sig", "lo", "hi")
-    contexts = kept(
-        shared.where("mixed").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")),
-        "suffix-contexts",
-    )
-    whole = shared.where("NOT mixed").select("doc", "sig", "lo", "hi")
-    again = (
-        shared.where("mixed")
-        .join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"])
-        .select("doc", "sig", "lo", "hi")
-    )
-    # One occurrence of each context enters the suffix array; those that stand alone are open.
-    wanted = kept(
-        contexts.select("one.*", (F.col("n") == 1).alias("open"))
-        .groupBy("doc", "sig")
-        .agg(F.collect_list(F.struct("lo", "hi", "open")).alias("wanted")),
-        "suffix-wanted",
-    )
+    wanted, runs = None, []
+    for gram in grams:
+        looked_at = texts if wanted is None else join_small(texts, wanted, ["doc", "sig"])
+        found = looked_at.mapInArrow(_anchorer(length, gram), ANCHOR)
+        # Contexts that are not open stand for repeats found before; they are there to be met.
+        several = kept(
+            found.groupBy("gram")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min("context").alias("least"),
+                F.max("context").alias("most"),
+                F.max("open").alias("any_open"),
+            )
+            .where("n > 1 AND any_open")
+            .select("gram", (F.col("least") != F.col("most")).alias("mixed")),
+            "suffix-several",
+        )
+        shared = kept(found.join(several, "gram"), "suffix-shared")
+        contexts = kept(
+            shared.where("mixed")
+            .groupBy("gram", "context")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sig", "lo", "hi", "open")).alias("one")),
+            "suffix-contexts",
+        )
+        again = shared.where("mixed AND open").join(
+            contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]
+        )
+        runs += [shared.where("NOT mixed AND open"), again]
+        # One occurrence of each context is looked at further; those that stand alone stay open.
+        wanted = kept(
+            contexts.groupBy("one.doc", "one.sig").agg(
+                F.collect_list(
+                    F.struct("one.lo", "one.hi", (F.col("one.open") & (F.col("n") == 1)).alias("open"))
+                ).alias("wanted")
+            ),
+            "suffix-wanted",
+        )
     suffixes = join_small(texts, wanted, ["doc", "sig"]).mapInArrow(_suffixer(length), SUFFIX)
     sorted_out = kept(
         suffixes.repartitionByRange("lead", "next", "rest", "doc", "at").mapInArrow(_bucket, BUCKET),
         "suffix-buckets",
     )
-    inside = sorted_out.where("NOT edge").select("doc", "sig", F.col("at").alias("lo"), F.col("at").alias("hi"))
     edges = sorted_out.where("edge").drop("edge").distinct()
     equal = ["lead", "next", "rest"]
-    across = (
-        edges.join(edges.groupBy(*equal).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), equal)
-        .where("open")
-        .select("doc", "sig", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    )
-    return whole.union(again).union(inside).union(across)
+    across = edges.join(
+        edges.groupBy(*equal).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), equal
+    ).where("open")
+    one = [s.select("doc", "sig", F.col("at").alias("lo"), F.col("at").alias("hi")) for s in (sorted_out.where("NOT edge"), across)]
+    found = one[0].union(one[1])
+    for run in runs:
+        found = found.union(run.select("doc", "sig", "lo", "hi"))
+    return found
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grams: tuple[int, ...] = GRAMS
 ) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
@@ -275,8 +303,8 @@ def without_repeats(
     texts of their own, so equal rows repeat each other.  Other columns are not looked
     at; an empty table gives no rows.
     """
-    if gram > length:
-        raise ValueError("a k-gram is no longer than the string that holds it")
+    if not grams or max(grams) > length or length < 16:
+        raise ValueError("strings have 16 bytes or more, and k-grams are no longer than they are")
     texts = docs.select(
         named(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(named(text_col), F.lit("")).alias("text"),
@@ -287,7 +315,7 @@ def without_repeats(
         F.xxhash64("text").alias("sig"),
     )
     starts = kept(
-        repeated_starts(texts.select("doc", "sig", "text"), length, gram)
+        repeated_starts(texts.select("doc", "sig", "text"), length, grams)
         .groupBy("doc", "sig")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("spans")),
         "suffix-spans",
