@@ -1,11 +1,9 @@
-"""Column functions and the distributed median."""
+"""Column functions; the distributed median is in ``plumbline.functions.median``."""
 
 from plumbline.functions.formatting import fmt_bytes, fmt_fixed, fmt_pct_change, pct_change
 from plumbline.functions.hashing import mixed_bucket, row_salt
-from plumbline.functions.median import exact_median
 
 __all__ = [
-    "exact_median",
     "fmt_bytes",
     "fmt_fixed",
     "fmt_pct_change",

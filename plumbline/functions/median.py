@@ -1,9 +1,9 @@
 """Exact median per group that never holds one group in one task.
 
 ``median()`` keeps all distinct values of a group in a single buffer, which a
-stage with a third of all tasks would overflow.  Here equal values are first
-counted map-side, then the counts are spread by (group, value range).  Range
-totals tell which range holds the middle ranks, and only that range is walked.
+stage with a third of all tasks would overflow.  Here a histogram comes first: counts
+per group and value range combine map-side to a few rows.  Running totals tell which
+range holds the middle ranks, and only rows of that range are read again and ranked.
 """
 
 from __future__ import annotations
@@ -11,9 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A range spans 2^21 whole numbers: at most that many distinct values lie in one
-# range, and values below 2^42 (4 TB of bytes) make at most that many ranges.
-RANGE_BITS = 21
+from plumbline.operators.joins import broadcast_join, measured_bytes
+from plumbline.settle import settled
+
+# A range holds values that share their power of two and this many bits below it, so a group
+# has some hundreds of ranges whatever its values are.
+RANGE_BITS = 6
+
+
+def value_range(value: Column) -> Column:
+    """The number of the range of a whole number; ranges ascend with values."""
+    size = F.abs(value)
+    power = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"), F.lit(0))
+    # log2 of a double may be off by one near a power of two: what counts is that it
+    # depends on the value alone and never descends.
+    shift = F.greatest(power - RANGE_BITS, F.lit(0))
+    number = (power.cast("bigint") * 2 ** (RANGE_BITS + 2)) + F.call_function("shiftright", size, shift)
+    return F.when(value < 0, -number).otherwise(number)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -24,22 +38,16 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     present = F.lit(True)
     for name in (*keys, value):
         present = present & F.col(name).isNotNull()
-
-    counted = (
-        df.where(present)
-        .select(*keys, F.shiftright(value, RANGE_BITS).alias("_range"), F.col(value).alias("_value"))
-        .where(F.col("_range").isNotNull())
-        .groupBy(*keys, "_range", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .repartition(*keys, "_range")
+    rows = df.where(present).select(
+        *keys, value_range(F.col(value)).alias("_range"), F.col(value).alias("_value")
     )
 
     in_group = Window.partitionBy(*keys).orderBy("_range")
     so_far = in_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = in_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    middle = (
-        counted.groupBy(*keys, "_range")
-        .agg(F.sum("_n").alias("_size"))
+    middle = settled(
+        rows.groupBy(*keys, "_range")
+        .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_total", F.sum("_size").over(whole))
         .withColumn("_before", F.sum("_size").over(so_far) - F.col("_size"))
         # Ranks of the two middle values, counted from one inside this range.
@@ -49,14 +57,15 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
         .select(*keys, "_range", "_lower", "_upper")
     )
 
+    # At most two rows per group: small beside the rows, and measured before it is broadcast.
+    near = broadcast_join(rows, middle, [*keys, "_range"], dim_bytes=measured_bytes(middle))
+    counted = near.groupBy(*keys, "_range", "_value", "_lower", "_upper").agg(F.count(F.lit(1)).alias("_n"))
     up_to_value = (
         Window.partitionBy(*keys, "_range")
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counted.join(middle, [*keys, "_range"]).withColumn(
-        "_through", F.sum("_n").over(up_to_value)
-    )
+    ranked = counted.withColumn("_through", F.sum("_n").over(up_to_value))
     before = F.col("_through") - F.col("_n")
     low = F.max(F.when(_holds(before, F.col("_through"), "_lower"), F.col("_value")))
     high = F.max(F.when(_holds(before, F.col("_through"), "_upper"), F.col("_value")))

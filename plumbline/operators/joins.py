@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.hashing import row_salt
-from plumbline.operators.rollup import max_over_median
 from plumbline.settle import settled
 
 BROADCAST_BYTES = 100 * 1024**2
@@ -91,58 +90,85 @@ def salted_join(
     A key that is hot on both sides also needs ``right_salts``: the two salts
     then form a grid, and each pair of rows meets in exactly one cell.
 
-    ``hot`` (see ``hot_keys``) limits salting and copying to those keys; if it has
-    a column ``salts``, that says how many each key gets.
+    ``hot`` (see ``hot_keys``) limits salting and copying to those keys; columns ``salts``
+    and ``right_salts`` say how many each key gets, where it has them.
     """
     keys = _names(on)
     if how not in SALTABLE:
         raise ValueError(f"a salted join can be one of {SALTABLE}, not {how!r}")
-    if right_salts > 1 and how != "inner":
-        raise ValueError("salting both sides needs an inner join")
     if salts < 1 or right_salts < 1:
         raise ValueError("salt counts start at 1")
+    grid = right_salts > 1 or (hot is not None and "right_salts" in hot.columns)
+    if grid and how != "inner":
+        raise ValueError("salting both sides needs an inner join")
 
     by_left, by_right = salt_by or left.columns, right_salt_by or right.columns
-    rows, columns, own_rows = F.lit(salts), F.lit(right_salts), F.lit(salts)
+    rows, columns, own_rows, own_columns = F.lit(salts), F.lit(right_salts), F.lit(salts), F.lit(right_salts)
+    most = salts
     if hot is not None:
         count = F.col("salts") if "salts" in hot.columns else F.lit(salts)
-        marked = settled(hot.select(*keys, count.cast("int").alias("_salts")))
-        size = measured_bytes(marked)
+        across = F.col("right_salts") if "right_salts" in hot.columns else F.lit(right_salts)
+        marked = settled(
+            hot.select(*keys, count.cast("int").alias("_salts"), across.cast("int").alias("_across"))
+        )
+        size, most = _bytes_and_most(marked)
         left = broadcast_join(left, marked, keys, "left", dim_bytes=size)
         right = broadcast_join(right, marked, keys, "left", dim_bytes=size)
-        rows = F.coalesce("_salts", F.lit(1))
-        columns = F.when(F.col("_salts").isNotNull(), right_salts).otherwise(1)
+        rows, columns = F.coalesce("_salts", F.lit(1)), F.coalesce("_across", F.lit(1))
         # Null keys match nothing, so they may go anywhere: spread them as well.
         without_key = F.lit(False)
         for key in keys:
             without_key = without_key | F.col(key).isNull()
         own_rows = F.when(without_key, salts).otherwise(rows)
+        own_columns = F.when(without_key, right_salts).otherwise(columns)
 
     left = left.withColumn("_row", row_salt(by_left, own_rows))
-    right = right.withColumn("_row", F.explode(F.sequence(F.lit(0), rows - 1)))
+    right = _copies(right, keys, "_row", rows, most)
     cells = [*keys, "_row"]
-    if right_salts > 1:
-        left = left.withColumn("_column", F.explode(F.sequence(F.lit(0), columns - 1)))
-        right = right.withColumn("_column", row_salt(by_right, columns))
+    if grid:
+        left = _copies(left, [*keys, "_row"], "_column", columns, most)
+        right = right.withColumn("_column", row_salt(by_right, own_columns))
         cells.append("_column")
-    left, right = left.drop("_salts"), right.drop("_salts")
+    left, right = left.drop("_salts", "_across"), right.drop("_salts", "_across")
     return left.join(right, cells, how).drop("_row", "_column")
 
 
-def hot_keys(
-    df: DataFrame, on: str | list[str], share: float = 0.01, rows_per_salt: int | None = None
-) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows, with their row counts.
+# A row is copied by one task up to so many times; beyond that copies are made in two steps.
+_COPIES_AT_ONCE = 1024
+
 
-    There can be no more than ``1 / share`` of them, so they may be broadcast.
-    ``rows_per_salt`` adds how many salts bring a key down to that many rows each.
+def _copies(df: DataFrame, keys: list[str], name: str, count: Column, most: int) -> DataFrame:
+    """Each row once per number from 0 up to ``count``, which is in ``name``."""
+    if most <= _COPIES_AT_ONCE:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), count - 1)))
+    parts = F.ceil(count / _COPIES_AT_ONCE).cast("int")
+    dealt = df.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(*keys, "_part")
+    first = F.col("_part") * _COPIES_AT_ONCE
+    last = F.least(first + _COPIES_AT_ONCE, count) - 1
+    return dealt.withColumn(name, F.explode(F.sequence(first, last))).drop("_part")
+
+
+def _bytes_and_most(marked: DataFrame) -> tuple[int, int]:
+    """Size in memory, and the largest number of copies, of marked keys."""
+    width = F.lit(8 * (len(marked.columns) + 1))
+    for field in marked.schema.fields:
+        width = width + _variable_bytes(field)
+    row = marked.agg(F.sum(width.cast("bigint")), F.max(F.greatest("_salts", "_across"))).first()
+    return row[0] or 0, row[1] or 1
+
+
+def hot_keys(df: DataFrame, on: str | list[str], rows_per_salt: int) -> DataFrame:
+    """Keys with more than ``rows_per_salt`` rows: key, ``rows``, and the ``salts`` that bring
+    each partition of the key down to that.
+
+    There are at most as many as the rows of ``df`` over ``rows_per_salt``.
     """
-    keys = _names(on)
-    least = max(df.count() * share, 1)
-    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
-    if rows_per_salt is not None:
-        found = found.withColumn("salts", F.ceil(F.col("rows") / rows_per_salt).cast("int"))
-    return found
+    return (
+        df.groupBy(*_names(on))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > rows_per_salt)
+        .withColumn("salts", F.ceil(F.col("rows") / rows_per_salt).cast("int"))
+    )
 
 
 def skew_aware_join(
@@ -151,38 +177,55 @@ def skew_aware_join(
     on: str | list[str],
     how: str = "inner",
     salt_by: list[str] | None = None,
-    share: float = 0.01,
     rows_per_salt: int = 5_000_000,
+    right_salt_by: list[str] | None = None,
 ) -> DataFrame:
-    """Salt the keys of ``left`` that need it, and join plainly if none does."""
-    hot = hot_keys(left, on, share, rows_per_salt).where("salts > 1")
+    """Salt the keys with many rows on either side, and join plainly if there are none.
+
+    Row counts of both sides are worked out once.  Rows of a key that is hot on the right are
+    spread only in an inner join: elsewhere copying left rows would repeat unmatched ones.
+    """
+    keys = _names(on)
+    hot = hot_keys(left, keys, rows_per_salt).select(*keys, "salts")
+    if how == "inner":
+        across = hot_keys(right, keys, rows_per_salt).select(*keys, F.col("salts").alias("right_salts"))
+        hot = hot.join(across, keys, "full").fillna(1, ["salts", "right_salts"])
+    hot = settled(hot)
     if hot.isEmpty():
-        return left.join(right, _names(on), how)
-    return salted_join(left, right, on, how=how, salt_by=salt_by, hot=hot)
+        return left.join(right, keys, how)
+    return salted_join(
+        left, right, keys, how=how, salt_by=salt_by, right_salt_by=right_salt_by, hot=hot
+    )
 
 
 def key_skew_profile(df: DataFrame, on: str | list[str]) -> DataFrame:
     """How unevenly rows fall on keys: the measure to choose a join by.
 
-    One row: ``n_keys, n_rows, max_rows, median_rows, skew_ratio``.
+    One row: ``n_keys, n_rows, max_rows, median_rows, skew_ratio``; the ratio is null for
+    fewer than two keys.  All of it follows from how many keys have how many rows, a table of
+    at most as many lines as there are different counts.
     """
-    per_key = (
-        df.groupBy(*_names(on))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(0).alias("whole"), "rows")
+    per_key = df.groupBy(*_names(on)).agg(F.count(F.lit(1)).alias("rows"))
+    counts = per_key.groupBy("rows").agg(F.count(F.lit(1)).alias("keys"))
+    everything = Window.partitionBy(F.lit(0))
+    upto = everything.orderBy("rows").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.select(
+        "rows", "keys", F.sum("keys").over(upto).alias("through"), F.sum("keys").over(everything).alias("all")
     )
-    extent = per_key.groupBy("whole").agg(
-        F.count(F.lit(1)).alias("n_keys"),
-        F.sum("rows").alias("n_rows"),
+    before = F.col("through") - F.col("keys")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((before < rank) & (rank <= F.col("through")), F.col("rows")))
+
+    found = placed.agg(
+        F.sum("keys").alias("n_keys"),
+        F.sum(F.col("keys") * F.col("rows")).alias("n_rows"),
         F.max("rows").alias("max_rows"),
+        ((at(F.expr("(all + 1) div 2")) + at(F.expr("all div 2 + 1"))) / 2).alias("median_rows"),
     )
-    ratio = max_over_median(per_key, ["whole"], "rows", "skew_ratio")
-    return extent.join(ratio, "whole").select(
-        "n_keys",
-        "n_rows",
-        "max_rows",
-        (F.col("max_rows") / F.col("skew_ratio")).alias("median_rows"),
-        "skew_ratio",
+    ratio = F.when(F.col("n_keys") >= 2, F.col("max_rows") / F.col("median_rows"))
+    return found.where("n_keys > 0").withColumn("skew_ratio", ratio).select(
+        "n_keys", "n_rows", "max_rows", F.when(F.col("n_keys") >= 2, F.col("median_rows")).alias("median_rows"), "skew_ratio"
     )
 
 
@@ -212,17 +255,17 @@ def salted_pair_totals(
     right: DataFrame,
     on: str | list[str],
     amount: str,
-    salts: int = SALTS,
+    rows_per_salt: int = 5_000_000,
     salt_by: list[str] | None = None,
 ) -> DataFrame:
     """``pair_totals`` with the left side kept as rows up to a salted join.
 
     The right side comes down to one row per key, so each left row meets at most
-    one row, and its rows of a hot key are spread over the salts.
+    one row; keys with more than ``rows_per_salt`` left rows, and they alone, are salted.
     """
     keys = _names(on)
     theirs = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_matches"))
-    joined = salted_join(left, theirs, keys, salts, salt_by=salt_by)
+    joined = salted_join(left, theirs, keys, salt_by=salt_by, hot=hot_keys(left, keys, rows_per_salt))
     return joined.groupBy(*keys).agg(
         F.sum("_matches").alias("matched_pairs"),
         F.sum(F.col(amount) * F.col("_matches")).alias("total_amount"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.rules import DEFAULTS, Thresholds
-from plumbline.sources.files import PARTITION_BYTES, file_listing, partitions_for
+from plumbline.sources.files import PARTITION_BYTES, file_listing, twin_session
 
 
 def small_file_profile(
@@ -34,29 +34,23 @@ def small_file_profile(
 
 
 def compact_scan(
-    spark: SparkSession,
-    path: str | list[str],
-    bytes_per_partition: int = PARTITION_BYTES,
-    at_least: int | None = None,
+    spark: SparkSession, path: str | list[str], bytes_per_partition: int = PARTITION_BYTES
 ) -> DataFrame:
-    """Read Parquet into partitions of about the given size, without a shuffle.
+    """Read Parquet into partitions of up to the given size, without a shuffle.
 
-    No fewer partitions are made than the session has cores, so that a small
-    table is still read in parallel.
+    The scan packs files itself: in a session of its own, opening a file counts as little, so
+    that small files share a partition.  Nothing is listed or coalesced.
     """
-    floor = at_least or spark.sparkContext.defaultParallelism
-    target = partitions_for(file_listing(spark, path), bytes_per_partition, floor)
-    return spark.read.parquet(*([path] if isinstance(path, str) else path)).coalesce(target)
+    reader = twin_session(spark)
+    reader.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_per_partition))
+    reader.conf.set("spark.sql.files.openCostInBytes", str(64 * 1024))
+    return reader.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Deal the rows out over all cores if the source has fewer partitions than that.
-
-    For work that is heavy per row after a read that cannot be split further.  A
-    source with enough partitions, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int, *by: str) -> DataFrame:
+    """Deal the rows out over ``partitions`` by ``by``: for work that is heavy per row after a
+    read that cannot be split further."""
+    return df.repartition(partitions, *by)
 
 
 def write_compacted(df: DataFrame, path: str, files: int) -> None:

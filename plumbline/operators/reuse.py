@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import broadcast_join
-from plumbline.settle import settled
 
 BUCKET_WIDTH = 100
 
@@ -20,11 +19,11 @@ def enrich_orders(
 ) -> DataFrame:
     """Orders with their customer, an upper-case name, a hash and an amount bucket.
 
-    ``limit`` keeps the first orders by id.  The hash is a number, as long texts
-    of random letters are slow to cache.
+    ``limit`` keeps the first orders by id; what follows runs in many partitions again.
+    The hash is a number, as long texts of random letters are slow to cache.
     """
     if limit is not None:
-        orders = orders.orderBy("order_id").limit(limit)
+        orders = first_rows(orders, limit, "order_id")
     joined = broadcast_join(orders, customers, "customer_id")
     enriched = joined.withColumn("name_upper", F.upper("customer_name")).withColumn(
         "amount_bucket", (F.col("order_amount") / BUCKET_WIDTH).cast("int")
@@ -35,6 +34,16 @@ def enrich_orders(
     return enriched
 
 
+def first_rows(df: DataFrame, n: int, by: str) -> DataFrame:
+    """The first ``n`` rows by ``by``, and all rows that tie with the last of them.
+
+    Only the value of ``by`` at rank ``n`` passes through one task; the rows are filtered
+    where they are, so that the work after it stays in many tasks.
+    """
+    last = df.select(by).orderBy(by).limit(n).agg(F.max(by))
+    return df.where(F.col(by) <= last.scalar())
+
+
 @contextmanager
 def shared(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
     """Persist a frame for the length of a ``with`` block.
@@ -93,15 +102,15 @@ def reuse_uncached(enriched: DataFrame) -> DataFrame:
     return _three_results(enriched.select(*_USED))
 
 
-def reuse_cached(enriched: DataFrame) -> DataFrame:
-    """The three results from one cached pass.
+def reuse_cached(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The three results from one cached pass, and the cached frame.
 
-    The result is checkpointed while the cache is there and comes back as a plain
-    lazy frame that no longer needs it.
+    Nothing runs yet: the first action on the results fills the cache.  The caller calls
+    ``unpersist()`` on the frame when the results are done with.  Where the results are all that
+    is wanted, ``reuse_grouping_sets`` needs no cache.
     """
-    with shared(enriched.select(*_USED)) as frame:
-        frame.count()
-        return settled(_three_results(frame))
+    frame = enriched.select(*_USED).persist(StorageLevel.MEMORY_AND_DISK)
+    return _three_results(frame), frame
 
 
 def reuse_grouping_sets(enriched: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.functions.formatting import fmt_fixed
+from plumbline.functions.formatting import fmt_fixed, round_fixed
 
 
 @dataclass(frozen=True)
@@ -51,18 +51,23 @@ def _finding(rule: int, severity: Column, message: Column, **evidence: Column) -
     )
 
 
+def _measured(*parts: str | float | Column) -> Column:
+    """A message from names and values in turn: ``name = value; name = value``."""
+    texts = []
+    for name, value in zip(parts[::2], parts[1::2]):
+        shown = value.cast("string") if isinstance(value, Column) else F.lit(f"{value:g}" if isinstance(value, (int, float)) else value)
+        texts.append(F.concat(F.lit(f"{name} = "), shown))
+    return F.concat_ws("; ", *texts)
+
+
 # --- rules over stages -------------------------------------------------------
 
 
 def _skew(limits: Thresholds) -> Column:
     ratio = F.col("shuffle_read_skew_ratio")
     hit = (F.col("num_tasks") >= limits.skew_min_tasks) & (ratio >= limits.skew_ratio)
-    message = F.format_string(
-        "Stage %d: the heaviest of %d tasks read %sx the median shuffle volume, "
-        "as happens when one hot key fills a single hash partition of a join or grouping.",
-        F.col("stage_id"),
-        F.col("num_tasks"),
-        fmt_fixed(ratio, 1),
+    message = _measured(
+        "largest / median shuffle read", fmt_fixed(ratio, 1), "limit", limits.skew_ratio, "tasks", F.col("num_tasks")
     )
     return F.when(
         hit,
@@ -70,7 +75,7 @@ def _skew(limits: Thresholds) -> Column:
             SKEW,
             F.when(ratio >= limits.skew_high_ratio, "high").otherwise("medium"),
             message,
-            skew_ratio=F.bround(ratio, 2),
+            skew_ratio=round_fixed(ratio, 2),
             num_tasks=F.col("num_tasks"),
             total_shuffle_read_bytes=F.col("total_shuffle_read_bytes"),
         ),
@@ -85,12 +90,9 @@ def _small_files(limits: Thresholds) -> Column:
         & (total > 0)
         & (average < limits.small_file_bytes)
     )
-    message = F.format_string(
-        "Stage %d: %d tasks took in %s KB each on average; opening files and "
-        "scheduling tasks likely costs more than the work itself.",
-        F.col("stage_id"),
-        F.col("num_tasks"),
-        fmt_fixed(average / 1024, 1),
+    message = _measured(
+        "input per task, KB", fmt_fixed(average / 1024, 1),
+        "limit", limits.small_file_bytes / 1024, "tasks", F.col("num_tasks"),
     )
     return F.when(
         hit,
@@ -99,7 +101,7 @@ def _small_files(limits: Thresholds) -> Column:
             F.lit("medium"),
             message,
             num_tasks=F.col("num_tasks"),
-            avg_input_bytes_per_task=F.bround(average, 1),
+            avg_input_bytes_per_task=round_fixed(average, 1),
             total_input_bytes=total,
         ),
     )
@@ -107,13 +109,8 @@ def _small_files(limits: Thresholds) -> Column:
 
 def _spill(limits: Thresholds) -> Column:
     memory, disk = F.col("total_memory_spilled"), F.col("total_disk_spilled")
-    message = F.format_string(
-        "Stage %d: %s MB spilled (%s MB from memory, %s MB to disk); the tasks "
-        "needed more execution memory than they had.",
-        F.col("stage_id"),
-        fmt_fixed((memory + disk) / 1e6, 1),
-        fmt_fixed(memory / 1e6, 1),
-        fmt_fixed(disk / 1e6, 1),
+    message = _measured(
+        "spilled from memory, MB", fmt_fixed(memory / 1e6, 1), "to disk, MB", fmt_fixed(disk / 1e6, 1)
     )
     return F.when(
         memory + disk > limits.spill_bytes,
@@ -135,15 +132,12 @@ def _serialization(limits: Thresholds) -> Column:
         & (run_time > 0)
         & (ratio >= limits.serde_ratio)
     )
-    message = F.format_string(
-        "Stage %d: reading and writing serialized rows takes %s%% of the run time; "
-        "check the serializer and whether rows can be narrower.",
-        F.col("stage_id"),
-        fmt_fixed(ratio * 100, 0),
+    message = _measured(
+        "serialization, % of run time", fmt_fixed(ratio * 100, 0), "limit", limits.serde_ratio * 100
     )
     return F.when(
         hit,
-        _finding(SERIALIZATION, F.lit("low"), message, overhead_ratio=F.bround(ratio, 3)),
+        _finding(SERIALIZATION, F.lit("low"), message, overhead_ratio=round_fixed(ratio, 3)),
     )
 
 
@@ -185,6 +179,20 @@ def detect_serialization_overhead(stages: DataFrame, limits: Thresholds = DEFAUL
 # --- rules over SQL executions -------------------------------------------------
 
 
+def _broadcast_finding() -> Column:
+    message = _measured(
+        "execution", F.col("execution_id"), "sort-merge joins in the plan", "yes", "broadcast joins", "no"
+    )
+    return _finding(MISSING_BROADCAST, F.lit("high"), message, execution_id=F.col("execution_id"))
+
+
+def _cache_finding(limits: Thresholds) -> Column:
+    message = _measured(
+        "executions that scan parquet", F.col("scans"), "limit", limits.min_scans, "cached scans", "none"
+    )
+    return _finding(MISSING_CACHE, F.lit("medium"), message, num_scanning_executions=F.col("scans"))
+
+
 def detect_missing_broadcast(
     signals: DataFrame, use_final_plan: bool = False, limits: Thresholds = DEFAULTS
 ) -> DataFrame:
@@ -195,14 +203,7 @@ def detect_missing_broadcast(
     """
     prefix = "final_" if use_final_plan else ""
     hit = F.col(prefix + "has_sort_merge_join") & ~F.col(prefix + "has_broadcast_join")
-    message = F.format_string(
-        "SQL execution %d: joins by SortMergeJoin and has no BroadcastHashJoin; if one "
-        "side fits spark.sql.autoBroadcastJoinThreshold, the shuffle can be saved.",
-        F.col("execution_id"),
-    )
-    found = _finding(
-        MISSING_BROADCAST, F.lit("high"), message, execution_id=F.col("execution_id")
-    )
+    found = _broadcast_finding()
     return signals.where(hit).select("run_key", "execution_id", F.inline(F.array(found))).select(
         "run_key",
         "detector_ord",
@@ -221,14 +222,7 @@ def detect_missing_cache(signals: DataFrame, limits: Thresholds = DEFAULTS) -> D
         F.count_if("has_parquet_scan").alias("scans"),
         F.max("has_cached_scan").alias("any_cached"),
     )
-    message = F.format_string(
-        "%d SQL executions of this application scan parquet files and none reads a cached "
-        "frame; a derived frame they share is computed anew each time.",
-        F.col("scans"),
-    )
-    found = _finding(
-        MISSING_CACHE, F.lit("medium"), message, num_scanning_executions=F.col("scans")
-    )
+    found = _cache_finding(limits)
     hit = (F.col("scans") >= limits.min_scans) & ~F.col("any_cached")
     return per_run.where(hit).select("run_key", F.inline(F.array(found))).select(
         "run_key",
@@ -242,21 +236,53 @@ def detect_missing_cache(signals: DataFrame, limits: Thresholds = DEFAULTS) -> D
     )
 
 
+def _plan_findings(signals: DataFrame, limits: Thresholds, use_final_plan: bool) -> DataFrame:
+    """Both rules over SQL executions from one pass over the signals.
+
+    The executions to report are few; the run's counts come from the same rows, as grouping
+    sets, so that plans are read once.
+    """
+    prefix = "final_" if use_final_plan else ""
+    hit = F.col(prefix + "has_sort_merge_join") & ~F.col(prefix + "has_broadcast_join")
+    judged = signals.select(
+        "run_key",
+        F.when(hit, F.col("execution_id")).alias("execution_id"),
+        F.col("has_parquet_scan").cast("int").alias("_scan"),
+        F.col("has_cached_scan").cast("int").alias("_cached"),
+    )
+    # One partial row per run and reported execution; null stands for all that are not reported.
+    counted = judged.groupBy("run_key", "execution_id").agg(
+        F.sum("_scan").alias("_scans"), F.max("_cached").alias("_any")
+    )
+    rolled = counted.groupingSets(
+        [[F.col("run_key"), F.col("execution_id")], [F.col("run_key")]], "run_key", "execution_id"
+    ).agg(
+        F.grouping_id().alias("_set"), F.sum("_scans").alias("scans"), F.max("_any").alias("_any")
+    )
+    one, run = F.col("_set") == 0, F.col("_set") != 0
+    rules = F.array(
+        F.when(one & F.col("execution_id").isNotNull(), _broadcast_finding()),
+        F.when(run & (F.col("scans") >= limits.min_scans) & (F.col("_any") == 0), _cache_finding(limits)),
+    )
+    hits = F.filter(rules, lambda found: found.isNotNull())
+    return rolled.select("run_key", "execution_id", F.inline(hits)).select(
+        "run_key", "detector_ord", "category", "severity", F.lit(None).cast("int").alias("stage_id"),
+        "execution_id", "message", "evidence",
+    )
+
+
 def all_findings(
     stages: DataFrame,
     signals: DataFrame,
     limits: Thresholds = DEFAULTS,
     use_final_plan: bool = False,
 ) -> DataFrame:
-    """Findings of all rules; the stage roll-up is worked out once for its four rules."""
+    """Findings of all rules, from one pass over the stages and one over the signals."""
     by_stage = _from_stages(
         stages, _skew(limits), _small_files(limits), _spill(limits), _serialization(limits)
     )
-    return (
-        by_stage.unionByName(detect_missing_broadcast(signals, use_final_plan, limits))
-        .unionByName(detect_missing_cache(signals, limits))
-        .select(*schemas.FINDINGS.names)
-    )
+    by_plan = _plan_findings(signals, limits, use_final_plan)
+    return by_stage.unionByName(by_plan).select(*schemas.FINDINGS.names)
 
 
 def with_app_name(findings: DataFrame, apps: DataFrame) -> DataFrame:
@@ -264,5 +290,28 @@ def with_app_name(findings: DataFrame, apps: DataFrame) -> DataFrame:
     return findings.join(apps.select("run_key", "app_name"), "run_key")
 
 
-# The order in which findings are listed within a run.
-LISTING_ORDER = ["run_key", "detector_ord", "stage_id", "execution_id"]
+# The order in which findings are listed within a run; executions go by number after stages.
+LISTING_ORDER = ["detector_ord", "stage_id", "execution_id"]
+# Findings of a run are numbered in blocks of so many stages or executions.
+_BLOCK = 4096
+
+
+def findings_listing(findings: DataFrame) -> DataFrame:
+    """Findings with their ``listing_position`` in their run, counted from one.
+
+    A run with millions of findings is not sorted in one task: findings are counted per
+    rule and block of stage or execution numbers first, the running total of those counts is
+    where a block begins, and only within its block is a finding ranked.
+    """
+    of = F.coalesce(F.col("stage_id").cast("bigint"), F.col("execution_id"), F.lit(0))
+    placed = findings.withColumn("_of", of).withColumn("_block", F.floor(F.col("_of") / _BLOCK))
+    block = ["run_key", "detector_ord", "_block"]
+    sizes = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("run_key").orderBy("detector_ord", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("_of"))
+    return (
+        placed.join(begins, block)
+        .withColumn("listing_position", F.col("_before") + rank)
+        .select(*findings.columns, "listing_position")
+    )

@@ -62,8 +62,12 @@ def evt_task_extract(spark, sf):
 def evt_stage_rollup(spark, sf):
     """Stages straight from JSON lines."""
     lines = telemetry.task_lines(spark, sf).unionByName(telemetry.stage_lines(spark, sf))
-    # Parsed once; the roll-up comes back to the events for sums, medians and times.
-    events = settled(eventlog.parse_events(lines))
+    # Parsed once, and only the columns kept that the roll-up comes back to.
+    events = settled(
+        eventlog.parse_events(lines, ["task_end", "stage_submitted", "stage_completed"]).drop(
+            "app_id", "app_name", "event_ms", "execution_id", "description", "physical_plan"
+        )
+    )
     return rollup.stage_rollup(
         eventlog.tasks(events), eventlog.stage_events(events), duration_skew=False
     ).drop("task_duration_skew_ratio")
@@ -188,7 +192,14 @@ def all_findings(spark, sf):
     """Findings of all rules with the app they belong to."""
     named = rules.with_app_name(_findings(spark, sf), telemetry.app_rows(spark, sf))
     return named.select(
-        "run_key", "app_name", "detector_ord", "category", "severity", "stage_id", "execution_id"
+        "run_key", "app_name", "detector_ord", "category", "severity", "stage_id", "execution_id", "message"
+    )
+
+
+def findings_listing(spark, sf):
+    """Findings with their place in the listing of their run."""
+    return rules.findings_listing(settled(_findings(spark, sf))).select(
+        "run_key", "category", "stage_id", "execution_id", "listing_position"
     )
 
 
@@ -264,7 +275,7 @@ def _tax_and_discount(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# --- text, checked by pytest ----------------------------------------------------------
+# --- text ----------------------------------------------------------
 
 
 def fmt_bytes_cases(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import joins, layout, reuse
-from plumbline.sources import files, generate
+from plumbline.sources import generate
 from plumbline.sources.telemetry import table
 
 _CENTS = "decimal(18,2)"
@@ -85,11 +85,16 @@ def shuffle_join_hot_key(spark, sf):
     return _as_totals(joins.pair_totals(orders, events, "customer_id", "order_amount"))
 
 
+def _rows_per_salt(spark: SparkSession, sf: str) -> int:
+    """A twentieth of the orders: what one partition may hold of a customer here."""
+    return max(_rows(spark, sf, "orders") // 20, 1)
+
+
 def salted_join_hot_key(spark, sf):
     """The same through a salted join of order rows."""
     orders, events = _hot_facts(spark, sf)
     totals = joins.salted_pair_totals(
-        orders, events, "customer_id", "order_amount", salt_by=["order_id"]
+        orders, events, "customer_id", "order_amount", _rows_per_salt(spark, sf), ["order_id"]
     )
     return _as_totals(totals)
 
@@ -98,19 +103,35 @@ def salted_join_rows(spark, sf):
     """Order rows with the event count of their customer; only hot customers are salted."""
     orders, events = _hot_facts(spark, sf)
     per_customer = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_events"))
-    hot = joins.hot_keys(orders, "customer_id", share=0.05, rows_per_salt=1_000)
+    hot = joins.hot_keys(orders, "customer_id", _rows_per_salt(spark, sf))
     joined = joins.salted_join(
         orders, per_customer, "customer_id", how="left", salt_by=["order_id"], hot=hot
     )
     return joined.select("order_id", "customer_id", "n_events")
 
 
+def salted_join_grid(spark, sf):
+    """Order rows with the counts of their customer's events by type, both sides salted.
+
+    A customer has one row per type on the right, so no order meets more than a few.
+    """
+    orders, events = _hot_facts(spark, sf)
+    by_type = events.groupBy("customer_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
+    hot = joins.hot_keys(orders, "customer_id", _rows_per_salt(spark, sf)).withColumn(
+        "right_salts", F.lit(2)
+    )
+    joined = joins.salted_join(
+        orders, by_type, "customer_id", salt_by=["order_id"], right_salt_by=["event_type"], hot=hot
+    )
+    return joined.select("order_id", "customer_id", "event_type", "n_events")
+
+
 def skew_aware_join(spark, sf):
-    """The same with the choice of join left to the row counts."""
+    """Orders and event counts with the choice of join left to the row counts."""
     orders, events = _hot_facts(spark, sf)
     per_customer = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_events"))
     joined = joins.skew_aware_join(
-        orders, per_customer, "customer_id", "left", ["order_id"], rows_per_salt=1_000
+        orders, per_customer, "customer_id", "left", ["order_id"], _rows_per_salt(spark, sf)
     )
     return joined.select("order_id", "customer_id", "n_events")
 
@@ -160,8 +181,8 @@ def key_skew_profile_hot(spark, sf):
 
 
 def hot_keys(spark, sf):
-    """Customers that own five percent of the orders or more."""
-    return joins.hot_keys(_hot_facts(spark, sf)[0], "customer_id", share=0.05)
+    """Customers with more orders than a twentieth of them all, and the salts they call for."""
+    return joins.hot_keys(_hot_facts(spark, sf)[0], "customer_id", _rows_per_salt(spark, sf))
 
 
 # --- layout -------------------------------------------------------------------------------
@@ -182,17 +203,6 @@ def small_files_compacted(spark, sf):
     return _per_priority(layout.compact_scan(spark, f"{sf}/orders.parquet"))
 
 
-def small_file_profile(spark, sf):
-    """File count and sizes of the given tables."""
-    return layout.small_file_profile(spark, sf)
-
-
-def file_listing(spark, sf):
-    """The files of the given tables."""
-    listed = files.file_listing(spark, sf)
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
-
-
 # --- reuse --------------------------------------------------------------------------------
 
 
@@ -206,9 +216,16 @@ def enrich_orders(spark, sf):
     return _enriched(spark, sf)
 
 
-def enrich_orders_hashed(spark, sf):
-    """The same with the hash, which SQL elsewhere has no twin of."""
-    return _enriched(spark, sf, with_hash=True)
+def enrich_orders_limited(spark, sf):
+    """The first thousand orders by id, enriched."""
+    orders, customers = _fact_and_dimension(spark, sf)
+    return reuse.enrich_orders(orders, customers, limit=1_000, with_hash=False)
+
+
+def enriched_hashes(spark, sf):
+    """Per region, how many distinct hashes its orders have: as many as it has orders."""
+    hashed = _enriched(spark, sf, with_hash=True)
+    return hashed.groupBy("region").agg(F.countDistinct("name_hash").alias("hashes"))
 
 
 def reuse_by_region(spark, sf):
@@ -230,8 +247,8 @@ def reuse_uncached(spark, sf):
 
 
 def reuse_cached(spark, sf):
-    """Three results from one cached frame."""
-    return reuse.reuse_cached(_enriched(spark, sf))
+    """Three results from one cached frame, which the session holds until it is released."""
+    return reuse.reuse_cached(_enriched(spark, sf))[0]
 
 
 def reuse_grouping_sets(spark, sf):

@@ -39,9 +39,12 @@ def diagnose(
     exclude_failed: bool = False,
     use_final_plan: bool = False,
     tolerate_cut_off: bool = False,
+    skip_unreadable: bool = False,
 ) -> Fleet:
     """Read all logs and write ``events, apps, stages, signals, metrics, findings``
-    and ``recommendations`` below ``folder``."""
+    and ``recommendations`` below ``folder``; with ``skip_unreadable`` also ``unreadable``.
+
+    Events are kept of all logs; every other table is of the runs that ``apps`` names."""
     fleet = Fleet(spark, folder.rstrip("/"))
     events = eventlog.ingest(
         spark,
@@ -49,8 +52,12 @@ def diagnose(
         f"{fleet.folder}/events",
         include_unfinished,
         tolerate_cut_off=tolerate_cut_off,
+        skip_unreadable=skip_unreadable,
     )
+    if skip_unreadable:
+        fleet._save("unreadable", eventlog.unreadable_logs(spark, logs, include_unfinished))
     apps = fleet._save("apps", eventlog.apps(events, include_unfinished))
+    events = eventlog.of_runs(events, apps)
     stages = fleet._save(
         "stages",
         rollup.stage_rollup(eventlog.tasks(events), eventlog.stage_events(events), exclude_failed),

@@ -2,12 +2,12 @@
 
 Each is written from the definition of its query and not from the Spark code:
 medians are plain medians, skewed joins are plain joins, rules are plain filters.
-Text that is compared by the eye only (reports, formatted numbers) has no twin,
-nor have hashes and file sizes.
+Numbers in texts go through ``printf``, which rounds the binary value.
 """
 
 from __future__ import annotations
 
+from plumbline.operators.advice import RECOMMENDATIONS
 from plumbline.sources import telemetry as t
 
 _RUN_OF_SUPPLIER = "'run_' || (l_suppkey % 4)"
@@ -143,24 +143,49 @@ _SCANS_UNCACHED = """
   from signals group by run_key
   having count(*) filter (has_parquet_scan) >= 2 and not bool_or(has_cached_scan)"""
 
+def _fixed(value: str, digits: int) -> str:
+    return f"printf('%.{digits}f', ({value})::double)"
+
+
+_SKEW_TEXT = (
+    f"'largest / median shuffle read = ' || {_fixed('shuffle_read_skew_ratio', 1)} "
+    "|| '; limit = 3; tasks = ' || num_tasks"
+)
+_SMALL_TEXT = (
+    f"'input per task, KB = ' || {_fixed('total_input_bytes / num_tasks / 1024', 1)} "
+    "|| '; limit = 5120; tasks = ' || num_tasks"
+)
+_SPILL_TEXT = (
+    f"'spilled from memory, MB = ' || {_fixed('total_memory_spilled / 1e6', 1)} "
+    f"|| '; to disk, MB = ' || {_fixed('total_disk_spilled / 1e6', 1)}"
+)
+_SERDE_TEXT = (
+    f"'serialization, % of run time = ' || "
+    f"{_fixed('serde_time_ms / total_executor_run_time_ms * 100', 0)} || '; limit = 25'"
+)
+
 FINDINGS = f"""{STAGES},{SIGNALS},
 findings as (
   select run_key, 1 as detector_ord, 'skew' as category,
     case when shuffle_read_skew_ratio >= 10 then 'high' else 'medium' end as severity,
-    stage_id, {_NO_EXECUTION}
+    stage_id, {_NO_EXECUTION}, {_SKEW_TEXT} as message
   from stages where {_SKEWED}
   union all
-  select run_key, 2, 'small_files', 'medium', stage_id, null from stages where {_SMALL}
+  select run_key, 2, 'small_files', 'medium', stage_id, null, {_SMALL_TEXT} from stages where {_SMALL}
   union all
-  select run_key, 3, 'missing_broadcast', 'high', null, execution_id from signals
+  select run_key, 3, 'missing_broadcast', 'high', null, execution_id,
+    'execution = ' || execution_id || '; sort-merge joins in the plan = yes; broadcast joins = no'
+  from signals
   where has_sort_merge_join and not has_broadcast_join
   union all
-  select run_key, 4, 'missing_cache', 'medium', null, null from ({_SCANS_UNCACHED})
+  select run_key, 4, 'missing_cache', 'medium', null, null,
+    'executions that scan parquet = ' || scans || '; limit = 2; cached scans = none'
+  from ({_SCANS_UNCACHED})
   union all
   select run_key, 5, 'spill', case when total_disk_spilled > 0 then 'high' else 'medium' end,
-    stage_id, null from stages where {_SPILLED}
+    stage_id, null, {_SPILL_TEXT} from stages where {_SPILLED}
   union all
-  select run_key, 6, 'serialization_overhead', 'low', stage_id, null
+  select run_key, 6, 'serialization_overhead', 'low', stage_id, null, {_SERDE_TEXT}
   from stages where {_SERDE})"""
 
 _NAMES_BY_NO = " ".join(f"when {no} then '{name}'" for no, name in enumerate(t.APP_NAMES))
@@ -251,7 +276,7 @@ hot_orders as (
   from orders),
 hot_events as (
   select case when event_id < (select count(*) * 17 // 100 from events) then 1
-         else user_id + 2 end as customer_id, event_id
+         else user_id + 2 end as customer_id, event_id, event_type
   from events)"""
 
 # A plain join that forms every pair, unlike the queries.
@@ -290,6 +315,25 @@ select 'signup', signup_region::varchar,
 from enriched group by signup_region"""
 
 
+def _bytes_text(value: str) -> str:
+    """Bytes in the largest unit that keeps the number below 1024; terabytes are the last."""
+    text = f"{_fixed(f'{value} / 1024.0::double ** 4', 1)} || 'TB'"
+    for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        shown = _fixed(f"{value} / 1024.0::double ** {power}", 1)
+        text = f"case when abs({value}) < 1024.0::double ** {power + 1} then {shown} || '{unit}' else {text} end"
+    return text
+
+
+def _change_text(before: str, after: str) -> str:
+    pct = f"(({after})::double - ({before})::double) / nullif(({before})::double, 0) * 100"
+    return f"""case when {before} = 0 then case when {after} = 0 then 'n/a' else 'new' end
+    else case when {pct} < 0 then '↓' else '↑' end || {_fixed(f'abs({pct})', 0)} || '%' end"""
+
+
+def _ratio_text(value: str) -> str:
+    return f"coalesce({_fixed(value, 1)} || 'x', 'n/a')"
+
+
 def _key_profile(source: str, key: str) -> str:
     return f"""
 select count(*) as n_keys, sum(n)::bigint as n_rows, max(n) as max_rows, median(n) as median_rows,
@@ -304,6 +348,122 @@ select run_key, stage_id, {_NO_EXECUTION}, '{category}' as category, {severity}
 from stages where {where}"""
 
 
+def _line(source: str, section: int, number: int, text: str, item: str = "0", sub: str = "0", where: str = "true", report: str = "run_key", label: str = "''") -> str:
+    return f"""
+  select {report} as report, {label} as label, {section} as section, ({item})::bigint as item,
+    ({sub})::bigint as sub_item, {number} as line_no, {text} as line from {source} where {where}"""
+
+
+def _advice_values() -> str:
+    quote = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = []
+    for category, title, detail, conf, code in RECOMMENDATIONS:
+        setting = None if conf is None else " = ".join(next(iter(conf.items())))
+        rows.append("(" + ", ".join(map(quote, (category, title, detail, setting, code))) + ")")
+    return ", ".join(rows)
+
+
+_ADVICE = f"advice(category, title, detail, setting, code) as (values {_advice_values()})"
+_WITHIN = "coalesce(stage_id, execution_id, 0)"
+_FINDING = (
+    "'- **[' || upper(severity) || '] ' || category || '**' || {stage} || ': ' || message"
+)
+_STAGE = "case when stage_id is not null then ' (stage ' || stage_id || ')' else '' end"
+
+_HEAD = [
+    "'# Spark application ' || app_name",
+    "''",
+    "'## Summary'",
+    "'- Stages: ' || n_stages",
+    "'- Tasks: ' || total_tasks",
+    f"'- Shuffle read: ' || {_bytes_text('total_shuffle_read_bytes')}",
+    f"'- Shuffle written: ' || {_bytes_text('total_shuffle_write_bytes')}",
+    f"'- Spilled: ' || {_bytes_text('(total_memory_spilled + total_disk_spilled)')}",
+    "''",
+    "case when n_findings > 0 then '## Findings' else 'No rule found anything.' end",
+]
+# Lines of a recommendation in order, of which some are absent.
+_ADVICE_LINES = """list_filter([
+    '### ' || title, detail,
+    case when setting is not null then '' end, case when setting is not null then 'Settings:' end,
+    case when setting is not null then '```' end, setting, case when setting is not null then '```' end,
+    case when code is not null then '' end, case when code is not null then 'Code:' end,
+    case when code is not null then '```python' end, code, case when code is not null then '```' end,
+    ''], lambda x: x is not null)"""
+
+_SINGLE_RUN = f"""with {APP_SUMS.replace(STAGES, FINDINGS)},{APPS},{_ADVICE},
+counts as (select run_key, count(*) as n_findings from findings group by 1),
+runs as (
+  select run_key, app_name, app_sums.* exclude (run_key), coalesce(n_findings, 0) as n_findings
+  from apps join app_sums using (run_key) left join counts using (run_key)),
+advised as (
+  select run_key, first_seen, {_ADVICE_LINES} as texts
+  from (select run_key, category, min(detector_ord) as first_seen from findings group by 1, 2)
+  join advice using (category))
+select * from ({' union all '.join(_line('runs', 0, n, text) for n, text in enumerate(_HEAD))}
+  union all {_line('findings', 1, 0, _FINDING.format(stage=_STAGE), 'detector_ord', _WITHIN)}
+  union all {_line('runs', 2, 0, "''", where='n_findings > 0')}
+  union all {_line('runs', 2, 1, "'## Recommendations'", where='n_findings > 0')}
+  union all select run_key, '', 3, first_seen::bigint, 0::bigint, (i - 1)::integer, texts[i]
+    from advised, lateral (select unnest(range(1, len(texts) + 1)) as i))"""
+
+
+def _pair_line(source: str, section: int, number: int, text: str, item: str = "0", sub: str = "0", where: str = "true") -> str:
+    return _line(source, section, number, text, item, sub, where, "report_name", "label")
+
+
+_METRIC_TEXT = {
+    True: (_bytes_text("baseline"), _bytes_text("tuned")),
+    False: ("baseline::bigint::varchar", "tuned::bigint::varchar"),
+}
+_ROW_TEXT = f"""'| ' || metric || ' | ' || case
+    when metric = 'worst_skew_ratio' then {_ratio_text('baseline')} || ' | ' || {_ratio_text('tuned')} || ' | '
+      || case when baseline is null then 'n/a' else {_change_text('baseline', 'coalesce(tuned, 0)')} end
+    when metric like '%bytes' then {_METRIC_TEXT[True][0]} || ' | ' || {_METRIC_TEXT[True][1]} || ' | ' || {_change_text('baseline', 'tuned')}
+    else {_METRIC_TEXT[False][0]} || ' | ' || {_METRIC_TEXT[False][1]} || ' | ' || {_change_text('baseline', 'tuned')} end || ' |'"""
+
+_NOTE = (
+    f"'largest / median shuffle read: ' || {_ratio_text('b_ratio')} || ' -> ' || {_ratio_text('u_ratio')} "
+    "|| '; longest task, ms: ' || b_longest || ' -> ' || u_longest "
+    "|| '. Read both beside the summed executor time, which salting raises.'"
+)
+
+_COMPARISON = f"""with {APP_SUMS.replace(STAGES, FINDINGS)},{PAIRS},{_PHASED},{_ADVICE},
+found as (
+  select run_key, count(*) as n, count(*) filter (category = 'skew') as skews from findings group by 1),
+compared as (
+  select label, report_name, coalesce(bf.n, 0) as bn, coalesce(uf.n, 0) as un, coalesce(bf.skews, 0) > 0 as skewed,
+    b.worst_skew_ratio as b_ratio, u.worst_skew_ratio as u_ratio,
+    b.max_task_run_time_ms as b_longest, u.max_task_run_time_ms as u_longest
+  from paired join app_sums b on b.run_key = baseline_run join app_sums u on u.run_key = tuned_run
+  left join found bf on bf.run_key = baseline_run left join found uf on uf.run_key = tuned_run
+  where status = 'compared'),
+both_sides as (select * from findings join phased using (run_key)),
+metric_rows as ({_METRIC_ROWS}),
+fixes as (
+  select label, report_name, title, detail, min(detector_ord) as first_seen
+  from both_sides join advice using (category) where phase = 'before' group by 1, 2, 3, 4)
+select * from ({_pair_line('compared', 0, 0, "'# ' || label || ': baseline and tuned'")}
+  union all {_pair_line('compared', 0, 1, "''")}
+  union all {_pair_line('compared', 0, 2, "'## Findings in the baseline'")}
+  union all {_pair_line('compared', 0, 3, "'- none'", where='bn = 0')}
+  union all {_pair_line('both_sides', 1, 0, _FINDING.format(stage="''"), 'detector_ord', _WITHIN, "phase = 'before'")}
+  union all {_pair_line('compared', 2, 0, "''")}
+  union all {_pair_line('compared', 2, 1, "'## Findings in the tuned run'")}
+  union all {_pair_line('compared', 2, 2, "'- none'", where='un = 0')}
+  union all {_pair_line('both_sides', 3, 0, _FINDING.format(stage="''"), 'detector_ord', _WITHIN, "phase = 'after'")}
+  union all {_pair_line('compared', 4, 0, "''")}
+  union all {_pair_line('compared', 4, 1, "'## Metrics'")}
+  union all {_pair_line('compared', 4, 2, "'| metric | baseline | tuned | change |'")}
+  union all {_pair_line('compared', 4, 3, "'|---|---|---|---|'")}
+  union all {_pair_line('metric_rows', 5, 0, _ROW_TEXT, 'metric_ord')}
+  union all {_pair_line('compared', 6, 0, "''", where='bn > 0')}
+  union all {_pair_line('compared', 6, 1, "'## What fixed it'", where='bn > 0')}
+  union all {_pair_line('fixes', 7, 0, "'- **' || title || '**: ' || detail", 'first_seen')}
+  union all {_pair_line('compared', 8, 0, "''", where='skewed')}
+  union all {_pair_line('compared', 8, 1, "'## About the longest task'", where='skewed')}
+  union all {_pair_line('compared', 8, 2, _NOTE, where='skewed')})"""
+
 ORACLE: dict[str, str] = {
     "evt_type_counts": f"""with {STAGES},{EXECUTIONS},{APPS}
 select * from (
@@ -360,7 +520,7 @@ from app_sums""",
         _SKEWED,
         "case when shuffle_read_skew_ratio >= 10 then 'high' else 'medium' end",
         "skew",
-        "round_even(shuffle_read_skew_ratio, 2) as skew_ratio",
+        "printf('%.2f', shuffle_read_skew_ratio)::double as skew_ratio",
         "num_tasks::double as num_tasks",
         "total_shuffle_read_bytes::double as total_shuffle_read_bytes",
     ),
@@ -369,7 +529,7 @@ from app_sums""",
         "'medium'",
         "small_files",
         "num_tasks::double as num_tasks",
-        "round_even(total_input_bytes / num_tasks, 1) as avg_input_bytes_per_task",
+        "printf('%.1f', total_input_bytes / num_tasks)::double as avg_input_bytes_per_task",
         "total_input_bytes::double as total_input_bytes",
     ),
     "detect_missing_broadcast": f"""with {SIGNALS}
@@ -393,11 +553,16 @@ from ({_SCANS_UNCACHED})""",
         _SERDE,
         "'low'",
         "serialization_overhead",
-        "round_even(serde_time_ms / total_executor_run_time_ms, 3) as overhead_ratio",
+        "printf('%.3f', serde_time_ms / total_executor_run_time_ms)::double as overhead_ratio",
     ),
     "all_findings": f"""with {FINDINGS},{APPS}
-select run_key, app_name, detector_ord, category, severity, stage_id, execution_id
+select run_key, app_name, detector_ord, category, severity, stage_id, execution_id, message
 from findings join apps using (run_key)""",
+    "findings_listing": f"""with {FINDINGS}
+select run_key, category, stage_id, execution_id,
+  row_number() over (partition by run_key order by detector_ord, coalesce(stage_id, execution_id, 0))
+    as listing_position
+from findings""",
     "finding_recommendations": f"""with {FINDINGS}
 select run_key, stage_id, execution_id, category,
   case category
@@ -443,6 +608,18 @@ left join found bf on bf.run_key = baseline_run
 left join found uf on uf.run_key = tuned_run
 left join worst bw on bw.run_key = baseline_run
 left join worst uw on uw.run_key = tuned_run""",
+    "fmt_bytes_cases": f"""with {STAGES}
+select run_key, stage_id, {_bytes_text('total_shuffle_read_bytes')} as shuffle_read,
+  {_change_text('total_shuffle_read_bytes', 'total_shuffle_write_bytes')} as change
+from stages""",
+    "suite_report": f"""with {FINDINGS},{PAIRS}
+select label, line_no, line from (
+  select label, 0 as line_no, '## ' || label as line from paired
+  union all select label, 1, case when status = 'compared' then 'See `' || report_name || '`'
+    else '_skipped: no event log of ' || missing_app || '_' end from paired
+  union all select label, 2, '' from paired)""",
+    "single_run_report": _SINGLE_RUN,
+    "comparison_report": _COMPARISON,
     "pct_change": """
 select l_partkey, round((taxes - discounts) / nullif(discounts, 0) * 100, 6) as pct
 from (select l_partkey, sum(floor(l_discount * 100 + 0.5::double)) as discounts,
@@ -451,17 +628,27 @@ from (select l_partkey, sum(floor(l_discount * 100 + 0.5::double)) as discounts,
     "shuffle_join_hot_key": _HOT_JOIN,
     "salted_join_hot_key": _HOT_JOIN,
     "salted_join_rows": _HOT_LEFT_JOIN,
+    "salted_join_grid": f"""with {_HOT_FACTS}
+select order_id, customer_id, event_type, n_events
+from hot_orders join
+  (select customer_id, event_type, count(*) as n_events from hot_events group by 1, 2)
+  using (customer_id)""",
     "skew_aware_join": _HOT_LEFT_JOIN,
     "dim_join_shuffle": _DIM_JOIN,
     "dim_join_broadcast": _DIM_JOIN,
     "key_skew_profile": _key_profile("orders", "o_custkey"),
     "key_skew_profile_hot": f"with {_HOT_FACTS}" + _key_profile("hot_orders", "customer_id"),
     "hot_keys": f"""with {_HOT_FACTS}
-select customer_id, count(*) as rows from hot_orders group by 1
-having count(*) >= 0.05 * (select count(*) from hot_orders)""",
+select customer_id, count(*) as rows, ceil(count(*) / any_value(per))::integer as salts
+from hot_orders, (select greatest(count(*) // 20, 1) as per from orders) group by 1
+having count(*) > any_value(per)""",
     "small_files_region_total": _REGION_TOTAL,
     "small_files_compacted": _REGION_TOTAL,
     "enrich_orders": f"with {ENRICHED} select * from enriched",
+    "enrich_orders_limited": f"""with {ENRICHED}
+select * from enriched where order_id in (select o_orderkey from orders order by 1 limit 1000)""",
+    "enriched_hashes": f"""with {ENRICHED}
+select region, count(distinct name_upper || '-' || order_id) as hashes from enriched group by 1""",
     "reuse_by_region": f"""with {ENRICHED}
 select region, sum(order_amount::decimal(18, 2))::double as total from enriched group by 1""",
     "reuse_by_bucket": f"""with {ENRICHED}

@@ -39,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "detect_spill": diagnosis.detect_spill,
     "detect_serialization": diagnosis.detect_serialization,
     "all_findings": diagnosis.all_findings,
+    "findings_listing": diagnosis.findings_listing,
     "finding_recommendations": diagnosis.finding_recommendations,
     "recommendations": diagnosis.recommendations,
     # comparison and reports
@@ -55,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "shuffle_join_hot_key": fixes.shuffle_join_hot_key,
     "salted_join_hot_key": fixes.salted_join_hot_key,
     "salted_join_rows": fixes.salted_join_rows,
+    "salted_join_grid": fixes.salted_join_grid,
     "skew_aware_join": fixes.skew_aware_join,
     "dim_join_shuffle": fixes.dim_join_shuffle,
     "dim_join_broadcast": fixes.dim_join_broadcast,
@@ -64,11 +66,10 @@ QUERIES: dict[str, Query] = {
     # layout
     "small_files_region_total": fixes.small_files_region_total,
     "small_files_compacted": fixes.small_files_compacted,
-    "small_file_profile": fixes.small_file_profile,
-    "file_listing": fixes.file_listing,
     # reuse
     "enrich_orders": fixes.enrich_orders,
-    "enrich_orders_hashed": fixes.enrich_orders_hashed,
+    "enrich_orders_limited": fixes.enrich_orders_limited,
+    "enriched_hashes": fixes.enriched_hashes,
     "reuse_by_region": fixes.reuse_by_region,
     "reuse_by_bucket": fixes.reuse_by_bucket,
     "reuse_by_signup": fixes.reuse_by_signup,

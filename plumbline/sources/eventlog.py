@@ -8,13 +8,17 @@ accept the unsaved events of ``parse_events`` just as well.
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterable
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.sources.files import PARTITION_BYTES, file_listing, partitions_for
+from plumbline.sources.files import PARTITION_BYTES, file_listing, twin_session
 
 _SQL_EVENT = "org.apache.spark.sql.execution.ui.SparkListenerSQL"
 
@@ -32,6 +36,8 @@ EVENT_KINDS = {
 
 UNFINISHED_SUFFIX = ".inprogress"
 COMPRESSED_SUFFIX = ".zstd"
+# What may follow a log's name without packing it.
+PLAIN_SUFFIXES = ("compact", "json", "jsonl", "log", "txt")
 
 # Headings around the executed tree in the plan text of a finished adaptive query.
 _FINAL_TREE = r"(?s)== Final Plan ==\n(.*?)\n\s*\+- == Initial Plan =="
@@ -50,69 +56,124 @@ def run_key_of(path: Column) -> Column:
     return F.when(rolling_dir != "", rolling_dir).otherwise(path)
 
 
+def log_form(path: Column) -> Column:
+    """How a log file has to be read: ``plain``, ``zstd``, ``hidden_zstd`` or ``unreadable``.
+
+    Hidden are zstd logs whose last suffix is another one, as that of compacted rolling logs:
+    readers go by the last suffix and would take packed bytes for text.  Unreadable are Spark's
+    other codecs and suffixes that are not known.
+    """
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    finished = F.regexp_replace(name, r"\.inprogress$", "")
+    bare = F.regexp_replace(finished, r"\.compact$", "")
+    suffix = F.regexp_extract(bare, r"\.([^.]+)$", 1)
+    packed = F.when(name.endswith(COMPRESSED_SUFFIX), "zstd").otherwise("hidden_zstd")
+    return (
+        F.when(suffix == COMPRESSED_SUFFIX[1:], packed)
+        .when((suffix == "") | suffix.isin(*PLAIN_SUFFIXES), "plain")
+        .otherwise("unreadable")
+    )
+
+
+def unreadable_logs(spark: SparkSession, path: str | list[str], include_unfinished: bool = False) -> DataFrame:
+    """``path, length`` of the files below ``path`` that ``read_log_lines`` cannot read."""
+    listing = _wanted_files(file_listing(spark, path), F.col("path"), include_unfinished)
+    return listing.where(log_form(F.col("path")) == "unreadable")
+
+
+def _wanted_files(df: DataFrame, path: Column, include_unfinished: bool) -> DataFrame:
+    return df if include_unfinished else df.where(~path.endswith(UNFINISHED_SUFFIX))
+
+
 def read_log_lines(
     spark: SparkSession,
     path: str | list[str],
     include_unfinished: bool = False,
     bytes_per_task: int = PARTITION_BYTES,
     tolerate_cut_off: bool = False,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """Lines of all logs below ``path``: ``run_key, value``.
 
-    Rolling and single-file logs, plain or compressed with zstd, are read alike.
-    Logs are packed into read tasks of about ``bytes_per_task``.
+    Rolling, compacted and single-file logs, plain or compressed with zstd, are read alike.
+    Scans pack plain logs into tasks of up to ``bytes_per_task`` and split larger ones; zstd
+    logs are read whole.
 
-    A compressed log that a killed job left cut off in mid-block fails the read.
-    ``tolerate_cut_off`` reads such logs up to the cut instead; as Spark treats
-    any read error on a file like that then, it is off unless asked for.
+    A log in another codec, or with a suffix that is not known, is an error that names it;
+    ``skip_unreadable`` leaves such logs out, and ``unreadable_logs`` lists them.  A compressed
+    log that a killed job left cut off in mid-block fails the read.  ``tolerate_cut_off`` reads
+    such logs up to the cut instead; as Spark treats any read error on a file like that then, it
+    is off unless asked for.
     """
-    reader = _twin_session(spark)
-    lines = reader.read.option("recursiveFileLookup", "true").text(path)
-    # Listed after the lines took note of their files: a log that is being written
-    # may be longer here than there, but not shorter.
-    listing = file_listing(spark, path)
-    _keep_whole(reader, listing)
-    if tolerate_cut_off:
-        reader.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    file_path = F.col("_metadata.file_path")
-    if not include_unfinished:
-        lines = lines.where(~file_path.endswith(UNFINISHED_SUFFIX))
-    cores = spark.sparkContext.defaultParallelism
-    return lines.select(run_key_of(file_path).alias("run_key"), "value").coalesce(
-        partitions_for(listing, bytes_per_task, cores)
+    listing = _wanted_files(file_listing(spark, path), F.col("path"), include_unfinished).withColumn(
+        "form", log_form(F.col("path"))
     )
-
-
-def _twin_session(spark: SparkSession) -> SparkSession:
-    """A session with the settings of the given one, to be changed on its own."""
-    twin = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if twin.conf.isModifiable(name):
-            twin.conf.set(name, value)
-    return twin
-
-
-def _keep_whole(reader: SparkSession, listing: DataFrame) -> None:
-    """Set ``reader`` to cut none of the listed compressed logs in two.
-
-    Spark takes a ``.zstd`` text file for one it may read from the middle, and then
-    fails to.  Splits at least as large as the largest such file leave it whole;
-    plain logs are still split.
-    """
-    largest = listing.where(F.col("path").endswith(COMPRESSED_SUFFIX)).agg(F.max("length")).first()[0]
-    if largest is None:
-        return
-    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        reader.conf.set(name, str(max(largest, _bytes(reader.conf.get(name)))))
-
-
-def _bytes(size: str) -> int:
-    """Bytes of a setting such as ``134217728b`` or ``128MB``."""
-    number = size.lower().rstrip("b")
-    for power, unit in enumerate("kmgt", 1):
-        if number.endswith(unit):
-            return int(number[:-1]) * 1024**power
-    return int(number)
+    if not skip_unreadable:
+        bad = [r.path for r in listing.where("form = 'unreadable'").select("path").limit(10).collect()]
+        if bad:
+            raise ValueError(f"logs in a codec or with a suffix that cannot be read: {', '.join(bad)}")
+    seen = {r.form: r for r in listing.groupBy("form").agg(F.max("length").alias("largest"), F.sum("length").alias("total")).collect()}
+
+    def text(reader: SparkSession, form: str) -> DataFrame:
+        if tolerate_cut_off:
+            reader.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+        file_path = F.col("_metadata.file_path")
+        lines = reader.read.option("recursiveFileLookup", "true").text(path)
+        lines = _wanted_files(lines, file_path, include_unfinished).where(log_form(file_path) == form)
+        return lines.select(run_key_of(file_path).alias("run_key"), "value")
+
+    plain = twin_session(spark)
+    plain.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_per_task))
+    lines = text(plain, "plain")
+    if "zstd" in seen:
+        # Spark takes a .zstd text file for one it may read from the middle, and then fails to.
+        # Splits as large as the largest such file leave it whole.  A log that grows while it is
+        # listed is an unfinished one.
+        whole, least = twin_session(spark), 2 * seen["zstd"].largest
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            whole.conf.set(name, str(max(least, bytes_per_task)))
+        tasks = max(math.ceil(seen["zstd"].total / bytes_per_task), spark.sparkContext.defaultParallelism)
+        lines = lines.union(text(whole, "zstd").coalesce(tasks))
+    if "hidden_zstd" in seen:
+        lines = lines.union(_unpacked(spark, path, include_unfinished, tolerate_cut_off))
+    return lines
+
+
+def _unpacked(spark: SparkSession, path: str | list[str], include_unfinished: bool, tolerate: bool) -> DataFrame:
+    """Lines of zstd logs that readers would not know as such, unpacked as streams."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = _wanted_files(files, F.col("path"), include_unfinished).where(log_form(F.col("path")) == "hidden_zstd")
+    keyed = files.select(run_key_of(F.col("path")).alias("run_key"), "content")
+    return keyed.mapInArrow(_zstd_lines(tolerate), "run_key string, value string")
+
+
+def _zstd_lines(tolerate: bool):
+    def unpack(batches):
+        for batch in batches:
+            for key, content in zip(batch.column("run_key").to_pylist(), batch.column("content")):
+                packed = zstandard.ZstdDecompressor().stream_reader(
+                    io.BytesIO(content.as_py()), read_across_frames=True
+                )
+                lines = io.TextIOWrapper(packed, encoding="utf-8", errors="replace", newline="\n")
+                values, size = [], 0
+                try:
+                    for line in lines:
+                        values.append(line.rstrip("\r\n"))
+                        size += len(line)
+                        if size > 4 << 20:
+                            yield _batch(key, values)
+                            values, size = [], 0
+                except zstandard.ZstdError:
+                    if not tolerate:
+                        raise
+                if values:
+                    yield _batch(key, values)
+
+    return unpack
+
+
+def _batch(key: str, values: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"run_key": [key] * len(values), "value": values})
 
 
 def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -207,19 +268,28 @@ def ingest(
     include_unfinished: bool = False,
     bytes_per_task: int = PARTITION_BYTES,
     tolerate_cut_off: bool = False,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
-    """Parse all logs below ``path`` once and keep the events at ``out`` as Parquet."""
-    lines = read_log_lines(spark, path, include_unfinished, bytes_per_task, tolerate_cut_off)
-    # One open file per kind, where Spark would otherwise sort all events by kind.
-    lines.sparkSession.conf.set(
-        "spark.sql.maxConcurrentOutputFileWriters", str(len(EVENT_KINDS))
+    """Parse all logs below ``path`` once and keep the events at ``out`` as Parquet.
+
+    Before they are written events are dealt out by kind, in partitions that adaptive
+    execution splits and merges by size: a kind of few events is one file, however many tasks
+    read the logs.
+    """
+    lines = read_log_lines(
+        spark, path, include_unfinished, bytes_per_task, tolerate_cut_off, skip_unreadable
     )
     events = parse_events(lines)
-    events.write.mode("overwrite").partitionBy("kind").parquet(out)
+    events.hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").parquet(out)
     # The schema is known, so no file need be opened for it, nor need there be any.
     return spark.read.schema(events.schema).parquet(out)
 
 
+def of_runs(events: DataFrame, app_rows: DataFrame) -> DataFrame:
+    """Events of the given runs alone."""
+    return events.join(app_rows.select("run_key"), "run_key", "left_semi").select(*events.columns)
+
+
 # --- tables ----------------------------------------------------------------
 
 
@@ -272,34 +342,45 @@ def stage_events(events: DataFrame) -> DataFrame:
     )
 
 
+def sql_times(events: DataFrame) -> DataFrame:
+    """Start and run time of SQL executions, without their texts: sums of plain numbers.
+
+    An end without a start is left out; a start without an end has no duration.
+    """
+    kind = F.col("kind")
+    return (
+        events.where(kind.isin("sql_start", "sql_end") & F.col("execution_id").isNotNull())
+        .groupBy("run_key", "execution_id")
+        .agg(
+            F.max(F.when(kind == "sql_start", 1)).alias("_started"),
+            F.max(F.when(kind == "sql_start", F.col("event_ms"))).alias("start_ms"),
+            F.max(F.when(kind == "sql_end", F.col("event_ms"))).alias("_end_ms"),
+        )
+        .where(F.col("_started") == 1)
+        .select("run_key", "execution_id", "start_ms", (F.col("_end_ms") - F.col("start_ms")).alias("duration_ms"))
+    )
+
+
 def sql_executions(events: DataFrame) -> DataFrame:
-    """SQL executions with their plan texts and run time.
+    """SQL executions with their plan texts and run time; for the times alone see ``sql_times``.
 
-    Start, end and plan-update events of one execution meet in one aggregation.
-    ``final_plan`` is the executed tree of an adaptive query.  An end without a
-    start is left out; a start without an end has no duration.
+    ``final_plan`` is the executed tree of an adaptive query.
     """
     kind = F.col("kind")
     started = kind == "sql_start"
     final_tree = F.regexp_extract("physical_plan", _FINAL_TREE, 1)
-    return (
-        events.where(kind.isin("sql_start", "sql_end", "sql_update"))
-        .where(F.col("execution_id").isNotNull())
+    texts = (
+        events.where(kind.isin("sql_start", "sql_update") & F.col("execution_id").isNotNull())
         .groupBy("run_key", "execution_id")
         .agg(
-            F.max(F.when(started, 1)).alias("_started"),
             F.max(F.when(started, F.coalesce("description", F.lit("")))).alias("description"),
             F.max(F.when(started, F.coalesce("physical_plan", F.lit("")))).alias("physical_plan"),
             F.max(F.when((kind == "sql_update") & (final_tree != ""), final_tree)).alias(
                 "final_plan"
             ),
-            F.max(F.when(started, F.col("event_ms"))).alias("start_ms"),
-            F.max(F.when(kind == "sql_end", F.col("event_ms"))).alias("_end_ms"),
         )
-        .where(F.col("_started") == 1)
-        .withColumn("duration_ms", F.col("_end_ms") - F.col("start_ms"))
-        .select(*schemas.SQL_EXECUTIONS.names)
     )
+    return sql_times(events).join(texts, ["run_key", "execution_id"]).select(*schemas.SQL_EXECUTIONS.names)
 
 
 # Operator names searched for in plan text.

@@ -20,6 +20,15 @@ def file_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def twin_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of the given one, to be changed on its own."""
+    twin = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if twin.conf.isModifiable(name):
+            twin.conf.set(name, value)
+    return twin
+
+
 def partitions_for(
     listing: DataFrame, bytes_per_partition: int = PARTITION_BYTES, at_least: int = 1
 ) -> int:

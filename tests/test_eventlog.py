@@ -288,9 +288,58 @@ def test_large_compressed_logs_are_read_whole(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304b", "4194304", "4MB")
 
 
-@pytest.mark.parametrize("text, size", [("134217728b", 2**27), ("4194304", 2**22), ("128MB", 2**27), ("1g", 2**30)])
-def test_size_settings(text, size):
-    assert eventlog._bytes(text) == size
+def test_no_log_vanishes_by_its_suffix(spark, tmp_path):
+    import zstandard
+
+    end = {"Event": "SparkListenerApplicationEnd", "Timestamp": 2}
+    text = "\n".join(json.dumps(e) for e in (task(), task(), end)).encode()
+    rolling = tmp_path / "eventlog_v2_x"
+    rolling.mkdir()
+    (rolling / "events_1_x.zstd.compact").write_bytes(zstandard.compress(text) + zstandard.compress(b"\n" + text))
+    (rolling / "events_2_x.zstd").write_bytes(zstandard.compress(text))
+    (tmp_path / "y.compact").write_bytes(text)
+    (tmp_path / "z.zstd.inprogress").write_bytes(zstandard.compress(text))
+    (tmp_path / "plain").write_bytes(text)
+
+    def counts(**options):
+        events = eventlog.parse_events(eventlog.read_log_lines(spark, str(tmp_path), **options))
+        found = eventlog.tasks(events).groupBy("run_key").count().collect()
+        return {r.run_key.rsplit("/", 1)[1]: r["count"] for r in found}
+
+    assert counts() == {"eventlog_v2_x": 6, "y.compact": 2, "plain": 2}
+    assert counts(include_unfinished=True) == {"eventlog_v2_x": 6, "y.compact": 2, "plain": 2, "z.zstd.inprogress": 2}
+
+    bad = ["a.lzf", "b.lz4", "c.snappy", "d.lz4.compact", "e.bin"]
+    for name in bad:
+        (tmp_path / name).write_bytes(b"\x00\x01")
+    with pytest.raises(ValueError, match="a.lzf"):
+        eventlog.read_log_lines(spark, str(tmp_path))
+    assert counts(skip_unreadable=True) == {"eventlog_v2_x": 6, "y.compact": 2, "plain": 2}
+    skipped = eventlog.unreadable_logs(spark, str(tmp_path)).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in skipped) == bad
+
+
+def test_tiny_logs_make_few_files_and_no_run_is_half_there(spark, tmp_path):
+    import glob
+
+    from plumbline.plans import fleet
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    start = {"Event": "SparkListenerApplicationStart", "App Name": "n", "App ID": "i", "Timestamp": 1}
+    end = {"Event": "SparkListenerApplicationEnd", "Timestamp": 2}
+    for i in range(100):
+        (logs / f"app-{i}").write_text("\n".join(json.dumps(e) for e in (start, task(), sql_start(0), end)))
+    (logs / "eventlog_v2_open").mkdir()
+    (logs / "eventlog_v2_open" / "events_1_open").write_text("\n".join(json.dumps(e) for e in (start, task(), sql_start(0))))
+    found = fleet.diagnose(spark, str(logs), str(tmp_path / "out"))
+    for kind in ("task_end", "app_start", "app_end", "sql_start"):
+        n = len(glob.glob(f"{tmp_path}/out/events/kind={kind}/*.parquet"))
+        assert 1 <= n <= spark.sparkContext.defaultParallelism
+    runs = {r.run_key for r in found.table("apps").collect()}
+    assert len(runs) == 100
+    for name in ("stages", "signals", "metrics", "findings", "recommendations"):
+        assert {r.run_key for r in found.table(name).select("run_key").collect()} <= runs
 
 
 def test_cut_off_log_is_read_up_to_the_cut(spark, tmp_path):

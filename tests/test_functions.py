@@ -6,7 +6,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions import exact_median, fmt_bytes, fmt_pct_change, mixed_bucket
+from plumbline.functions import fmt_bytes, fmt_pct_change, mixed_bucket
+from plumbline.functions.formatting import fmt_fixed, round_fixed
+from plumbline.functions.median import exact_median
 
 whole = st.integers(min_value=0, max_value=2**45)
 
@@ -33,6 +35,39 @@ def test_median_of_a_group_with_most_rows(spark):
     }
 
 
+def fixed(spark, values, digits):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    return [r.t for r in df.select(fmt_fixed(F.col("x"), digits).alias("t")).collect()]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_rounding_is_that_of_the_binary_value(spark, digits):
+    rng = random.Random(digits)
+    ties = [n / 2 / 10**digits for n in range(-60, 60)] + [n / 8 for n in range(-80, 80)]
+    odd = [0.05, 0.15, 0.35, 0.45, 8.35, 2.675, 0.2625, 1e-12, 5e-324, 1e15 + 0.5, 2.0**52 + 0.5, 2.0**60, 0.9995, 9.9996]
+    mixed = [rng.choice([1, -1]) * rng.random() * 10 ** rng.randint(-6, 9) for _ in range(1500)]
+    near = [(rng.randint(0, 9999) + 0.5) / 10**digits for _ in range(1000)]
+    values = ties + odd + mixed + near
+    expected = [f"{v:.{digits}f}" for v in values]
+    assert [t for t in fixed(spark, values, digits)] == expected
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.floats(min_value=-(2.0**62), max_value=2.0**62), min_size=1, max_size=200), st.integers(0, 3))
+def test_rounding_of_any_double(spark, values, digits):
+    expected = [f"{v:.{digits}f}" for v in values]
+    # A negative zero loses its sign.
+    got = fixed(spark, values, digits)
+    assert [a if b != "-0" and v != 0 else a.lstrip("-") for a, b, v in zip(expected, expected, values)] == [
+        g if v != 0 else g.lstrip("-") for g, v in zip(got, values)
+    ]
+
+
+def test_rounded_evidence(spark):
+    df = spark.createDataFrame([(0.2625,), (None,)], "x double").select(round_fixed(F.col("x"), 3).alias("r"))
+    assert [r.r for r in df.collect()] == [round(0.2625, 3), None]
+
+
 @pytest.mark.parametrize(
     "n, text",
     [

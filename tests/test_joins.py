@@ -42,7 +42,7 @@ def test_salted_join_equals_the_plain_one(sides, salts, how):
 @pytest.mark.parametrize("how", joins.SALTABLE)
 def test_salting_hot_keys_only(sides, how):
     left, right = sides
-    hot = joins.hot_keys(left, "k", share=0.2)
+    hot = joins.hot_keys(left, "k", rows_per_salt=30)
     assert [r.k for r in hot.collect()] == [1]
     assert same(left.join(right, "k", how), joins.salted_join(left, right, "k", 8, how, hot=hot))
 
@@ -50,16 +50,16 @@ def test_salting_hot_keys_only(sides, how):
 @pytest.mark.parametrize("how", joins.SALTABLE)
 def test_salts_by_size_of_the_key(sides, how):
     left, right = sides
-    hot = joins.hot_keys(left, "k", share=0.02, rows_per_salt=8)
-    counts = {r.k: r.salts for r in hot.collect()}
-    assert counts[1] == 8 and set(counts.values()) <= {1, 2, 8}
+    hot = joins.hot_keys(left, "k", rows_per_salt=3)
+    counts = {r.k: (r.rows, r.salts) for r in hot.collect()}
+    assert counts[1] == (60, 20) and all(n > 3 and s == -(-n // 3) for n, s in counts.values())
     assert same(left.join(right, "k", how), joins.salted_join(left, right, "k", how=how, hot=hot))
 
 
 @pytest.mark.parametrize("rows_per_salt, salted", [(8, True), (1_000, False)])
 def test_skew_aware_join(sides, rows_per_salt, salted):
     left, right = sides
-    joined = joins.skew_aware_join(left, right, "k", "left", ["a"], 0.02, rows_per_salt)
+    joined = joins.skew_aware_join(left, right, "k", "left", ["a"], rows_per_salt)
     assert ("explode" in plan(joined)) == salted
     assert same(left.join(right, "k", "left"), joined)
 
@@ -67,7 +67,7 @@ def test_skew_aware_join(sides, rows_per_salt, salted):
 @pytest.mark.parametrize("hot_only", [False, True])
 def test_salting_both_sides(sides, hot_only):
     left, right = sides
-    hot = joins.hot_keys(left, "k", share=0.2) if hot_only else None
+    hot = joins.hot_keys(left, "k", rows_per_salt=30) if hot_only else None
     gridded = joins.salted_join(left, right, "k", salts=5, right_salts=3, hot=hot)
     assert same(left.join(right, "k"), gridded)
 
@@ -80,6 +80,32 @@ def test_sides_that_cannot_be_copied(sides, how):
         joins.salted_join(*sides, "k", how="left", right_salts=2)
 
 
+def test_many_keys_of_small_share_are_salted(spark):
+    """200 keys of half a percent each, all above the rows a salt may have."""
+    left = spark.range(20_000).selectExpr("id AS a", "id % 200 AS k")
+    right = spark.range(200).selectExpr("id AS k", "id * 2 AS b")
+    hot = joins.hot_keys(left, "k", rows_per_salt=10)
+    assert hot.count() == 200 and {r.salts for r in hot.collect()} == {10}
+    assert same(left.join(right, "k"), joins.skew_aware_join(left, right, "k", salt_by=["a"], rows_per_salt=10))
+
+
+def test_a_key_that_is_hot_on_the_right(sides):
+    left, right = sides
+    few = left.where("a >= 55")
+    joined = joins.skew_aware_join(few, right, "k", salt_by=["a"], rows_per_salt=10, right_salt_by=["b"])
+    assert "explode" in plan(joined) and same(few.join(right, "k"), joined)
+
+
+def test_copies_in_two_steps(sides, monkeypatch):
+    left, right = sides
+    monkeypatch.setattr(joins, "_COPIES_AT_ONCE", 4)
+    hot = joins.hot_keys(left, "k", rows_per_salt=5)
+    for how in joins.SALTABLE:
+        assert same(left.join(right, "k", how), joins.salted_join(left, right, "k", how=how, hot=hot))
+    grid = hot.withColumn("right_salts", F.lit(7))
+    assert same(left.join(right, "k"), joins.salted_join(left, right, "k", hot=grid))
+
+
 def test_salt_spreads_the_hot_key(spark):
     orders = generate.orders_join_fact(generate.row_ids(spark, 20_000), hot_rows=7_000)
     salt = joins.row_salt(["order_id"], 20).alias("s")
@@ -93,7 +119,7 @@ def test_pair_totals_equal_the_joined_rows(sides):
         F.count(F.lit(1)).alias("matched_pairs"), F.sum("a").alias("total_amount")
     )
     assert same(by_rows, joins.pair_totals(left, right, "k", "a"))
-    assert same(by_rows, joins.salted_pair_totals(left, right, "k", "a", salts=7))
+    assert same(by_rows, joins.salted_pair_totals(left, right, "k", "a", rows_per_salt=9))
 
 
 def test_hot_pairs_of_the_generated_facts(spark):
@@ -127,3 +153,7 @@ def test_key_skew_profile(spark):
     assert row.asDict() == {
         "n_keys": 4, "n_rows": 15, "max_rows": 9, "median_rows": 2.5, "skew_ratio": 3.6,
     }
+    assert joins.key_skew_profile(df.where("k = 4"), "k").first().skew_ratio is None
+    assert joins.key_skew_profile(df.limit(0), "k").count() == 0
+    odd = joins.key_skew_profile(df.where("k < 4"), "k").first()
+    assert (odd.median_rows, odd.skew_ratio) == (3.0, 3.0)

@@ -4,18 +4,6 @@ from oracle import connect, differences
 
 from plumbline.plans import oracle_sql, queries
 
-# Text, hashes and file sizes have no twin in SQL; other tests look at them.
-WITHOUT_TWIN = {
-    "fmt_bytes_cases",
-    "single_run_report",
-    "comparison_report",
-    "suite_report",
-    "small_file_profile",
-    "file_listing",
-    "enrich_orders_hashed",
-}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(MEDIUM)
@@ -27,11 +15,5 @@ def test_query_matches_sql(spark, con, name):
     assert differences(result, con, oracle_sql()[name]) == []
 
 
-def test_every_query_has_a_twin_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_TWIN
-    assert set(oracle_sql()) <= set(queries())
-
-
-@pytest.mark.parametrize("name", sorted(WITHOUT_TWIN))
-def test_query_without_twin_gives_rows(spark, name):
-    assert queries()[name](spark, MEDIUM).count() > 0
+def test_every_query_has_a_twin():
+    assert set(queries()) == set(oracle_sql())

@@ -106,7 +106,7 @@ def test_comparison_and_reports(spark, result):
 
     report = text("pair_reports/report=skewed_join/*.txt")
     assert report.startswith("# Skewed join: baseline and tuned\n")
-    assert report.rstrip().endswith("than in the clock.")
+    assert report.rstrip().endswith("which salting raises.")
     assert "_skipped: no event log of small_files_baseline_" in text("summary/*.txt")
     assert len(glob.glob(f"{result.folder}/run_reports/report=*")) == 1
     assert "# Spark application skewed_join_baseline" in text("run_reports/*/*.txt")

@@ -158,7 +158,7 @@ def test_comparison_report(frames):
     assert lines[20:22] == ["", "## What fixed it"]
     assert [x.split("**")[1] for x in lines[22:24]] == [RECOMMENDATIONS[0][1], RECOMMENDATIONS[2][1]]
     assert lines[24:26] == ["", "## About the longest task"]
-    assert "from 1.1x to n/a" in lines[26] and "from 734 to 378 ms" in lines[26]
+    assert "1.1x -> n/a" in lines[26] and "longest task, ms: 734 -> 378" in lines[26]
 
     other = lines_of(all_lines, "b")
     assert other[3] == "- none" and "## What fixed it" not in other
