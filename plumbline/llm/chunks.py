@@ -24,6 +24,8 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         first[: len(data) - 1] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+    # What follows a text's last byte is another text's.
+    first[offsets[1:][offsets[1:] > 0] - 1] = False
     first[offsets[:-1]] = True
     return np.flatnonzero(first[: len(data)])
 

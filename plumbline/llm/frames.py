@@ -45,6 +45,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain names ``c0, c1, ...``: functions over batches take no names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def number_of(df: DataFrame, name: str) -> str:
+    """The name that ``numbered`` gives to a column."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return f"c{found[0]}"
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join with a table that is often small: broadcast after measuring, shuffle beyond the limit.
 

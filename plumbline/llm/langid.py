@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.bytestream import flat
-from plumbline.llm.frames import fresh, named
+from plumbline.llm.frames import fresh, named, number_of, numbered
 
 NONE = "und"
 BUCKET_BITS = 15
@@ -229,9 +229,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     calibrated probability; those below the model's threshold are marked rejected.  Only
     the text is looked at.  Empty tables give no rows.
     """
-    lang, score, rejected = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "rejected")
-    letter = fresh(docs, "letter")
+    names = [fresh(docs, n) for n in ("lang_pred", "score", "rejected")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType(list(docs.schema.fields)).add(lang, "string").add(score, "double").add(rejected, "boolean")
-    marked = docs.withColumn(letter, has_letter(named(text_col)))
-    return marked.mapInArrow(_predictor(shipped, text_col, letter, lang, score, rejected), schema), [lang, score, rejected]
+    plain, text = numbered(docs), number_of(docs, text_col)
+    schema = T.StructType(list(plain.schema.fields)).add("lang", "string").add("score", "double").add("rejected", "boolean")
+    marked = plain.withColumn("letter", has_letter(F.col(text)))
+    told = marked.mapInArrow(_predictor(shipped, text, "letter", "lang", "score", "rejected"), schema)
+    return told.toDF(*docs.columns, *names), names

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.bytestream import Hashed, flat, mix, slices
 from plumbline.llm.chunks import chunk_starts, distinct_chunks, spread
-from plumbline.llm.frames import fresh, named
+from plumbline.llm.frames import fresh, number_of, numbered
 
 BLANK = "▁"
 ALPHA = 1.0
@@ -316,28 +316,28 @@ def encoded(
     column out of the result.  Other columns stay as they are, whatever their names.
     """
     names = [fresh(docs, n) for n in ("piece_ids", "n_pieces", "lossless")]
-    key = fresh(docs, "row_key")
-    dropped = [key] if keep_text else [key, text_col]
-    fields = [f for f in docs.schema.fields if f.name not in dropped]
-    schema = (
-        T.StructType(fields).add(names[0], T.ArrayType(T.IntegerType())).add(names[1], "long").add(names[2], "boolean")
-    )
-    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), named(id_col)))
-    return keyed.mapInArrow(_encoder(path, alpha, seed, text_col, key, names, dropped), schema), names
+    plain, text = numbered(docs), number_of(docs, text_col)
+    dropped = ["row_key"] if keep_text else ["row_key", text]
+    left = [(f, name) for f, name in zip(plain.schema.fields, docs.columns) if f.name not in dropped]
+    schema = T.StructType([f for f, _ in left]).add("ids", T.ArrayType(T.IntegerType())).add("n", "long").add("same", "boolean")
+    keyed = plain.withColumn("row_key", F.xxhash64(F.lit(seed), F.col(number_of(docs, id_col))))
+    told = keyed.mapInArrow(_encoder(path, alpha, seed, text, "row_key", ["ids", "n", "same"], dropped), schema)
+    return told.toDF(*(name for _, name in left), *names), names
 
 
 def decoded(ids: DataFrame, path: str, ids_col: str, out_col: str = "text") -> DataFrame:
     """``ids`` with the texts its piece ids stand for; null ids give null."""
-    out = fresh(ids, out_col)
+    out, column = fresh(ids, out_col), number_of(ids, ids_col)
 
     def run(batches):
         vocabulary = load(path)
         for batch in batches:
             texts = [
                 None if not x.is_valid else decode(x.values.to_numpy().astype(np.int64), vocabulary).decode("utf-8", "replace")
-                for x in batch.column(ids_col)
+                for x in batch.column(column)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    schema = T.StructType(list(ids.schema.fields)).add(out, "string")
-    return ids.mapInArrow(run, schema)
+    plain = numbered(ids)
+    schema = T.StructType(list(plain.schema.fields)).add("text", "string")
+    return plain.mapInArrow(run, schema).toDF(*ids.columns, out)
