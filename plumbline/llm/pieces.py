@@ -25,8 +25,8 @@ from plumbline.llm.frames import fresh, number_of, numbered
 BLANK = "▁"
 ALPHA = 1.0
 SEED = 20264
-CACHE_NODES = 1_500_000
-LATTICE_SLICE = 1 << 20
+CACHE_NODES = 1_000_000
+LATTICE_SLICE = 1 << 19
 
 
 @dataclass

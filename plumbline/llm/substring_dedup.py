@@ -28,7 +28,7 @@ from plumbline.llm.frames import join_small, kept, named
 
 LENGTH = 200
 GRAMS = (64, 172)
-PIECE = 1 << 20
+PIECE = 1 << 19
 _PLACE = np.uint64((1 << 22) - 1)
 
 ANCHOR = "gram bigint, context bigint, doc bigint, sig bigint, lo int, hi int, open boolean"
