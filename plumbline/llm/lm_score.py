@@ -5,6 +5,7 @@ table per place, are added, squashed, and fed to a softmax of two levels (cluste
 Vocabulary counts come from all documents.  Training is data-parallel: in each round every
 task runs stochastic gradient descent in numpy over the documents of its partition, starting from
 the same parameters, and the parameters are averaged, weighted by tokens, in two levels of shuffles.
+The rounds share out the tokens: over all of them each token is predicted once.
 A document's score is the sum of the log-probabilities of its tokens, each given its context.
 """
 
@@ -27,7 +28,6 @@ RARE = 64  # ids for words beyond the vocabulary, by hash
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
 ROUNDS = 2
-STRIDE = 8  # in a round each document trains on one token in so many, another one each round
 BATCH = 2048
 RATE = 0.5
 SEED = 20268
@@ -201,7 +201,8 @@ def _trainer(words, network, turn: int, rounds: int):
                 ids = ids_of.ids(hashes)
                 around = contexts(ids, begin)
                 place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
-                some = np.flatnonzero(place % STRIDE == turn % STRIDE)
+                # Each round takes every so many-th token of a text, so that all rounds take each token once.
+                some = np.flatnonzero(place % rounds == turn)
                 # Neighbouring tokens of one text do not share a batch.
                 some = some[np.argsort(mix(some.astype(np.uint64)), kind="stable")]
                 waiting.append((around[:, some], ids[some]))

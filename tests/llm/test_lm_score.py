@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM
 from odd_rows import DOCS, documents
@@ -90,3 +93,17 @@ def test_scores_equal_the_network_word_by_word(spark, trained):
             for z, at in ((h @ net.cluster, word // lm.WITHIN), (h @ net.within[word // lm.WITHIN], word % lm.WITHIN)):
                 total += z[at] - np.log(np.exp(z).sum())
         assert abs(got[doc] - total) < 1e-3
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_rounds_train_on_every_token_once(spark, monkeypatch, rounds):
+    """Over all rounds each token of each text is a target once, whatever its place."""
+    texts = [" ".join(f"w{t}-{i}" for i in range(n)) for t, n in enumerate((1, 2, 23, 40))] + [None, " "]
+    data, offsets = lm.flat(pa.array(texts))
+    hashes, _ = lm.word_hashes(data, offsets)
+    words, values, targets = SimpleNamespace(value=hashes), SimpleNamespace(value=lm.Network.new().flat()), []
+    monkeypatch.setattr(lm.Network, "step", lambda self, around, word, rate: targets.extend(word.tolist()))
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for turn in range(rounds):
+        list(lm._trainer(words, values, turn, rounds)([pa.RecordBatch.from_pydict({"text": texts})]))
+    assert sorted(targets) == list(range(66))
