@@ -7,23 +7,28 @@ task runs stochastic gradient descent in numpy over the documents of its partiti
 the same parameters, and the parameters are averaged, weighted by tokens, in two levels of shuffles.
 The rounds share out the tokens: over all of them each token is predicted once.
 A document's score is the sum of the log-probabilities of its tokens, each given its context.
+
+The network's words are those above a count that grows slower than the corpus, so there are the more of
+them the larger it is.  Words below it share a few buckets in the network, and each has its part
+of its bucket's probability: its count over the bucket's, by a join with the counts of all words.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytestream import LOWER, Hashed, flat, mix, signed, slices, word_bounds
-from plumbline.llm.frames import named
+from plumbline.llm.frames import kept, named
 
 CLUSTERS = 64
-WITHIN = 64
+WITHIN = 64  # words of a cluster, at least
 RARE = 64  # ids for words beyond the vocabulary, by hash
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
@@ -34,6 +39,7 @@ SEED = 20268
 BLOCKS = 16
 SPREAD = 16
 SIZE = CLUSTERS * WITHIN
+SHARE = 200  # the network knows words seen tokens ** (2 / 3) / SHARE times
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +56,36 @@ def _counter(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
-def vocabulary(texts: DataFrame, size: int = SIZE - RARE) -> np.ndarray:
-    """Hashes of the ``size`` most frequent words over all texts, most frequent first."""
-    counts = texts.mapInArrow(_counter, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` of all words of all texts, by hash."""
+    return kept(texts.mapInArrow(_counter, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def least_count(tokens: int) -> int:
+    """How often a word has to occur among so many tokens for the network to know it."""
+    return math.ceil(tokens ** (2 / 3) / SHARE)
+
+
+def frequent(counts: DataFrame, size: int = SIZE - RARE) -> np.ndarray:
+    """Hashes of the words above the limit, the ``size`` most frequent at least, most frequent first."""
+    often = counts.where(F.col("n") >= least_count(counts.agg(F.sum("n")).first()[0] or 0))
+    ranked = (F.desc("n"), "word")
+    top = often.orderBy(*ranked).collect()
+    if len(top) < size:
+        top = counts.orderBy(*ranked).limit(size).collect()
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
 
+def vocabulary(texts: DataFrame) -> np.ndarray:
+    """Hashes of the words that the network knows, most frequent first."""
+    return frequent(word_counts(texts))
+
+
+def room_for(words: int) -> int:
+    """Words a cluster has to hold for so many words and the rare ones."""
+    return max(WITHIN, -(-(words + RARE) // CLUSTERS))
+
+
 @dataclass
 class Network:
     embed: np.ndarray  # place x (word + one for beyond the text) x width
@@ -64,26 +93,32 @@ class Network:
     within: np.ndarray  # cluster x width + 1 x words
 
     @classmethod
-    def new(cls, seed: int = SEED) -> Network:
+    def new(cls, seed: int = SEED, room: int = WITHIN) -> Network:
         rng = np.random.default_rng(seed)
         return cls(
-            rng.normal(0, 0.1, (len(AROUND), SIZE + 1, WIDTH)).astype(np.float32),
+            rng.normal(0, 0.1, (len(AROUND), CLUSTERS * room + 1, WIDTH)).astype(np.float32),
             np.zeros((WIDTH + 1, CLUSTERS), np.float32),
-            np.zeros((CLUSTERS, WIDTH + 1, WITHIN), np.float32),
+            np.zeros((CLUSTERS, WIDTH + 1, room), np.float32),
         )
 
+    @property
+    def room(self) -> int:
+        return self.within.shape[2]
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.embed.ravel(), self.cluster.ravel(), self.within.ravel()])
 
     @classmethod
     def of(cls, values: np.ndarray) -> Network:
-        a = len(AROUND) * (SIZE + 1) * WIDTH
-        b = a + (WIDTH + 1) * CLUSTERS
+        fixed = (len(AROUND) * WIDTH, (WIDTH + 1) * CLUSTERS)
+        room = (len(values) - sum(fixed)) // (CLUSTERS * (fixed[0] + WIDTH + 1))
+        a = fixed[0] * (CLUSTERS * room + 1)
+        b = a + fixed[1]
         values = values.astype(np.float32)
         return cls(
-            values[:a].reshape(len(AROUND), SIZE + 1, WIDTH).copy(),
+            values[:a].reshape(len(AROUND), CLUSTERS * room + 1, WIDTH).copy(),
             values[a:b].reshape(WIDTH + 1, CLUSTERS).copy(),
-            values[b:].reshape(CLUSTERS, WIDTH + 1, WITHIN).copy(),
+            values[b:].reshape(CLUSTERS, WIDTH + 1, room).copy(),
         )
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
@@ -95,7 +130,7 @@ class Network:
 
     def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        group, place = word // WITHIN, word % WITHIN
+        group, place = word // self.room, word % self.room
         out = _log_softmax_at(h @ self.cluster, group)
         order = np.argsort(group, kind="stable")
         edge = np.searchsorted(group[order], np.arange(CLUSTERS + 1))
@@ -108,7 +143,7 @@ class Network:
         """One step of stochastic gradient descent on a batch of tokens."""
         n = len(word)
         h = self.hidden(around)
-        group, place = word // WITHIN, word % WITHIN
+        group, place = word // self.room, word % self.room
         error = _softmax(h @ self.cluster)
         error[np.arange(n), group] -= 1
         back = error @ self.cluster.T
@@ -147,25 +182,26 @@ class Words:
     def __init__(self, top: np.ndarray):
         self.order = np.argsort(top)
         self.sorted = top[self.order]
+        self.size = CLUSTERS * room_for(len(top))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        rare = SIZE - RARE + (hashes >> np.uint64(32)).astype(np.int64) % RARE
+        rare = self.size - RARE + (hashes >> np.uint64(32)).astype(np.int64) % RARE
         if not len(self.sorted):
             return rare
         place = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[place] == hashes, self.order[place], rare)
 
 
-def contexts(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Words around each word, place by place; beyond the text it is the word numbered SIZE."""
+def contexts(ids: np.ndarray, begin: np.ndarray, beyond: int = SIZE) -> np.ndarray:
+    """Words around each word, place by place; beyond the text it is the word numbered ``beyond``."""
     n = len(ids)
     text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    around = np.full((len(AROUND), n), SIZE, np.int64)
+    around = np.full((len(AROUND), n), beyond, np.int64)
     for k, shift in enumerate(AROUND):
         a, b = max(0, -shift), min(n, n - shift)
         if a < b:
             same = text[a:b] == text[a + shift : b + shift]
-            around[k, a:b] = np.where(same, ids[a + shift : b + shift], SIZE)
+            around[k, a:b] = np.where(same, ids[a + shift : b + shift], beyond)
     return around
 
 
@@ -199,7 +235,7 @@ def _trainer(words, network, turn: int, rounds: int):
                 bounds = offsets[first : last + 1]
                 hashes, begin = word_hashes(data[bounds[0] : bounds[-1]], bounds - bounds[0])
                 ids = ids_of.ids(hashes)
-                around = contexts(ids, begin)
+                around = contexts(ids, begin, ids_of.size)
                 place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
                 # Each round takes every so many-th token of a text, so that all rounds take each token once.
                 some = np.flatnonzero(place % rounds == turn)
@@ -212,7 +248,7 @@ def _trainer(words, network, turn: int, rounds: int):
         if seen:
             for block, values in enumerate(np.array_split((own.flat() - start).astype(np.float64), BLOCKS)):
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [block], "task": [TaskContext.get().partitionId()], "weight": [float(seen)], "amounts": [(values * seen).tobytes()]},
+                    {"block": [block], "task": [TaskContext.get().partitionId()], "weight": [float(seen)], "amounts": [(values * seen).astype(np.float32).tobytes()]},
                     schema=_PART,
                 )
 
@@ -228,14 +264,14 @@ def _adder(batches):
     task = 0
     for batch in batches:
         for block, task, weight, amounts in zip(*(batch.column(n) for n in ("block", "task", "weight", "amounts"))):
-            values, weight = np.frombuffer(amounts.as_buffer(), np.float64), weight.as_py()
+            values, weight = np.frombuffer(amounts.as_buffer(), np.float32).astype(np.float64), weight.as_py()
             if (held := sums.get(block.as_py())) is None:
-                sums[block.as_py()] = [weight, values.copy(), task.as_py()]
+                sums[block.as_py()] = [weight, values, task.as_py()]
             else:
                 held[0] += weight
                 held[1] += values
     for block, (weight, values, task) in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": [block], "task": [task], "weight": [weight], "amounts": [values.tobytes()]}, schema=_PART)
+        yield pa.RecordBatch.from_pydict({"block": [block], "task": [task], "weight": [weight], "amounts": [values.astype(np.float32).tobytes()]}, schema=_PART)
 
 
 def _added(parts: DataFrame, *by) -> DataFrame:
@@ -246,7 +282,7 @@ def train(texts: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> Network:
     """A network trained over all of ``texts``; only one model's size reaches the driver."""
     context = texts.sparkSession.sparkContext
     shipped = context.broadcast(words)
-    values = Network.new().flat()
+    values = Network.new(room=room_for(len(words))).flat()
     for turn in range(rounds):
         parts = texts.mapInArrow(_trainer(shipped, context.broadcast(values), turn, rounds), PART)
         few = _added(parts, "block", F.col("task") % SPREAD)
@@ -254,38 +290,73 @@ def train(texts: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> Network:
         moved = np.zeros(len(values))
         for block, part in enumerate(np.array_split(np.arange(len(values)), BLOCKS)):
             for r in sorted((r for r in rows if r.block == block), key=lambda r: r.task):
-                moved[part] += np.frombuffer(r.amounts, np.float64) / r.weight
+                moved[part] += np.frombuffer(r.amounts, np.float32).astype(np.float64) / r.weight
         values = (values + moved).astype(np.float32)
     return Network.of(values)
 
 
-SCORES = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_probability double"
+SCORES = "row bigint, word bigint, doc_id bigint, n_tokens bigint, log_likelihood double"
+_SCORES = pa.schema([("row", pa.int64()), ("word", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
 
 
 def _scorer(words, network):
+    """A row per text with what the network says, and one per rare word with its hash and its text's row.
+
+    The text's own row has a number spread over all hashes for its word, and is told by ``n_tokens``.
+    """
+
     def score(batches):
         own, ids_of = Network.of(network.value), Words(words.value)
+        task, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            docs, sizes, sums = batch.column("doc_id"), [], []
+            docs = batch.column("doc_id")
             for first, last in slices(offsets, 1 << 19):
                 bounds = offsets[first : last + 1]
                 hashes, begin = word_hashes(data[bounds[0] : bounds[-1]], bounds - bounds[0])
                 ids = ids_of.ids(hashes)
-                around = contexts(ids, begin)
+                around = contexts(ids, begin, ids_of.size)
                 logs = np.zeros(len(ids) + 1)
                 for a in range(0, len(ids), 1 << 14):
                     logs[a + 1 : a + 1 + len(ids[a : a + (1 << 14)])] = own.log_probability(around[:, a : a + (1 << 14)], ids[a : a + (1 << 14)])
                 upto = np.cumsum(logs)
-                sizes.append(np.diff(begin))
-                sums.append(np.diff(upto[begin]))
-            size, total = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, sums))
-            mean = pa.array(np.where(size > 0, total / np.maximum(size, 1), 0.0), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([docs, pa.array(size.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
+                size, row = np.diff(begin), task + done + np.arange(last - first)
+                done += last - first
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(signed(mix(row.astype(np.uint64)))), docs.slice(first, last - first), pa.array(size.astype(np.int64)), pa.array(np.diff(upto[begin]))], schema=_SCORES)
+                rare = ids >= ids_of.size - RARE
+                none = pa.nulls(int(rare.sum()))
+                if len(none):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, size)[rare]), pa.array(signed(hashes[rare])), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64())], schema=_SCORES)
 
     return score
 
 
+def _bucket(word: Column) -> Column:
+    """Which bucket a rare word is in, as in ``Words``."""
+    return (F.shiftrightunsigned(word, 32) % RARE).cast("int")
+
+
+def _with_shares(parts: DataFrame, counts: DataFrame, words: np.ndarray) -> DataFrame:
+    """Scores of texts, with the part that each rare word has in its bucket."""
+    top = parts.sparkSession.createDataFrame(pa.table({"word": pa.array(signed(words))}))
+    rare = kept(counts.join(F.broadcast(top), "word", "left_anti"), "lm-rare")
+    logs = [0.0] * RARE
+    for bucket, n in rare.groupBy(_bucket(F.col("word"))).agg(F.sum("n")).collect():
+        logs[bucket] = math.log(n)
+    share = F.log("n") - F.element_at(F.array(*map(F.lit, logs)), _bucket(F.col("word")) + 1)
+    own = F.col("n_tokens").isNotNull()
+    summed = (
+        parts.join(rare.hint("shuffle_hash"), "word", "left")
+        .groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_tokens").alias("n_tokens"),
+            F.sum(F.when(own, F.col("log_likelihood")).otherwise(share)).alias("log_likelihood"),
+        )
+    )
+    return summed.select("doc_id", "n_tokens", "log_likelihood", F.expr("CASE WHEN n_tokens > 0 THEN log_likelihood / n_tokens END AS mean_log_probability"))
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row ``doc_id, n_tokens, log_likelihood, mean_log_probability`` under a network trained on ``docs``.
 
@@ -294,7 +365,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     Other columns are not looked at; an empty table gives no rows.
     """
     texts = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
-    words = vocabulary(texts.select("text"))
+    counts = word_counts(texts.select("text"))
+    words = frequent(counts)
     network = train(texts.select("text"), words, rounds)
     context = docs.sparkSession.sparkContext
-    return texts.mapInArrow(_scorer(context.broadcast(words), context.broadcast(network.flat())), SCORES)
+    parts = texts.mapInArrow(_scorer(context.broadcast(words), context.broadcast(network.flat())), SCORES)
+    return _with_shares(parts, counts, words)

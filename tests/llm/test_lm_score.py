@@ -107,3 +107,31 @@ def test_rounds_train_on_every_token_once(spark, monkeypatch, rounds):
     for turn in range(rounds):
         list(lm._trainer(words, values, turn, rounds)([pa.RecordBatch.from_pydict({"text": texts})]))
     assert sorted(targets) == list(range(66))
+
+
+def test_each_rare_word_has_its_own_probability(spark, monkeypatch):
+    """With few words in the network, of two words in one bucket the more frequent is the likelier by their counts."""
+    monkeypatch.setattr(lm, "frequent", lambda counts: np.zeros(0, np.uint64))
+    many = [f"word{i}" for i in range(200)]
+    hashes = lm.word_hashes(*lm.flat(pa.array(many)))[0]
+    bucket = (hashes >> np.uint64(32)).astype(np.int64) % lm.RARE
+    a, b = np.flatnonzero(bucket == np.bincount(bucket).argmax())[:2]
+    docs = spark.createDataFrame([(0, many[a]), (1, many[b])] + [(2, many[a])] * 5 + [(3, " ".join(many))], "doc_id bigint, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm.scored(docs).collect()}
+    assert abs(got[0] - got[1] - np.log(7 / 2)) < 1e-9
+    assert lm.scored(docs).count() == docs.count()
+
+
+def test_the_network_grows_with_the_corpus(monkeypatch, spark):
+    """Every word above the limit is the network's, also beyond the least size."""
+    assert lm.least_count(10**12) > lm.least_count(10**9) and 10**12 / lm.least_count(10**12) > 10**9 / lm.least_count(10**9)
+    counts = spark.range(20000).selectExpr("id AS word", "IF(id < 9000, 50000L, 1L) AS n")
+    words = lm.frequent(counts)
+    assert sorted(words.tolist()) == list(range(9000))
+    net = lm.Network.new(room=lm.room_for(len(words)))
+    ids = lm.Words(words).ids(np.arange(20000, dtype=np.uint64))
+    assert len(set(ids[:9000].tolist())) == 9000 and (ids[9000:] >= lm.Words(words).size - lm.RARE).all()
+    again = lm.Network.of(net.flat())
+    assert again.embed.shape == net.embed.shape and again.within.shape == net.within.shape and (again.flat() == net.flat()).all()
+    around = lm.contexts(ids[:500], np.array([0, 500]), lm.Words(words).size)
+    assert np.isfinite(net.log_probability(around, ids[:500])).all()
