@@ -13,38 +13,45 @@ def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are the same bytes once white space is deleted; null
     and empty texts, and texts of white space alone, are one group.  Of a group the row
     with most code points in its original text stays, then the one with the smallest
     id.  Rows that repeat an id are each counted, and each kept if that id is.  An empty
-    table gives no rows; columns other than the two named are not looked at.
+    table gives no rows; columns other than those named are not looked at.
+
+    With ``row_col``, a number that differs from row to row, exactly one row of a group
+    is kept, whether ids repeat or are null: of equally long texts a null id comes last, and of equal
+    ids the smallest number stays.  The number is then the last column, ``row``.
 
     The hash is MD5.  Counts and the row to stay combine before they are shuffled, so
     a group of any size is one row; only members of groups of two or more are compared
     byte by byte with the text that stays, in a join whose large keys adaptive
     execution splits.  Members that differ (a collision) are grouped anew by their bytes.
     """
+    own, number = ("doc_id", []) if row_col is None else ("row", [named(row_col).cast("bigint").alias("row")])
+    extra = ["row"] if number else []
     rows = docs.select(
         named(id_col).cast("bigint").alias("doc_id"),
+        *number,
         without_spaces(named(text_col)).alias("norm"),
         F.coalesce(F.char_length(named(text_col)), F.lit(0)).alias("chars"),
     ).select(
-        "doc_id", "chars", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256")
+        "doc_id", *extra, "chars", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256")
     )
     # The order of preference as one number: most code points, then the smallest id.
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("id"))).alias("best")
+    best = F.max(F.struct("chars", *((-F.col(c)).alias(c) for c in ["doc_id", *extra]))).alias("best")
     firsts = kept(
         rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), best),
         "exact-firsts",
     )
-    several = firsts.where("n > 1").select("hash", (-F.col("best.id")).alias("first_id"))
+    several = firsts.where("n > 1").select("hash", (-F.col(f"best.{own}")).alias("first"))
     models = (
-        rows.select("doc_id", "hash", "norm")
+        rows.select(own, "hash", "norm")
         .join(several.hint("merge"), "hash")
-        .where("doc_id = first_id")
+        .where(f"{own} = first")
         .groupBy("hash")
         .agg(F.first("norm").alias("model"))
     )
@@ -52,6 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = kept(
         rows.join(models.hint("merge"), "hash", "left").select(
             "doc_id",
+            *extra,
             "chars",
             "hash",
             "text_sha256",
@@ -66,9 +74,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(groups.alias("g").hint("merge"), same)
         .select(
             "m.doc_id",
-            (-F.col("g.best.id")).alias("keep_id"),
+            (-F.col("g.best.doc_id")).alias("keep_id"),
             "g.group_size",
-            (F.col("m.doc_id") == -F.col("g.best.id")).alias("kept"),
+            (F.col(f"m.{own}") == -F.col(f"g.best.{own}")).alias("kept"),
             "m.text_sha256",
+            *(f"m.{c}" for c in extra),
         )
     )

@@ -57,3 +57,40 @@ def test_odd_rows_pass_through(spark):
         empty = stage(spark, empty, MEDIUM)
         assert empty.count() == 0
     assert pieces.SEED
+
+
+def test_repeated_and_null_ids(spark):
+    """Of each group of equal or near texts one row stays, whatever its id is shared with."""
+    near = [f"n{i}" for i in range(60)]
+    texts = [
+        (9, "one two"), (9, "one two"), (None, "one two"),  # equal rows, and one more with a null id
+        (1, "alpha beta"), (2, "alpha beta"), (2, "a text of its own"),  # an id shared with a copy
+        (None, "gamma  delta"), (3, "gamma delta"), (4, "gamma delta"),  # the longest text has no id
+        (None, "epsilon"), (None, "epsilon"), (None, None), (5, " "),
+        (6, " ".join(near)), (7, " ".join([*near, "more"])), (7, "seven is a text of its own too"),
+        (None, " ".join(["less", *near])), (8, "eight " * 9), (8, "ate " * 9),
+    ]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in texts]).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    best = {}
+    for i, t in texts:
+        norm = (t or "").translate(BLANKS)
+        rank = (-len(t or ""), i is None, i or 0, t)
+        best[norm] = min(best.get(norm, rank), rank)
+    left = [(None if none else i, t) for _, none, i, t in best.values()]
+    docs = kept(stages["exact_dedup"](spark, docs, MEDIUM), "t")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(str, left))
+
+    groups = brute([(k, t) for k, (_, t) in enumerate(left)], 5, 80, 100)
+    group = {k: c for k, _, c in groups}
+    stay = {}
+    for k, (i, t) in enumerate(left):
+        rank = (i is None, i or 0, k)
+        stay[group[k]] = min(stay.get(group[k], rank), rank)
+    expected = [left[k] for *_, k in stay.values()]
+    assert len(expected) == len(left) - 2
+    for again in (docs, docs.unionAll(docs)):
+        got = stages["ngram_join"](spark, again, MEDIUM).collect()
+        found = [(r.doc_id, r.text) for r in got if r.text and r.text.strip()]
+        assert sorted(map(str, found)) == sorted(str(x) for x in expected if x[1] and x[1].strip())
