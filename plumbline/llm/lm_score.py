@@ -52,7 +52,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def _counter(batches):
     for batch in batches:
         data, offsets = flat(batch.column("text"))
-        found, counts = np.unique(word_hashes(data, offsets)[0], return_counts=True)
+        # In slices: hashing takes many times the memory of the bytes.
+        parts = [word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0] for a, b in slices(offsets)]
+        found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
