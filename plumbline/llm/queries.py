@@ -32,7 +32,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     told, (ids, n, lossless) = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
-    return told.select("doc_id", F.col(n).alias("n_pieces"), F.hash(ids).alias("ids_hash"), F.col(lossless).alias("lossless"))
+    return told.select("doc_id", F.col(ids).alias("piece_ids"), F.col(n).alias("n_pieces"), F.col(lossless).alias("lossless"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,10 @@ def test_chunks_encode_as_whole_texts(texts):
     values, begin = cache.lookup(data, offsets)
     for text, a, b in zip(texts, begin[:-1], begin[1:]):
         assert values[a:b].tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_query_returns_the_pieces(spark):
+    from plumbline.llm import queries
+
+    rows = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.lossless and len(r.piece_ids) == r.n_pieces for r in rows)
