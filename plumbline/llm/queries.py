@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, exact_dedup, langid, lm_score, mixing, ngram_join, pieces, repair, substring_dedup, warc
+from plumbline.llm import (
+    byte_bpe, embedding_dedup, exact_dedup, filter_audit, langid, lm_score, mixing, ngram_join, pieces, ranked_search,
+    repair, substring_dedup, warc,
+)
 from plumbline.llm.frames import table
 
 
@@ -69,6 +72,31 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item, over all documents and whole texts."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of the bytes these decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    told, ids = byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
+    told, raw = byte_bpe.decoded(told, ranks, ids)
+    decimal = F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary")
+    return told.select(
+        "doc_id",
+        F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2(raw, 256).alias("decoded_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove at each step of every order, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_mixing": op1_mixing,
@@ -81,11 +109,17 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _SPACES = r"[\x20\x09-\x0D]"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _COMPONENTS = """
 reach(a, b) as (
   select id, id from nodes
@@ -175,6 +209,57 @@ links as (
 nodes as (select doc_id as id from documents),{_COMPONENTS}
 select a as doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id
 from reach left join sizes on sizes.doc_id = a group by a, n""",
+    "op11_ranked_search": f"""
+with terms as (
+  select doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') as w from documents),
+sizes as (select doc_id, len(w)::bigint as n from terms where len(w) > 0),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as total from sizes),
+counts as (select doc_id, t, count(*)::bigint as tf from (select doc_id, unnest(w) as t from terms) group by doc_id, t),
+weights as (
+  select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select t, count(*)::bigint as df from counts group by t), corpus),
+asked as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) as t from benchmark),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))))::bigint as score
+  from asked join counts using (t) join weights using (t) join sizes using (doc_id), corpus
+  group by item_id, doc_id),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10""",
+    "op13_filter_audit": f"""
+with recursive letters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+grown(o) as (select l from letters union all select o || l from grown, letters where length(o) < 5 and not contains(o, l)),
+steps as (
+  select o as filter_order, s::int as step, substr(o, s::int, 1) as f, substr(o, 1, s::int - 1) as earlier
+  from grown, range(1, 6) as r(s) where length(o) = 5),
+texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w
+  from documents),
+marks as (
+  select doc_id, max((coalesce(quality, 0) = 1)::int) as good, max((coalesce(toxic, 0) = 1)::int) as toxic
+  from labels group by doc_id),
+failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, concat(
+    case when len(w) < 50 then 'A' else '' end,
+    case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end,
+    case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) then 'C' else '' end,
+    case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end,
+    case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) as fails
+  from texts left join marks using (doc_id)),
+patterns as (
+  select part, fails, count(*)::bigint as n, sum(good)::bigint as good, sum(toxic)::bigint as toxic from failed group by part, fails),
+told as (
+  select part, filter_order, step, f,
+    sum(case when translate(earlier || f, fails, '') = earlier || f then n else 0 end)::bigint as kept,
+    sum(case when contains(fails, f) and translate(earlier, fails, '') = earlier then n else 0 end)::bigint as removed,
+    sum(case when contains(fails, f) and translate(earlier, fails, '') <> earlier then n else 0 end)::bigint as redundant,
+    sum(case when fails = f then n else 0 end)::bigint as unique_fails,
+    sum(case when contains(fails, f) and translate(earlier, fails, '') = earlier then good else 0 end)::bigint as good_lost,
+    sum(case when contains(fails, f) and translate(earlier, fails, '') = earlier then toxic else 0 end)::bigint as toxic_lost
+  from patterns, steps group by part, filter_order, step, f)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, f)::bigint as shapley
+from told""",
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:

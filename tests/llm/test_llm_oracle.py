@@ -5,7 +5,7 @@ from oracle import connect, differences
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
 
 # Learned models, sampled or packed tokens, byte windows: held against brute force elsewhere.
-WITHOUT_SQL = {"pipeline", "op3_suffix_dedup", "op4_sentencepiece", "op5_language_id", "op6_repair_ids", "op8_lm_score"}
+WITHOUT_SQL = {"pipeline", "op3_suffix_dedup", "op4_sentencepiece", "op5_language_id", "op6_repair_ids", "op8_lm_score", "op12_byte_bpe"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
