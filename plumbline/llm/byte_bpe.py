@@ -3,8 +3,8 @@
 Texts are cut into words by the vocabulary's pattern, in blocks of some megabytes: a block is one
 row with its documents, each as numbers of words, and its distinct words as arrays of the pieces of
 their bytes.  Spark folds the ranked merges over each distinct word: a step looks for the pair of
-least rank, joins it, and asks a literal map for the ranks of the two pairs that come to be.  Documents then
-gather the ids of their words.  Nothing is shuffled, and a word that is frequent is merged
+least rank, joins it, and asks a literal map for the ranks of the two pairs that come to be.
+Documents then gather the ids of their words.  Nothing is shuffled, and a frequent word is merged
 once a block.  Decoding concatenates the bytes of the pieces.
 """
 
@@ -14,7 +14,10 @@ import base64
 import heapq
 import json
 import unicodedata
+from array import array
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,6 @@ from plumbline.llm.frames import fresh, named, number_of, numbered
 BLOCK_BYTES = 16 << 20
 # Steps of a fold copy the word, so longer words are merged with a heap instead.
 LONG_WORD = 128
-# Pairs of ids are looked up in one of so many small maps: Spark searches a map from end to end.
-BUCKETS = 1 << 15
 
 # A link of a word under merge is one number: the rank of a piece and the next one together, the
 # place where the piece begins, and its id.  The least link is the pair to merge next.
@@ -41,8 +42,6 @@ ID = (1 << ID_BITS) - 1
 PLACE = ((1 << PLACE_BITS) - 1) << ID_BITS
 RANK_SHIFT = ID_BITS + PLACE_BITS
 NO_RANK = ID << RANK_SHIFT
-# Before the first piece: an id that no piece has.
-EDGE_LINK = NO_RANK | ID
 
 
 @dataclass
@@ -78,30 +77,35 @@ class Ranks:
                 heapq.heappush(heap, (r, before[i], ids[before[i]], merged))
         return [x for x in ids if x >= 0]
 
+    @property
+    def id_bits(self) -> int:
+        """Bits of all ids and of one more, which no piece has."""
+        return len(self.pieces).bit_length()
+
     def first_links(self, words: list[str]) -> pa.Array:
         """Words as arrays of links: of their bytes, or of their ids if there is nothing left to merge.
 
         A word that is a piece is that piece, and a long one is merged here.
         """
         raw = [w.encode() for w in words]
-        whole = [self.rank.get(w) for w in raw]
         ready = {
-            i: [number] if number is not None else self.heap_merged(w)
-            for i, (w, number) in enumerate(zip(raw, whole))
-            if number is not None or len(w) > LONG_WORD
+            i: self.heap_merged(w) if whole is None else [whole]
+            for i, w in enumerate(raw)
+            if (whole := self.rank.get(w)) is not None or len(w) > LONG_WORD
         }
-        of_bytes = np.array([i not in ready for i in range(len(raw))], bool)
-        sizes = np.array([len(ready.get(i, w)) for i, w in enumerate(raw)], np.int64)
+        sizes = np.array([len(ready[i]) if i in ready else len(w) for i, w in enumerate(raw)], np.int64)
         begin = np.cumsum(sizes) - sizes
         links = np.full(int(sizes.sum()), NO_RANK, np.int64)
+        of_bytes = np.array([i not in ready for i in range(len(raw))], bool)
         done, open_ = np.flatnonzero(~of_bytes), np.flatnonzero(of_bytes)
         links[spread(begin[done], sizes[done])] |= np.array([x for i in done.tolist() for x in ready[i]], np.int64)
         data = np.frombuffer(b"".join(raw[i] for i in open_.tolist()), np.uint8)
-        at = np.arange(len(data)) - np.repeat(np.cumsum(sizes[open_]) - sizes[open_], sizes[open_])
+        ends = np.cumsum(sizes[open_])
+        place = np.arange(len(data)) - np.repeat(ends - sizes[open_], sizes[open_])
         rank = np.full(len(data), NO_RANK, np.int64)
         rank[:-1] = self.byte_pairs[data[:-1], data[1:]]
-        rank[np.cumsum(sizes[open_]) - 1] = NO_RANK
-        links[spread(begin[open_], sizes[open_])] = rank | at << ID_BITS | np.array(self.byte, np.int64)[data]
+        rank[ends - 1] = NO_RANK
+        links[spread(begin[open_], sizes[open_])] = rank | place << ID_BITS | np.array(self.byte, np.int64)[data]
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(links))
 
 
@@ -167,13 +171,13 @@ def _block_maker(ranks, text: str, names: list[str], block_bytes: int):
             rows = pa.StructArray.from_arrays([batch.column(n) for n in names], names=names)
             for first, last in slices(offsets, block_bytes):
                 words = exact if (data[offsets[first] : offsets[last]] >= _LATE).any() else plain
-                numbers: dict[str, int] = {}
-                codes, ends = [], [0]
+                numbers: dict[str, int] = defaultdict(count().__next__)
+                codes, ends = array("i"), [0]
                 for i in range(first, last):
                     raw = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                    codes += [numbers.setdefault(w, len(numbers)) for w in words.findall(raw)]
+                    codes.extend(map(numbers.__getitem__, words.findall(raw)))
                     ends.append(len(codes))
-                of_docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))
+                of_docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(codes, np.int32)))
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([one(rows.slice(first, last - first)), one(of_docs), one(own.first_links(list(numbers)))], names=["rows", "codes", "words"])
 
@@ -186,10 +190,14 @@ def _literal(value, dtype: str) -> Column:
 
 
 def rank_map(ranks: Ranks) -> Column:
-    """The literal map of pairs of ids to the rank they merge into, as an array of small maps."""
-    maps: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    """The literal map of pairs of ids to the rank they merge into, as it stands in a link.
+
+    Spark searches a map from end to end, so it is cut into many: of pairs whose ids combine (by
+    exclusive or) to the same number, told apart by their first id.
+    """
+    maps: list[dict[int, int]] = [{} for _ in range(1 << ranks.id_bits)]
     for (a, b), merged in ranks.pairs.items():
-        maps[(a * 131 + b) % BUCKETS][a << ID_BITS | b] = merged << RANK_SHIFT
+        maps[a ^ b][a] = merged << RANK_SHIFT
     return _literal(maps, "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
@@ -198,14 +206,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def folded(links: Column, pairs: Column) -> Column:
+def folded(links: Column, pairs: Column, edge: int) -> Column:
     """The ids of a word, an array of links, by merging the pair of least rank, the first of several,
-    until no pair has a rank."""
+    until no pair has a rank.  ``edge`` is an id that no piece has."""
 
     def link(own: Column, following: Column) -> Column:
-        a, b = own.bitwiseAND(ID), following
-        bucket = (a * 131 + b).bitwiseAND(BUCKETS - 1).cast("int")
-        return F.coalesce(pairs[bucket][F.shiftleft(a, ID_BITS).bitwiseOR(b)], F.lit(NO_RANK)).bitwiseOR(own)
+        a = own.bitwiseAND(ID)
+        return F.coalesce(pairs[a.bitwiseXOR(following)][a], F.lit(NO_RANK)).bitwiseOR(own)
 
     def merge(links: Column, _: Column) -> Column:
         def at_place(at: Column) -> Column:
@@ -223,7 +230,7 @@ def folded(links: Column, pairs: Column) -> Column:
     def ids(links: Column) -> Column:
         return F.transform(links, lambda x: x.bitwiseAND(ID).cast("int"))
 
-    edged = F.flatten(F.array(F.array(F.lit(EDGE_LINK)), links))
+    edged = F.flatten(F.array(F.array(F.lit(NO_RANK | edge)), links))
     done = F.aggregate(links, edged, merge, lambda last: ids(F.slice(last, 2, F.size(last))))
     return F.when(F.array_min(links) >= NO_RANK, ids(links)).otherwise(done)
 
@@ -252,10 +259,10 @@ def encoded(
     if not left:
         raise ValueError("a column besides the text has to stay")
     maker = _block_maker(docs.sparkSession.sparkContext.broadcast(ranks), text, [f.name for f, _ in left], block_bytes)
-    pairs = rank_map(ranks)
+    pairs, edge = rank_map(ranks), (1 << ranks.id_bits) - 1
     # The map goes with the plan once.  An exploded array stays a step of its own: merged into the next
     # one, each word of a text would be folded anew.
-    merged = F.transform(F.array(pairs), lambda p: F.transform("words", lambda w: folded(w, p)))
+    merged = F.transform(F.array(pairs), lambda p: F.transform("words", lambda w: folded(w, p, edge)))
     blocks = plain.mapInArrow(maker, schema).select("rows", "codes", F.explode(merged).alias("ids"))
 
     def gathered(numbers: Column) -> Column:
@@ -274,7 +281,7 @@ def decoded(ids: DataFrame, path: str, ids_col: str, out_col: str = "decoded") -
     out = fresh(ids, out_col)
     with open(path, "rb") as lines:
         raw = dict((int(number), piece.decode()) for piece, number in (line.split() for line in lines if line.strip()))
-    pieces = _literal([raw.get(i) for i in range(max(raw) + 1)], "array<binary>")
-    # Bytes as they are, valid text or not; joining takes linear time.
-    joined = F.array_join(F.transform(named(ids_col), lambda i: pieces[i].cast("string")), "")
+    # Strings of the bytes as they are, valid text or not: joining these takes linear time.
+    pieces = _literal([raw.get(i) for i in range(max(raw) + 1)], "array<binary>").cast("array<string>")
+    joined = F.array_join(F.transform(named(ids_col), lambda i: pieces[i]), "")
     return ids.withColumn(out, joined.cast("binary")), out
