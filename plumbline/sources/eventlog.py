@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.sources import packed
 from plumbline.sources.files import PARTITION_BYTES, file_listing, twin_session
 
 _SQL_EVENT = "org.apache.spark.sql.execution.ui.SparkListenerSQL"
@@ -67,9 +68,9 @@ def log_form(path: Column) -> Column:
     finished = F.regexp_replace(name, r"\.inprogress$", "")
     bare = F.regexp_replace(finished, r"\.compact$", "")
     suffix = F.regexp_extract(bare, r"\.([^.]+)$", 1)
-    packed = F.when(name.endswith(COMPRESSED_SUFFIX), "zstd").otherwise("hidden_zstd")
+    form = F.when(name.endswith(COMPRESSED_SUFFIX), "zstd").otherwise("hidden_zstd")
     return (
-        F.when(suffix == COMPRESSED_SUFFIX[1:], packed)
+        F.when(suffix == COMPRESSED_SUFFIX[1:], form)
         .when((suffix == "") | suffix.isin(*PLAIN_SUFFIXES), "plain")
         .otherwise("unreadable")
     )
@@ -97,7 +98,8 @@ def read_log_lines(
 
     Rolling, compacted and single-file logs, plain or compressed with zstd, are read alike.
     Scans pack plain logs into tasks of up to ``bytes_per_task`` and split larger ones; zstd
-    logs are read whole.
+    logs are read whole.  Compacted zstd logs, which Spark's readers do not know as such, are read as
+    streams and split at their frames, see ``packed``.
 
     A log in another codec, or with a suffix that is not known, is an error that names it;
     ``skip_unreadable`` leaves such logs out, and ``unreadable_logs`` lists them.  A compressed
@@ -135,13 +137,18 @@ def read_log_lines(
         tasks = max(math.ceil(seen["zstd"].total / bytes_per_task), spark.sparkContext.defaultParallelism)
         lines = lines.union(text(whole, "zstd").coalesce(tasks))
     if "hidden_zstd" in seen:
-        lines = lines.union(_unpacked(spark, path, include_unfinished, tolerate_cut_off))
+        hidden = listing.where("form = 'hidden_zstd'").select("path", "length")
+        stores = F.regexp_extract("path", "^([^:/]+):", 1).isin(*packed.OPENABLE)
+        opened = packed.packed_lines(hidden.where(stores), bytes_per_task, tolerate_cut_off)
+        lines = lines.union(opened.select(run_key_of(F.col("path")).alias("run_key"), "value"))
+        if not hidden.where(~stores).isEmpty():
+            lines = lines.union(_unpacked(spark, path, include_unfinished, tolerate_cut_off, ~stores))
     return lines
 
 
-def _unpacked(spark: SparkSession, path: str | list[str], include_unfinished: bool, tolerate: bool) -> DataFrame:
-    """Lines of zstd logs that readers would not know as such, unpacked as streams."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _unpacked(spark: SparkSession, path: str | list[str], include_unfinished: bool, tolerate: bool, which: Column) -> DataFrame:
+    """Lines of hidden zstd logs in stores that only Spark can open, each packed log one cell of up to 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(which)
     files = _wanted_files(files, F.col("path"), include_unfinished).where(log_form(F.col("path")) == "hidden_zstd")
     keyed = files.select(run_key_of(F.col("path")).alias("run_key"), "content")
     return keyed.mapInArrow(_zstd_lines(tolerate), "run_key string, value string")
@@ -151,10 +158,10 @@ def _zstd_lines(tolerate: bool):
     def unpack(batches):
         for batch in batches:
             for key, content in zip(batch.column("run_key").to_pylist(), batch.column("content")):
-                packed = zstandard.ZstdDecompressor().stream_reader(
+                unpacked = zstandard.ZstdDecompressor().stream_reader(
                     io.BytesIO(content.as_py()), read_across_frames=True
                 )
-                lines = io.TextIOWrapper(packed, encoding="utf-8", errors="replace", newline="\n")
+                lines = io.TextIOWrapper(unpacked, encoding="utf-8", errors="replace", newline="\n")
                 values, size = [], 0
                 try:
                     for line in lines:
