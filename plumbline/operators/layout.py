@@ -48,9 +48,36 @@ def compact_scan(
 
 
 def spread(df: DataFrame, partitions: int, *by: str) -> DataFrame:
-    """Deal the rows out over ``partitions`` by ``by``: for work that is heavy per row after a
-    read that cannot be split further."""
-    return df.repartition(partitions, *by)
+    """Deal the rows out over ``partitions`` by ``by``, unless the read has as many by itself.
+
+    For work that is heavy per row after a read that cannot be split further, such as one row group.
+    """
+    return df if df.rdd.getNumPartitions() >= partitions else df.repartition(partitions, *by)
+
+
+def write_rebalanced(df: DataFrame, path: str, by: list[str] | None = None, bytes_per_file: int = PARTITION_BYTES) -> None:
+    """Write ``df`` as Parquet whose files follow the bytes there are, below folders by ``by`` if given.
+
+    Adaptive execution splits and merges the shuffled rows to about ``bytes_per_file`` a task: a value
+    of few rows is one file, a value with a third of all rows is many, and no count is chosen by hand.
+    Shuffled bytes are packed less than Parquet's, so files come out smaller rather than larger.
+    """
+    by = by or []
+    conf = df.sparkSession.conf
+    wanted = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(bytes_per_file)}
+    before = {name: conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            conf.set(name, value)
+        df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
+def files_of(df: DataFrame) -> DataFrame:
+    """``df`` read from files, with the file of each row in a column ``file``."""
+    return df.withColumn("file", F.col("_metadata.file_path"))
 
 
 def write_compacted(df: DataFrame, path: str, files: int) -> None:

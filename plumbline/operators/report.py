@@ -7,7 +7,7 @@ a long report becomes several files that follow each other in name order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.formatting import fmt_bytes, fmt_fixed
@@ -212,3 +212,21 @@ def write_reports(lines: DataFrame, path: str) -> None:
         .partitionBy("report")
         .text(path)
     )
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """``report, line_no, line``: reports that ``write_reports`` wrote, in reading order from 0.
+
+    A file holds a bounded range of a report; what its lines count from is a running sum over the
+    report's files, not over its lines.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("report").cast("string").alias("report"),
+        F.col("_metadata.file_name").alias("file"),
+        # Every line ends with a line feed, the last one too.
+        F.split(F.regexp_replace("value", "\n\\z", ""), "\n").alias("lines"),
+    )
+    earlier = Window.partitionBy("report").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.select("report", "file", F.coalesce(F.sum(F.size("lines")).over(earlier), F.lit(0)).alias("first"))
+    lines = files.select("report", "file", F.posexplode("lines").alias("place", "line"))
+    return lines.join(sizes, ["report", "file"]).select("report", (F.col("first") + F.col("place")).alias("line_no"), "line")

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.formatting import fmt_bytes, fmt_pct_change, pct_change
 from plumbline.operators import advice, compare, report, rollup, rules
-from plumbline.settle import settled
+from plumbline.settle import settled, shared_folder
 from plumbline.sources import eventlog, telemetry
 
 # --- frames the queries share ------------------------------------------------
 
 
+def _cores(spark: SparkSession) -> int:
+    """Tasks that JSON is made and parsed in at least, also where a table is one row group."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _stages(spark: SparkSession, sf: str, duration_skew: bool = False) -> DataFrame:
     return rollup.stage_rollup(
         telemetry.task_rows(spark, sf),
@@ -50,18 +55,18 @@ def _compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def evt_type_counts(spark, sf):
     """Events of each kind among the lines of the logs."""
-    return eventlog.event_counts(telemetry.log_lines(spark, sf))
+    return eventlog.event_counts(telemetry.log_lines(spark, sf, _cores(spark)))
 
 
 def evt_task_extract(spark, sf):
     """Task records out of JSON lines."""
-    lines = telemetry.task_lines(spark, sf)
+    lines = telemetry.task_lines(spark, sf, _cores(spark))
     return eventlog.tasks(eventlog.parse_events(lines, ["task_end"]))
 
 
 def evt_stage_rollup(spark, sf):
     """Stages straight from JSON lines."""
-    lines = telemetry.task_lines(spark, sf).unionByName(telemetry.stage_lines(spark, sf))
+    lines = telemetry.task_lines(spark, sf, _cores(spark)).unionByName(telemetry.stage_lines(spark, sf))
     # Parsed once, and only the columns kept that the roll-up comes back to.
     events = settled(
         eventlog.parse_events(lines, ["task_end", "stage_submitted", "stage_completed"]).drop(
@@ -75,19 +80,19 @@ def evt_stage_rollup(spark, sf):
 
 def evt_apps(spark, sf):
     """The runs found in the logs."""
-    events = eventlog.parse_events(telemetry.log_lines(spark, sf))
+    events = eventlog.parse_events(telemetry.log_lines(spark, sf, _cores(spark)))
     return eventlog.apps(settled(events.select("kind", "run_key", "app_id", "app_name", "event_ms")))
 
 
 def sql_durations(spark, sf):
     """Start and end events of SQL executions brought together."""
-    lines = telemetry.sql_lines(spark, sf)
+    lines = telemetry.sql_lines(spark, sf, _cores(spark))
     return eventlog.sql_executions(eventlog.parse_events(lines))
 
 
 def plan_signals(spark, sf):
     """Operators mentioned in the plans, from JSON lines."""
-    lines = telemetry.sql_lines(spark, sf)
+    lines = telemetry.sql_lines(spark, sf, _cores(spark))
     return eventlog.sql_signals(eventlog.parse_events(lines))
 
 
@@ -296,6 +301,13 @@ def single_run_report(spark, sf):
     return report.single_run_lines(*_settled_metrics_and_findings(spark, sf))
 
 
+def single_run_report_files(spark, sf):
+    """The same reports written as text files and read back, lines numbered in reading order."""
+    path = shared_folder(spark, "reports")
+    report.write_reports(single_run_report(spark, sf), path)
+    return report.read_reports(spark, path)
+
+
 def comparison_report(spark, sf):
     """Lines of the report of every pair."""
     pairs, apps = _compared(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import joins, layout, reuse
+from plumbline.settle import settled, shared_folder
 from plumbline.sources import generate
 from plumbline.sources.telemetry import table
 
@@ -49,6 +50,13 @@ def gen_events_join_fact(spark, sf):
     return generate.events_join_fact(_ids(spark, sf, "events", "event_id"), hot)
 
 
+def row_range(spark, sf):
+    """Ids of a row range as long as the orders, and whether an order has the id."""
+    ids = generate.row_ids(spark, _rows(spark, sf, "orders"))
+    ordered = _ids(spark, sf, "orders", "o_orderkey").distinct().withColumn("ordered", F.lit(True))
+    return ids.join(ordered, "id", "left").select("id", F.coalesce("ordered", F.lit(False)).alias("ordered"))
+
+
 # --- joins ------------------------------------------------------------------------------
 
 
@@ -203,6 +211,38 @@ def small_files_compacted(spark, sf):
     return _per_priority(layout.compact_scan(spark, f"{sf}/orders.parquet"))
 
 
+def _read_back(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows, amounts and files per value of ``key`` of a table of orders just written."""
+    # Rows of a value and file combine before the files are counted.
+    per_file = layout.files_of(spark.read.parquet(path)).groupBy(key, "file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast(_CENTS)).alias("amount")
+    )
+    return per_file.groupBy(key).agg(
+        F.sum("n").alias("orders"),
+        F.sum("amount").cast("double").alias("total"),
+        F.count(F.lit(1)).alias("files"),
+    )
+
+
+def rebalanced_write(spark, sf):
+    """Orders written below a folder per status in files that follow the bytes, and read back."""
+    path = shared_folder(spark, "rebalanced")
+    layout.write_rebalanced(table(spark, sf, "orders"), path, ["o_orderstatus"])
+    return _read_back(spark, path, "o_orderstatus")
+
+
+def small_files_write(spark, sf):
+    """Orders written as many small files, and read back: rows, amounts and how many files there are."""
+    path = shared_folder(spark, "small-files")
+    layout.write_compacted(table(spark, sf, "orders"), path, generate.SMALL_FILES)
+    back = layout.files_of(spark.read.parquet(path))
+    files = back.select("file").distinct().count()
+    per = back.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast(_CENTS)).cast("double").alias("total")
+    )
+    return per.withColumn("files", F.lit(files).cast("bigint"))
+
+
 # --- reuse --------------------------------------------------------------------------------
 
 
@@ -247,8 +287,12 @@ def reuse_uncached(spark, sf):
 
 
 def reuse_cached(spark, sf):
-    """Three results from one cached frame, which the session holds until it is released."""
-    return reuse.reuse_cached(_enriched(spark, sf))[0]
+    """Three results from one cached frame, which is released once they are there."""
+    results, frame = reuse.reuse_cached(_enriched(spark, sf))
+    try:
+        return settled(results)
+    finally:
+        frame.unpersist()
 
 
 def reuse_grouping_sets(spark, sf):

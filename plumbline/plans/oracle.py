@@ -619,6 +619,9 @@ select label, line_no, line from (
     else '_skipped: no event log of ' || missing_app || '_' end from paired
   union all select label, 2, '' from paired)""",
     "single_run_report": _SINGLE_RUN,
+    "single_run_report_files": f"""
+select report, row_number() over (partition by report order by label, section, item, sub_item, line_no) - 1 as line_no, line
+from ({_SINGLE_RUN})""",
     "comparison_report": _COMPARISON,
     "pct_change": """
 select l_partkey, round((taxes - discounts) / nullif(discounts, 0) * 100, 6) as pct
@@ -644,6 +647,16 @@ from hot_orders, (select greatest(count(*) // 20, 1) as per from orders) group b
 having count(*) > any_value(per)""",
     "small_files_region_total": _REGION_TOTAL,
     "small_files_compacted": _REGION_TOTAL,
+    # One file per status: each has far fewer bytes than a file may.
+    "rebalanced_write": """
+select o_orderstatus, count(*) as orders, sum(o_totalprice::decimal(18, 2))::double as total, 1::bigint as files
+from orders group by 1""",
+    "small_files_write": """
+select o_orderpriority, count(*) as orders, sum(o_totalprice::decimal(18, 2))::double as total, 300::bigint as files
+from orders group by 1""",
+    "row_range": """
+with ids as (select unnest(range(0, (select count(*) from orders))) as id)
+select id, id in (select o_orderkey from orders) as ordered from ids""",
     "enrich_orders": f"with {ENRICHED} select * from enriched",
     "enrich_orders_limited": f"""with {ENRICHED}
 select * from enriched where order_id in (select o_orderkey from orders order by 1 limit 1000)""",

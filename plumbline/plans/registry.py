@@ -50,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "pct_change": diagnosis.pct_change_query,
     "fmt_bytes_cases": diagnosis.fmt_bytes_cases,
     "single_run_report": diagnosis.single_run_report,
+    "single_run_report_files": diagnosis.single_run_report_files,
     "comparison_report": diagnosis.comparison_report,
     "suite_report": diagnosis.suite_report,
     # joins
@@ -66,6 +67,8 @@ QUERIES: dict[str, Query] = {
     # layout
     "small_files_region_total": fixes.small_files_region_total,
     "small_files_compacted": fixes.small_files_compacted,
+    "rebalanced_write": fixes.rebalanced_write,
+    "small_files_write": fixes.small_files_write,
     # reuse
     "enrich_orders": fixes.enrich_orders,
     "enrich_orders_limited": fixes.enrich_orders_limited,
@@ -81,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "gen_customers": fixes.gen_customers,
     "gen_orders_join_fact": fixes.gen_orders_join_fact,
     "gen_events_join_fact": fixes.gen_events_join_fact,
+    "row_range": fixes.row_range,
 }
 
 

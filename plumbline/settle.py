@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
     return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below the checkpoint folder, for tables that are written to be read again."""
+    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.operators.layout import spread
 from plumbline.sources.eventlog import EVENT_KINDS
 
 RUNS = 4
@@ -191,8 +192,8 @@ def _named(**fields: Column | str) -> Column:
     )
 
 
-def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``run_key, value``: a task-end event per line item."""
+def task_lines(spark: SparkSession, sf_dir: str, partitions: int = 1) -> DataFrame:
+    """``run_key, value``: a task-end event per line item, made and parsed in ``partitions`` tasks or more."""
     remote = F.floor(F.col("shuffle_read_bytes") / 3)
     # Some launches lie after the finish, so that the raw duration is negative.
     launch = F.lit(1_700_000_000_000).cast("bigint")
@@ -221,7 +222,7 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             Input_Metrics=_named(Bytes_Read="input_bytes"),
         ),
     )
-    return _as_lines(task_rows(spark, sf_dir), line)
+    return _as_lines(spread(task_rows(spark, sf_dir), partitions, "task_id"), line)
 
 
 def stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +239,8 @@ def stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_lines(stage_event_rows(spark, sf_dir), line)
 
 
-def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start, end and plan-update events of the SQL executions."""
+def sql_lines(spark: SparkSession, sf_dir: str, partitions: int = 1) -> DataFrame:
+    """Start, end and plan-update events of the SQL executions, in ``partitions`` tasks or more."""
     execution = F.col("execution_id")
     start = _line(
         "sql_start",
@@ -262,7 +263,7 @@ def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("final_plan").isNotNull(),
         _line("sql_update", executionId=execution, physicalPlanDescription=text),
     )
-    return _as_lines(sql_rows(spark, sf_dir), start, update, end)
+    return _as_lines(spread(sql_rows(spark, sf_dir), partitions, "execution_id"), start, update, end)
 
 
 def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,11 +278,11 @@ def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_lines(app_rows(spark, sf_dir), start, end)
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, partitions: int = 1) -> DataFrame:
     """The whole event log of all runs."""
     return (
-        task_lines(spark, sf_dir)
+        task_lines(spark, sf_dir, partitions)
         .unionByName(stage_lines(spark, sf_dir))
-        .unionByName(sql_lines(spark, sf_dir))
+        .unionByName(sql_lines(spark, sf_dir, partitions))
         .unionByName(app_lines(spark, sf_dir))
     )

@@ -138,3 +138,51 @@ def test_listing_reads_no_content(spark):
     df = file_listing(spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema:")[1]
+
+
+def test_rebalanced_files_follow_the_bytes(spark, tmp_path):
+    """A value with most rows is many files, a small one a single file, and the session keeps its settings."""
+    rows = spark.range(200_000).selectExpr(
+        "IF(id < 150000, 'hot', IF(id < 150010, 'small', 'mid')) AS part", "id", "sha2(CAST(id AS STRING), 256) AS text"
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    layout.write_rebalanced(rows, str(tmp_path / "t"), ["part"], bytes_per_file=1 << 20)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
+    back = layout.files_of(spark.read.parquet(str(tmp_path / "t")))
+    files = {r.part: r.n for r in back.select("part", "file").distinct().groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert files["small"] == 1 and files["hot"] >= 5 and files["hot"] > 2 * files["mid"]
+    assert back.count() == 200_000 and back.select("id").distinct().count() == 200_000
+    layout.write_rebalanced(rows.limit(0), str(tmp_path / "empty"))
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
+
+
+def test_work_is_spread_only_where_a_read_has_too_few_tasks(spark):
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(20)
+    assert layout.spread(few, 8, "id").rdd.getNumPartitions() == 8
+    assert layout.spread(many, 8, "id") is many
+
+
+def test_cached_results_leave_no_cache_behind(spark):
+    from plumbline.plans import queries
+
+    names = ("reuse_cached", "reuse_uncached", "reuse_grouping_sets")
+    found = {}
+    for name in names:
+        df = queries()[name](spark, SMALL)
+        assert "InMemoryTableScan" not in df._jdf.queryExecution().executedPlan().toString()
+        found[name] = sorted(map(tuple, df.collect()), key=str)
+    assert found["reuse_cached"] == found["reuse_uncached"] == found["reuse_grouping_sets"]
+
+
+def test_reports_read_back_in_the_order_they_were_written(spark, tmp_path):
+    from plumbline.operators import report
+
+    lines = [("b 1", "x", s, i, 0, n, f"line {s} {i} {n}" if n else "") for s in range(3) for i in range(40) for n in range(4)]
+    lines += [("a", "x", 0, 0, 0, 0, "only")]
+    frame = spark.createDataFrame(lines, "report string, label string, section int, item bigint, sub_item bigint, line_no int, line string")
+    report.write_reports(frame.repartition(7), str(tmp_path / "r"))
+    got = {}
+    for r in report.read_reports(spark, str(tmp_path / "r")).orderBy("report", "line_no").collect():
+        got.setdefault(r.report, []).append((r.line_no, r.line))
+    assert got["a"] == [(0, "only")]
+    assert got["b 1"] == list(enumerate(line[-1] for line in sorted(l for l in lines if l[0] == "b 1")))
