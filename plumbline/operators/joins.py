@@ -171,6 +171,34 @@ def hot_keys(df: DataFrame, on: str | list[str], rows_per_salt: int) -> DataFram
     )
 
 
+# Fixed values of Spark's sketch of frequent items: what it can track at most, and how many
+# items have to be tracked so that one of every n-th row is sure to be found.
+TRACKED_MOST = 1_000_000
+TRACKED_PER_KEY = 8
+TRACKED_LEAST = 1_024
+
+
+def heavy_keys(df: DataFrame, on: str | list[str], rows_per_salt: int) -> DataFrame:
+    """What ``hot_keys`` gives, without a shuffle of all keys.
+
+    A mergeable sketch of frequent items, a row of bounded size per task, names the candidates: with
+    n tracked items its counts are off by less than 2.7 rows in n, and it keeps all keys of more
+    than twice that.  Then the rows of candidates alone are counted exactly, so a key is found if and only
+    if it has more than ``rows_per_salt`` rows.  The rows of ``df`` are counted when this is called.
+    Where the limit is so low that a sketch could not be sure, all keys are counted.
+    """
+    keys = _names(on)
+    tracked = max(TRACKED_LEAST, TRACKED_PER_KEY * df.count() // max(rows_per_salt, 1))
+    if tracked > TRACKED_MOST:
+        return hot_keys(df, keys, rows_per_salt)
+    key = F.xxhash64(*keys)
+    frequent = df.select(key.alias("_key")).agg(F.expr(f"approx_top_k(_key, {tracked}, {tracked})").alias("found"))
+    candidates = frequent.select(F.explode("found.item").alias("_key"))
+    # At most as many numbers as are tracked.
+    rows = df.withColumn("_key", key).join(F.broadcast(candidates), "_key", "left_semi")
+    return hot_keys(rows.select(*keys), keys, rows_per_salt)
+
+
 def skew_aware_join(
     left: DataFrame,
     right: DataFrame,
@@ -182,13 +210,13 @@ def skew_aware_join(
 ) -> DataFrame:
     """Salt the keys with many rows on either side, and join plainly if there are none.
 
-    Row counts of both sides are worked out once.  Rows of a key that is hot on the right are
+    Keys of both sides are looked for once, see ``heavy_keys``.  Rows of a key that is hot on the right are
     spread only in an inner join: elsewhere copying left rows would repeat unmatched ones.
     """
     keys = _names(on)
-    hot = hot_keys(left, keys, rows_per_salt).select(*keys, "salts")
+    hot = heavy_keys(left, keys, rows_per_salt).select(*keys, "salts")
     if how == "inner":
-        across = hot_keys(right, keys, rows_per_salt).select(*keys, F.col("salts").alias("right_salts"))
+        across = heavy_keys(right, keys, rows_per_salt).select(*keys, F.col("salts").alias("right_salts"))
         hot = hot.join(across, keys, "full").fillna(1, ["salts", "right_salts"])
     hot = settled(hot)
     if hot.isEmpty():

@@ -157,3 +157,26 @@ def test_key_skew_profile(spark):
     assert joins.key_skew_profile(df.limit(0), "k").count() == 0
     odd = joins.key_skew_profile(df.where("k < 4"), "k").first()
     assert (odd.median_rows, odd.skew_ratio) == (3.0, 3.0)
+
+
+@pytest.mark.parametrize("limit", [1, 9, 10, 11, 4_999, 5_000, 5_001])
+def test_heavy_keys_on_both_sides_of_the_limit(spark, limit):
+    """Sketched candidates and an exact count give what counting all keys gives, null keys included."""
+    rows = spark.range(40_000).selectExpr(
+        "CASE WHEN id < 5000 THEN 'hot' WHEN id < 10000 THEN NULL WHEN id < 10010 THEN 'ten' WHEN id < 10021 THEN 'eleven' "
+        "ELSE CONCAT('k', id div 2) END AS k", "id % 2 AS j"
+    ).repartition(6)
+    for on in ("k", ["k", "j"]):
+        found = joins.heavy_keys(rows, on, limit)
+        expected = joins.hot_keys(rows, on, limit)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_heavy_keys_shuffle_candidates_alone(spark):
+    """Of many keys that occur once none is shuffled: what the last exchange takes are rows of candidates."""
+    rows = spark.range(200_000).selectExpr("IF(id < 3000, -1, id) AS k")
+    found = joins.heavy_keys(rows, "k", 1_000)
+    assert [tuple(r) for r in found.collect()] == [(-1, 3000, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "approx_top_k" in plan and "LeftSemi" in plan
+    assert joins.heavy_keys(rows.limit(0), "k", 5).count() == 0
