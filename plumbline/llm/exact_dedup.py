@@ -41,13 +41,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).select(
         "doc_id", *extra, "chars", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256")
     )
-    # The order of preference as one number: most code points, then the smallest id.
-    best = F.max(F.struct("chars", *((-F.col(c)).alias(c) for c in ["doc_id", *extra]))).alias("best")
+    # The order of preference: most code points, then the smallest id.  Flipped bits turn the order of all
+    # bigints around; the smallest one has no negative.
+    best = F.max(F.struct("chars", *(F.bitwise_not(c).alias(c) for c in ["doc_id", *extra]))).alias("best")
     firsts = kept(
         rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), best),
         "exact-firsts",
     )
-    several = firsts.where("n > 1").select("hash", (-F.col(f"best.{own}")).alias("first"))
+    several = firsts.where("n > 1").select("hash", F.bitwise_not(F.col(f"best.{own}")).alias("first"))
     models = (
         rows.select(own, "hash", "norm")
         .join(several.hint("merge"), "hash")
@@ -74,9 +75,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(groups.alias("g").hint("merge"), same)
         .select(
             "m.doc_id",
-            (-F.col("g.best.doc_id")).alias("keep_id"),
+            F.bitwise_not(F.col("g.best.doc_id")).alias("keep_id"),
             "g.group_size",
-            (F.col(f"m.{own}") == -F.col(f"g.best.{own}")).alias("kept"),
+            (F.col(f"m.{own}") == F.bitwise_not(F.col(f"g.best.{own}"))).alias("kept"),
             "m.text_sha256",
             *(f"m.{c}" for c in extra),
         )

@@ -79,3 +79,11 @@ def test_mix_of_nothing_and_of_no_words(spark):
     assert mixing.mixed(documents(spark).limit(0)).count() == 0
     counted, names = mixing.mix_counts(documents(spark, [(1, None, None, None), (2, " ", None, "a")]))
     assert [r[names[2]] for r in counted.collect()] == [0.0, 0.0]
+
+
+def test_smallest_and_largest_ids(spark):
+    """No id is too small to be ordered."""
+    low, high = -(2**63), 2**63 - 1
+    docs = spark.createDataFrame([(low, "a b"), (high, "ab "), (5, "c"), (low, "c "), (high, "d")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect())
+    assert got == [(low, low, 2, True), (low, low, 2, True), (5, low, 2, False), (high, low, 2, False), (high, high, 1, True)]
