@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.functions.median import exact_median
+from plumbline.operators.joins import BROADCAST_BYTES, broadcast_join, measured_bytes
+from plumbline.settle import settled
 
 STAGE_KEY = ["run_key", "stage_id"]
 
@@ -177,20 +179,37 @@ def app_metrics(apps: DataFrame, stages: DataFrame) -> DataFrame:
 PLAN_SEPARATOR = "\n---\n"
 
 
-def combined_plans(executions: DataFrame, per_part: int = 64) -> DataFrame:
+def combined_plans(executions: DataFrame, per_part: int = 64, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All plan texts of a run, joined in start order: ``run_key, part, plans``.
 
     Execution ids count up as executions start, so ranges of ids cut a run into
     parts of at most ``per_part`` plans; the parts in order, joined by the same
     separator, are the whole text.  No run is gathered in one place.
+
+    Jobs that run on schedule have the same plans again and again.  Each distinct text is kept once, in
+    a dictionary by content hash that is written and measured; executions are dealt out with hashes
+    alone.  Up to ``max_bytes`` the dictionary is broadcast to the parts, which then take no further
+    shuffle, and beyond that it is joined by hash.
     """
+    hashed = executions.select(
+        "run_key",
+        F.expr(f"execution_id div {int(per_part)}").alias("part"),
+        "execution_id",
+        "physical_plan",
+        F.sha2("physical_plan", 256).alias("plan_hash"),
+    )
+    dictionary = settled(
+        hashed.where("plan_hash IS NOT NULL").groupBy("plan_hash").agg(F.any_value("physical_plan").alias("physical_plan"))
+    )
+    dealt = (
+        hashed.groupBy("run_key", "part")
+        .agg(F.collect_list(F.struct("execution_id", "plan_hash")).alias("plans"))
+        .select("run_key", "part", F.inline("plans"))
+    )
+    told = broadcast_join(dealt, dictionary, "plan_hash", "left", max_bytes, measured_bytes(dictionary))
     in_order = F.array_sort(F.collect_list(F.struct("execution_id", "physical_plan")))
     texts = F.transform(in_order, lambda row: row["physical_plan"])
-    return (
-        executions.withColumn("part", F.expr(f"execution_id div {int(per_part)}"))
-        .groupBy("run_key", "part")
-        .agg(F.array_join(texts, PLAN_SEPARATOR).alias("plans"))
-    )
+    return told.groupBy("run_key", "part").agg(F.array_join(texts, PLAN_SEPARATOR).alias("plans"))
 
 
 def run_summary(metrics: DataFrame) -> DataFrame:

@@ -360,3 +360,20 @@ def test_cut_off_log_is_read_up_to_the_cut(spark, tmp_path):
     assert 100 < count(True) < 1001
     with pytest.raises(Exception, match="a.zstd"):
         count(False)
+
+
+def test_combined_plans_shuffle_hashes_and_no_text(spark):
+    """Repeated, null and distinct texts, with the dictionary broadcast and joined by hash."""
+    rows = [(f"r{i % 3}", i, f"plan {i % 4}" if i % 7 else None) for i in range(200)]
+    executions = spark.createDataFrame(rows, "run_key string, execution_id bigint, physical_plan string")
+    expected = {}
+    for run, i, text in rows:
+        expected.setdefault((run, i // 10), []).append(text)
+    for max_bytes in (0, 1 << 20):
+        found = combined_plans(executions, per_part=10, max_bytes=max_bytes)
+        got = {(r.run_key, r.part): r.plans for r in found.collect()}
+        assert got == {key: "\n---\n".join(t for t in texts if t is not None) for key, texts in expected.items()}
+    # The last plan, with the broadcast: what is shuffled by run and part has no text.
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert exchanges and all("physical_plan" not in lines[i + 1].split("functions=")[1] for i in exchanges)
