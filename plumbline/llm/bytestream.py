@@ -6,6 +6,9 @@ proportional to the slice.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,3 +154,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed bigint."""
     return x.view(np.int64)
+
+
+def release_unused() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where it can be."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.bytestream import Hashed, flat, mix, slices
+from plumbline.llm.bytestream import Hashed, flat, mix, release_unused, slices
 from plumbline.llm.chunks import chunk_starts, distinct_chunks, spread
 from plumbline.llm.frames import fresh, number_of, numbered
 
@@ -110,15 +110,25 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
         self.vocabulary, self.alpha = vocabulary, alpha
+        # Arrays grow by doubling in buffers that stay; what is in use are their first parts.
+        self.room = {"upto": np.zeros(0), "edge_from": np.zeros(0, np.int32), "edge_piece": np.zeros(0, np.int32), "is_first": np.zeros(0, bool)}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.n_nodes = 0
-        self.upto, self.edge_from, self.edge_piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.is_first = np.zeros(0, bool)
+        self.upto, self.edge_from, self.edge_piece, self.is_first = (room[:0] for room in self.room.values())
         self.chars: list[bytes] = []  # characters without a piece; edge_piece is -1 - place
 
+    def _append(self, name: str, values: np.ndarray) -> None:
+        used, room = len(getattr(self, name)), self.room[name]
+        if len(room) < used + len(values):
+            room = np.empty(max(2 * len(room), used + len(values)), room.dtype)
+            room[:used] = getattr(self, name)
+            self.room[name] = room
+        room[used : used + len(values)] = values
+        setattr(self, name, room[: used + len(values)])
+
     def add(self, chunks: list[bytes]) -> np.ndarray:
         """End nodes of the lattices of new chunks, one each.  Chunks are not empty."""
         voc = self.vocabulary
@@ -186,12 +196,12 @@ class Lattices:
         # The last edge of a node takes what rounding leaves.
         within = np.minimum(run - before, 1.0)
         within[np.append(head[1:], True)] = 1.0
-        self.upto = np.concatenate([self.upto, end + shift + within])
-        self.edge_from = np.concatenate([self.edge_from, (begin + shift).astype(np.int32)])
-        self.edge_piece = np.concatenate([self.edge_piece, piece.astype(np.int32)])
+        self._append("upto", end + shift + within)
+        self._append("edge_from", begin + shift)
+        self._append("edge_piece", piece)
         is_first = np.zeros(len(total), bool)
         is_first[node_base] = True
-        self.is_first = np.concatenate([self.is_first, is_first])
+        self._append("is_first", is_first)
         self.n_nodes += len(codes) + len(size)
         return node_base + size + shift
 
@@ -275,6 +285,7 @@ def _encoder(path: str, alpha: float, seed: int, text_col: str, key_col: str, na
     ids_name, n_name, ok_name = names
 
     def encode(batches):
+        release_unused()
         lattices = lattices_of(path, alpha)
         vocabulary = lattices.vocabulary
         for batch in batches:
