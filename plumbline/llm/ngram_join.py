@@ -2,7 +2,11 @@
 
 Texts become sets of hashed shingles.  Texts with the same set are one class, and
 classes are compared.  A class posts only a prefix of its set, rarest shingles first: two
-sets as similar as asked share a shingle of their prefixes.  Classes that meet in a shingle
+sets as similar as asked share a shingle of their prefixes.  Rarity is the exact number of
+classes that hold a shingle, counted over all documents for a share of the hashes that is
+twice as large as prefixes are; the order of these goes before that of all other shingles.
+A shingle of one class fills a place of the prefix and is not posted, as nobody meets there.
+Classes that meet in a shingle
 are candidates if their sizes allow it (length filter), and if what follows the
 shared place can still hold enough (positional filter).  Each candidate pair is then
 verified once: by sixteen bits of each hash, which can only overrate what two sets share and
@@ -21,15 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytestream import flat, shingles, signed, slices
 from plumbline.llm.components import components
 from plumbline.llm.frames import join_small, kept, named
 
-# Counts of shingles by hash bucket: a table of fixed size however large the corpus is.
+# Counts of shingles by hash bucket.  They tell only which shingles are in more than about one
+# of 64 sets, for which a table of fixed size is enough however large the corpus is: these come
+# last in every prefix, and no task has to count them.
 SKETCH_BITS = 17
+COMMON_SHARE = 64
+COMMON_SETS = 64
+# Shingles of so many sets or more are equally rare; a task holds the rows of one up to there.
+MOST_COUNTED = 4096
+# Classes a task remembers in order not to send copies twice.
+REMEMBERED = 1 << 17
+# Rows of a common shingle are spread over so many partitions.
+SALTS = 64
 # Classes that a task holds at once come in blocks of about so many.
 BLOCK = 256
 
@@ -47,8 +61,31 @@ def sets_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int | None, np.ndar
         yield from zip(ids[first:last], shingles(data[part[0] : part[-1]], part - part[0], n))
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, cls binary, bucket int, df bigint"
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bucket", pa.int32()), ("df", pa.int64())])
+PROFILE = "doc_id bigint, n_shingles bigint, cls binary, key bigint, bucket int, df bigint"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("key", pa.int64()), ("bucket", pa.int32()), ("df", pa.int64())])
+
+
+def class_key(cls: bytes) -> int:
+    """The first 64 bits of a class as a signed number.
+
+    Should two classes share them, both get the shingles of both, at earlier places than their own:
+    more is compared then, and no link lost.
+    """
+    return int.from_bytes(cls[:8], "little", signed=True)
+
+
+def _buckets(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _first_time(cls: bytes, seen: set) -> bool:
+    """Whether the task does not remember the class; copies it has forgotten do no harm."""
+    if cls in seen:
+        return False
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add(cls)
+    return True
 
 
 def _profiler(n: int):
@@ -63,14 +100,15 @@ def _profiler(n: int):
                 ids.append(doc)
                 sizes.append(len(found))
                 classes.append(cls)
-                if len(found) and cls not in seen:
-                    seen.add(cls)
-                    sketch += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                if len(found) and _first_time(cls, seen):
+                    np.add.at(sketch, _buckets(found), 1)
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=_PROFILE)
+            keys = [class_key(c) for c in classes]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=_PROFILE)
         used = np.flatnonzero(sketch)
         none = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=_PROFILE)
+        no_number = none.cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([no_number, no_number, none.cast(pa.binary()), no_number, pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=_PROFILE)
 
     return profile
 
@@ -80,90 +118,151 @@ def least_overlap(x, y, num: int, den: int):
     return -((-num * (x + y)) // (num + den))
 
 
-POSTING = "token bigint, meta bigint, cls binary"
-_POSTING = pa.schema([("token", pa.int64()), ("meta", pa.int64()), ("cls", pa.binary(16))])
+def prefix_length(size, num: int, den: int):
+    """Shingles of a set of which a similar set must share one."""
+    return size - -(-num * size // den) + 1
+
+
+def commons(counts: np.ndarray, sets: int) -> np.ndarray:
+    """Buckets with a shingle that too many of the sets hold to be counted by one task."""
+    return counts > 2 * counts.mean() + sets / COMMON_SHARE + COMMON_SETS
+
 
+SENT = "token bigint, key bigint, meta bigint, place int"
 
-def _poster(n: int, num: int, den: int, counts):
-    """Prefixes, rarest shingle first.  ``meta`` is the place in the set and the set's size."""
 
-    def post(batches):
-        df, seen = counts.value, set()
+def _sender(n: int, num: int, den: int, buckets):
+    """The shingles of a class that are to be counted, and those posted as they are.
+
+    Order of all shingles: first those to be counted, which are the lower hashes unless their bucket is
+    common, then the others by the count of their bucket.  Rows to be counted have no place yet; ``meta``
+    is how many a class has of them and the size of its set.  A class with fewer than its prefix is
+    long posts the rest from the others, whose places are known.
+    """
+    below = np.uint64(min(int(2.0 * (1 - num / den) * 2**64), 2**64 - 1))
+
+    def send(batches):
+        (df, common), seen = buckets.value, set()
         for batch in batches:
-            tokens, metas, classes = [], [], []
+            tokens, keys, metas, places = [], [], [], []
             for _, found in sets_of(batch, n):
                 size = len(found)
                 cls = set_class(found)
-                if not size or cls in seen:
+                if not size or not _first_time(cls, seen):
                     continue
-                seen.add(cls)
-                length = size - -(-num * size // den) + 1
-                rarity = df[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                # Stable on sorted hashes: ties in rarity go by hash, the same way in every text.
-                order = np.argsort(rarity, kind="stable")[:length]
-                tokens.append(found[order])
-                metas.append((np.arange(length, dtype=np.int64) << 32) + size)
-                classes.append(np.frombuffer(cls * length, np.uint8))
+                length = prefix_length(size, num, den)
+                lower = int(np.searchsorted(found, below))
+                counted = found[:lower][~common[_buckets(found[:lower])]]
+                mine = [counted]
+                if len(counted) < length:
+                    rest = np.setdiff1d(found, counted, assume_unique=True)
+                    # Stable on sorted hashes: ties go by hash, the same way in every text.
+                    order = np.argsort(df[_buckets(rest)], kind="stable")[: length - len(counted)]
+                    mine.append(rest[order])
+                    places.append(np.full(len(counted), -1, np.int32))
+                    places.append(np.arange(len(counted), length, dtype=np.int32))
+                else:
+                    places.append(np.full(len(counted), -1, np.int32))
+                sent = sum(map(len, mine))
+                tokens += mine
+                keys.append(np.full(sent, class_key(cls)))
+                metas.append(np.full(sent, (len(counted) << 32) + size))
             if tokens:
-                raw = pa.py_buffer(np.concatenate(classes))
-                token = pa.array(signed(np.concatenate(tokens)))
-                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(token), [None, raw])
-                yield pa.RecordBatch.from_arrays([token, pa.array(np.concatenate(metas)), ids.cast(pa.binary())], names=["token", "meta", "cls"])
+                columns = [signed(np.concatenate(tokens)), np.concatenate(keys), np.concatenate(metas), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "meta", "place"])
 
-    return post
+    return send
 
 
-MEET = "token bigint, meta bigint, cls binary, first_meta bigint, first binary"
-_MEET = pa.schema([("token", pa.int64()), ("meta", pa.int64()), ("cls", pa.binary()), ("first_meta", pa.int64()), ("first", pa.binary())])
+COUNTED = "token bigint, key bigint, meta bigint, place int, df int"
 
 
-def _meetings(batches):
-    """Of rows sorted by token, those whose token occurs twice, each with its token's first row.
+def _counted(batches):
+    """Of rows sorted by token and key, those whose token two classes have, with how many have it.
 
-    Copies posted by several tasks stand side by side and count once.  Only the first row
-    of the token at hand is carried from batch to batch.
+    Rows with a place go through.  Copies sent by several tasks stand side by side and count once.
+    Only the rows of the token at hand are carried on, ``MOST_COUNTED`` of them at most.
     """
-    held = None  # token, meta, cls of the token's first row, and whether it has been given out
-    before = None
+
+    def told(rows: pa.RecordBatch, df: np.ndarray):
+        wanted = np.flatnonzero((df > 1) | (rows.column("place").to_numpy() >= 0))
+        if len(wanted):
+            at = pa.array(wanted)
+            columns = [rows.column(c).take(at) for c in ("token", "key", "meta", "place")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(df[wanted].astype(np.int32))], names=["token", "key", "meta", "place", "df"])
+
+    carried, many = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, halves = batch.column("token").to_numpy(), flat(batch.column("cls"))[0].view(np.uint64).reshape(-1, 2)
+        rows = batch if carried is None else pa.concat_batches([carried, batch])
+        token, key = rows.column("token").to_numpy(), rows.column("key").to_numpy()
         again = np.zeros(len(token), bool)
-        again[1:] = (token[1:] == token[:-1]) & (halves[1:] == halves[:-1]).all(axis=1)
-        again[0] = before == (int(token[0]), *halves[0].tolist())
-        before = (int(token[-1]), *halves[-1].tolist())
+        again[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1])
         if again.any():
-            batch = batch.filter(pa.array(~again))
-            if not batch.num_rows:
-                continue
-            token = batch.column("token").to_numpy()
-        n = len(token)
+            rows = rows.filter(pa.array(~again))
+            token = token[~again]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        run = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
-        first = starts[run]
-        goes_on = held is not None and held[0] == token[0]
-        size = np.diff(np.append(starts, n))
-        shared = size[run] > 1
-        if goes_on:
-            shared[: size[0]] = True
-        meta, cls = batch.column("meta"), batch.column("cls")
-        pieces = []
-        if goes_on and not held[3]:
-            pieces.append(pa.RecordBatch.from_pylist([{"token": held[0], "meta": held[1], "cls": held[2], "first_meta": held[1], "first": held[2]}], _MEET))
-            held = (*held[:3], True)
-        rows = np.flatnonzero(shared)
-        if goes_on:
-            own = rows[rows < size[0]]
-            pieces.append(pa.RecordBatch.from_arrays([batch.column("token").take(pa.array(own)), meta.take(pa.array(own)), cls.take(pa.array(own)), pa.array(np.full(len(own), held[1])), pa.array([held[2]] * len(own), pa.binary())], schema=_MEET))
-            rows = rows[rows >= size[0]]
-        if len(rows):
-            at, lead = pa.array(rows), pa.array(first[rows])
-            pieces.append(pa.RecordBatch.from_arrays([batch.column("token").take(at), meta.take(at), cls.take(at), meta.take(lead), cls.take(lead)], schema=_MEET))
+        sizes = np.diff(np.append(starts, len(token)))
+        sizes[sizes >= MOST_COUNTED] = MOST_COUNTED
+        if many is not None and token[0] == many:
+            sizes[0] = MOST_COUNTED
         last = int(starts[-1])
-        if not (goes_on and len(starts) == 1):
-            held = (int(token[last]), meta[last].as_py(), cls[last].as_py(), bool(size[-1] > 1))
-        yield from pieces
+        if sizes[-1] == MOST_COUNTED:
+            many = int(token[last])
+            # The last row stays at hand, so that its copy in the next batch is known as one.
+            last = len(token) - 1
+        df = np.repeat(sizes, np.diff(np.append(starts, len(token))))
+        yield from told(rows.slice(0, last), df[:last])
+        carried = rows.slice(last)
+    if carried is not None:
+        size = MOST_COUNTED if many is not None and carried.column("token")[0].as_py() == many else carried.num_rows
+        yield from told(carried, np.full(carried.num_rows, size))
+
+
+def _postings(texts: DataFrame, nodes: DataFrame, n: int, num: int, den: int, buckets) -> DataFrame:
+    """``token, meta, cls``: prefixes less the shingles of one class.  ``meta`` is the place in the set
+    and the set's size."""
+    sent = texts.where("doc_id IS NOT NULL").mapInArrow(_sender(n, num, den, buckets), SENT)
+    # Common shingles have a place already; their rows need not come together.
+    salt = F.when(F.col("place") >= 0, F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0))
+    counted = kept(
+        sent.repartition("token", salt).sortWithinPartitions("token", "key").mapInArrow(_counted, COUNTED), "ngram-counted"
+    )
+    size, own = F.col("meta").bitwiseAND(0xFFFFFFFF), F.shiftright("meta", 32)
+    by_class = Window.partitionBy("key", "meta")
+    # Shingles of this class alone come first, then the others by how many classes have them.
+    ranked = counted.where("place < 0").withColumn(
+        "place",
+        (
+            F.greatest(own - F.count(F.lit(1)).over(by_class), F.lit(0))
+            + F.row_number().over(by_class.orderBy("df", "token")) - 1
+        ).cast("int"),
+    )
+    length = F.col("size") - F.expr(f"({num} * size + {den} - 1) div {den}") + 1
+    placed = (
+        ranked.unionByName(counted.where("place >= 0"))
+        .select("token", "key", size.alias("size"), F.col("place").cast("bigint").alias("place"))
+        .where(F.col("place") < length)
+    )
+    # Which classes post is little beside the texts; a key shared by two classes goes to both.
+    found = placed.join(nodes.select("cls", "key", F.col("n_shingles").alias("size")).hint("merge"), ["key", "size"])
+    return found.select("token", (F.shiftleft("place", 32) + F.col("size")).alias("meta"), "cls").distinct()
+
+
+def _meetings(postings: DataFrame) -> DataFrame:
+    """Postings whose shingle another class posts too, each with its shingle's first posting.
+
+    The first is a minimum, which combines before it is shuffled; joined back it is the side with one
+    row per shingle, so the rows of a common one can be split over tasks.
+    """
+    lead = (
+        postings.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("meta", "cls")).alias("lead"))
+        .where("n > 1")
+        .select("token", F.col("lead.meta").alias("first_meta"), F.col("lead.cls").alias("first"))
+    )
+    return postings.join(lead.hint("merge"), "token").select("token", "meta", "cls", "first_meta", "first")
 
 
 def _may_link(meta_a: str, meta_b: str, num: int, den: int):
@@ -409,23 +508,21 @@ def similar_texts(
     spark = docs.sparkSession
     texts = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
     found = kept(texts.mapInArrow(_profiler(n), PROFILE), "ngram-profile")
-    profile = found.where("bucket IS NULL").select("doc_id", "n_shingles", "cls")
+    profile = found.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "key")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for bucket, df in found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df")).toLocalIterator():
         counts[bucket] = df
-    counts = spark.sparkContext.broadcast(counts)
 
     # A class is known by its smallest id.
     nodes = kept(
-        profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node")),
+        profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls")
+        .agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("key").alias("key")),
         "ngram-nodes",
     )
-    # Copies in other tasks post the same rows; each is needed once.
-    postings = texts.where("doc_id IS NOT NULL").mapInArrow(_poster(n, num, den, counts), POSTING)
-    meetings = kept(
-        postings.repartition("token").sortWithinPartitions("token", "meta", "cls").mapInArrow(_meetings, MEET),
-        "ngram-meetings",
-    )
+    buckets = spark.sparkContext.broadcast((counts, commons(counts, nodes.count())))
+    postings = kept(_postings(texts, nodes, n, num, den, buckets), "ngram-postings")
+    nodes = nodes.select("cls", "node")
+    meetings = kept(_meetings(postings), "ngram-meetings")
     # Classes that meet another one, each with its home block.
     met = meetings.where("cls <> first")
     homes = met.select("cls", "token").union(met.select("first", "token")).groupBy("cls").agg(F.min("token").alias("home"))

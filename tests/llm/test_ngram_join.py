@@ -65,9 +65,10 @@ def family(seed):
     return rows
 
 
-@pytest.mark.parametrize("n, num, den, block", [(4, 85, 100, 256), (5, 80, 100, 3), (2, 60, 100, 2), (1, 50, 100, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, n, num, den, block):
+@pytest.mark.parametrize("n, num, den, block, common", [(4, 85, 100, 256, 64), (5, 80, 100, 3, 2), (2, 60, 100, 2, 64), (1, 50, 100, 4, 5)])
+def test_components_equal_brute_force(spark, monkeypatch, n, num, den, block, common):
     monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(nj, "COMMON_SETS", common)
     rows = family(n)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert ours(docs, n=n, num=num, den=den) == brute(rows, n, num, den)
@@ -92,16 +93,62 @@ def test_filters_keep_every_link():
         assert (100 * both >= 70 * (len(x) + len(y) - both)) == (both >= nj.least_overlap(len(x), len(y), 70, 100))
 
 
-def test_meetings_across_batches():
-    """Runs that span batches give the same rows however the batches are cut."""
+def test_counts_across_batches(monkeypatch):
+    """Counts of classes per shingle are the same however the batches are cut, copies and long runs included."""
     import pyarrow as pa
 
+    monkeypatch.setattr(nj, "MOST_COUNTED", 6)
     rng = random.Random(4)
-    rows = sorted((rng.randint(0, 12), rng.randint(0, 5), bytes([rng.randint(0, 9)] * 16)) for _ in range(60))
+    counted = [(t, rng.randint(0, 15), 7, -1) for t in range(20) for _ in range(rng.choice([1, 1, 2, 5, 30]))]
+    posted = [(t, rng.randint(0, 15), 7, 3) for t in range(20, 30)]
+    rows = sorted(counted + posted)
 
     def run(size):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_pydict({"token": [r[0] for r in p], "meta": [r[1] for r in p], "cls": pa.array([r[2] for r in p], pa.binary())}) for p in parts]
-        return sorted(str(r) for b in nj._meetings(iter(batches)) for r in b.to_pylist())
-
-    assert run(1) == run(2) == run(7) == run(100)
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p]), pa.array([r[1] for r in p]), pa.array([r[2] for r in p]), pa.array([r[3] for r in p], pa.int32())], names=["token", "key", "meta", "place"]) for p in parts]
+        return sorted(tuple(r.values()) for b in nj._counted(iter(batches)) for r in b.to_pylist())
+
+    keys = {}
+    for t, k, *_ in counted:
+        keys.setdefault(t, set()).add(k)
+    want = sorted((t, k, 7, -1, min(len(ks), 6)) for t, ks in keys.items() if len(ks) > 1 for k in ks)
+    for size in (1, 2, 7, 100):
+        found = run(size)
+        assert [r for r in found if r[3] < 0] == want
+        assert [r[:2] for r in found if r[3] >= 0] == [r[:2] for r in posted]
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_prefixes_are_rarest_first(spark, monkeypatch, common):
+    """Postings are the exact prefix of the documented order, whether shingles are common or not."""
+    monkeypatch.setattr(nj, "COMMON_SETS", common)
+    rows = family(11)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = {frozenset(nj.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 4)[0].tolist()) for _, t in rows}
+    n_of, bucket = {}, np.zeros(1 << nj.SKETCH_BITS, np.int64)
+    for s in sets:
+        for x in s:
+            n_of[x] = n_of.get(x, 0) + 1
+    # Three tasks each count a class once, so a class may count up to three times in a bucket.
+    found = docs.mapInArrow(nj._profiler(4), nj.PROFILE).where("bucket IS NOT NULL").collect()
+    for r in found:
+        bucket[r["bucket"]] += r["df"]
+    for x, k in n_of.items():
+        assert bucket[x >> (64 - nj.SKETCH_BITS)] >= k
+    hot, below = nj.commons(bucket, len(sets)), int(2.0 * (1 - 85 / 100) * 2**64)
+
+    def order(x):
+        b = x >> (64 - nj.SKETCH_BITS)
+        first = x < below and not hot[b]
+        return (0, n_of[x], x - 2**64 if x >= 2**63 else x) if first else (1, int(bucket[b]), x)
+
+    want = set()
+    for s in sets:
+        ranked = sorted(s, key=order)[: nj.prefix_length(len(s), 85, 100)]
+        want |= {(x - 2**64 if x >= 2**63 else x, (i << 32) + len(s)) for i, x in enumerate(ranked) if n_of[x] > 1 or order(x)[0]}
+    texts = docs.select("doc_id", "text")
+    profile = texts.mapInArrow(nj._profiler(4), nj.PROFILE).where("bucket IS NULL")
+    nodes = profile.select("cls", "n_shingles", "key").distinct()
+    buckets = spark.sparkContext.broadcast((bucket, hot))
+    got = {(r["token"], r["meta"]) for r in nj._postings(texts, nodes, 4, 85, 100, buckets).collect()}
+    assert got == want
