@@ -100,9 +100,8 @@ def stage_duration_skew(tasks: DataFrame) -> DataFrame:
 def max_over_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``keys, out``: skew ratio of the positive values, null for fewer than two."""
     positive = df.where(F.col(value) > 0)
-    extents = positive.groupBy(*keys).agg(*_extents({out: value}))
-    middle = _medians(positive, keys, {out: value})
-    return extents.join(middle, keys).select(*keys, _ratio(out).alias(out))
+    found = exact_median(positive, keys, value, f"_mid_{out}", count=f"_n_{out}", largest=f"_max_{out}")
+    return found.select(*keys, _ratio(out).alias(out))
 
 
 # A skew ratio has three parts: how many values are positive and the largest, from
@@ -126,7 +125,7 @@ def _medians(df: DataFrame, keys: list[str], ratios: dict[str, str]) -> DataFram
         ]
     )
     stacked = df.select(*keys, F.inline(values)).where(F.col("_value") > 0)
-    found = exact_median(stacked, [*keys, "_of"], "_value", "_median")
+    found = exact_median(stacked, [*keys, "_of"], "_value", "_median", together=keys)
     return found.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("_of") == number, F.col("_median"))).alias(f"_mid_{out}")

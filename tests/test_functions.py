@@ -35,6 +35,57 @@ def test_median_of_a_group_with_most_rows(spark):
     }
 
 
+def test_median_of_values_beyond_doubles(spark):
+    """Neighbours above 2^53, where the sketch's doubles merge them, and both ends of the range."""
+    groups = {
+        "odd": [2**53 + 1] * 3,
+        "near": [2**62 + k for k in range(700)],
+        "low": [-(2**63)] * 5,
+        "high": [2**63 - 1] * 4,
+        "signs": [-(2**60) - 3, -7, 0],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    got = exact_median(spark.createDataFrame(rows, "g string, v bigint"), ["g"], "v", "m", count="n", largest="most")
+    expected = {
+        g: ((float(sorted(v)[(len(v) - 1) // 2]) + float(sorted(v)[len(v) // 2])) / 2, len(v), max(v))
+        for g, v in groups.items()
+    }
+    assert {r.g: (r.m, r.n, r.most) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("size", [255, 256, 257, 9_999, 40_000])
+def test_median_where_the_sketch_starts_to_merge(spark, size):
+    """Sizes around those from which the sketch is no longer exact, in sorted and mixed order."""
+    rng = random.Random(size)
+    mixed = [rng.randrange(size * 3) for _ in range(size)]
+    rows = [("sorted", v) for v in range(size)] + [("mixed", v) for v in mixed] + [("same", 4)] * size
+    got = exact_median(spark.createDataFrame(rows, "g string, v int"), ["g"], "v", "m")
+    assert {r.g: r.m for r in got.collect()} == {
+        "sorted": (size - 1) / 2, "mixed": statistics.median(mixed), "same": 4.0,
+    }
+
+
+def test_median_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, h int, v bigint")
+    assert exact_median(empty, ["g", "h"], "v", "m").collect() == []
+
+
+def test_median_in_four_exchanges_and_no_job_before(spark):
+    df = spark.range(1_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("h"), "id")
+    # Such a small table would be broadcast, which is fewer exchanges still.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("median", "building a query runs nothing")
+    try:
+        got = exact_median(df, ["g", "h"], "id", "m", together=["g"]).groupBy("g").agg(F.max("m").alias("m"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("median")) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("Exchange") == 4
+    assert got.count() == 3
+
+
 def fixed(spark, values, digits):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     return [r.t for r in df.select(fmt_fixed(F.col("x"), digits).alias("t")).collect()]
