@@ -24,6 +24,8 @@ class Thresholds:
     serde_ratio: float = 0.25
     serde_min_tasks: int = 8
     min_scans: int = 2
+    # Joins whose smaller side is known to be above this many bytes are not reported; None reports all.
+    broadcast_side_bytes: int | None = None
 
 
 DEFAULTS = Thresholds()
@@ -179,11 +181,28 @@ def detect_serialization_overhead(stages: DataFrame, limits: Thresholds = DEFAUL
 # --- rules over SQL executions -------------------------------------------------
 
 
-def _broadcast_finding() -> Column:
+def _small_side(signals: DataFrame) -> Column:
+    """Bytes of the smaller side, where ``joinsides`` has told them."""
+    known = "small_side_bytes" in signals.columns
+    return F.col("small_side_bytes") if known else F.lit(None).cast("bigint")
+
+
+def _unbroadcast(small: Column, limits: Thresholds, prefix: str) -> Column:
+    hit = F.col(prefix + "has_sort_merge_join") & ~F.col(prefix + "has_broadcast_join")
+    if limits.broadcast_side_bytes is not None:
+        hit = hit & (small.isNull() | (small <= limits.broadcast_side_bytes))
+    return hit
+
+
+def _broadcast_finding(small: Column) -> Column:
     message = _measured(
         "execution", F.col("execution_id"), "sort-merge joins in the plan", "yes", "broadcast joins", "no"
     )
-    return _finding(MISSING_BROADCAST, F.lit("high"), message, execution_id=F.col("execution_id"))
+    found = _finding(
+        MISSING_BROADCAST, F.lit("high"), message, execution_id=F.col("execution_id"), small_side_bytes=small
+    )
+    # A size that is not known is no evidence.
+    return found.withField("evidence", F.map_filter(found["evidence"], lambda _, value: value.isNotNull()))
 
 
 def _cache_finding(limits: Thresholds) -> Column:
@@ -199,11 +218,12 @@ def detect_missing_broadcast(
     """Executions that join by sort-merge and never by broadcast.
 
     The plan as first submitted is judged; ``use_final_plan`` judges the executed
-    one instead, so joins that were turned into broadcasts at run time pass.
+    one instead, so joins that were turned into broadcasts at run time pass.  Where signals hold
+    ``small_side_bytes`` it is evidence, and ``limits`` can leave out joins of two large sides.
     """
-    prefix = "final_" if use_final_plan else ""
-    hit = F.col(prefix + "has_sort_merge_join") & ~F.col(prefix + "has_broadcast_join")
-    found = _broadcast_finding()
+    small = _small_side(signals)
+    hit = _unbroadcast(small, limits, "final_" if use_final_plan else "")
+    found = _broadcast_finding(small)
     return signals.where(hit).select("run_key", "execution_id", F.inline(F.array(found))).select(
         "run_key",
         "detector_ord",
@@ -242,26 +262,30 @@ def _plan_findings(signals: DataFrame, limits: Thresholds, use_final_plan: bool)
     The executions to report are few; the run's counts come from the same rows, as grouping
     sets, so that plans are read once.
     """
-    prefix = "final_" if use_final_plan else ""
-    hit = F.col(prefix + "has_sort_merge_join") & ~F.col(prefix + "has_broadcast_join")
+    small = _small_side(signals)
+    hit = _unbroadcast(small, limits, "final_" if use_final_plan else "")
     judged = signals.select(
         "run_key",
         F.when(hit, F.col("execution_id")).alias("execution_id"),
+        F.when(hit, small).alias("_small"),
         F.col("has_parquet_scan").cast("int").alias("_scan"),
         F.col("has_cached_scan").cast("int").alias("_cached"),
     )
     # One partial row per run and reported execution; null stands for all that are not reported.
     counted = judged.groupBy("run_key", "execution_id").agg(
-        F.sum("_scan").alias("_scans"), F.max("_cached").alias("_any")
+        F.sum("_scan").alias("_scans"), F.max("_cached").alias("_any"), F.max("_small").alias("_small")
     )
     rolled = counted.groupingSets(
         [[F.col("run_key"), F.col("execution_id")], [F.col("run_key")]], "run_key", "execution_id"
     ).agg(
-        F.grouping_id().alias("_set"), F.sum("_scans").alias("scans"), F.max("_any").alias("_any")
+        F.grouping_id().alias("_set"),
+        F.sum("_scans").alias("scans"),
+        F.max("_any").alias("_any"),
+        F.max("_small").alias("_small"),
     )
     one, run = F.col("_set") == 0, F.col("_set") != 0
     rules = F.array(
-        F.when(one & F.col("execution_id").isNotNull(), _broadcast_finding()),
+        F.when(one & F.col("execution_id").isNotNull(), _broadcast_finding(F.col("_small"))),
         F.when(run & (F.col("scans") >= limits.min_scans) & (F.col("_any") == 0), _cache_finding(limits)),
     )
     hits = F.filter(rules, lambda found: found.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.formatting import fmt_bytes, fmt_pct_change, pct_change
 from plumbline.operators import advice, compare, report, rollup, rules
 from plumbline.settle import settled, shared_folder
-from plumbline.sources import eventlog, telemetry
+from plumbline.sources import eventlog, joinsides, telemetry
 
 # --- frames the queries share ------------------------------------------------
 
@@ -70,7 +70,7 @@ def evt_stage_rollup(spark, sf):
     # Parsed once, and only the columns kept that the roll-up comes back to.
     events = settled(
         eventlog.parse_events(lines, ["task_end", "stage_submitted", "stage_completed"]).drop(
-            "app_id", "app_name", "event_ms", "execution_id", "description", "physical_plan"
+            "app_id", "app_name", "event_ms", "execution_id", "description", "physical_plan", "join_plan", "exchange_bytes"
         )
     )
     return rollup.stage_rollup(
@@ -178,6 +178,21 @@ def detect_missing_broadcast_final(spark, sf):
     return _evidence(rules.detect_missing_broadcast(_signals(spark, sf), use_final_plan=True))
 
 
+# Bytes of a join's smaller side up to which the next query still reports it.
+SIDE_BYTES = 50_000
+
+
+def detect_missing_broadcast_sized(spark, sf):
+    """The same rule with the bytes of the smaller side as evidence, without joins of two large sides."""
+    lines = telemetry.sized_join_lines(spark, sf, _cores(spark))
+    needed = ["kind", "run_key", "execution_id", "physical_plan", "join_plan", "failed", "exchange_bytes"]
+    # Parsed once: plans are searched for operators and read as trees, and tasks are added up.
+    events = settled(eventlog.parse_events(lines, ["sql_start", "task_end"]).select(*needed))
+    signals = joinsides.with_join_sides(eventlog.sql_signals(events), events)
+    found = rules.detect_missing_broadcast(signals, limits=rules.Thresholds(broadcast_side_bytes=SIDE_BYTES))
+    return _evidence(found, "small_side_bytes")
+
+
 def detect_missing_cache(spark, sf):
     found = rules.detect_missing_cache(_signals(spark, sf))
     return _evidence(found, "num_scanning_executions")

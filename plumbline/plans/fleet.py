@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators import advice, compare, report, rollup, rules
-from plumbline.sources import eventlog
+from plumbline.sources import eventlog, joinsides
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def diagnose(
         "stages",
         rollup.stage_rollup(eventlog.tasks(events), eventlog.stage_events(events), exclude_failed),
     )
-    signals = fleet._save("signals", eventlog.sql_signals(events))
+    signals = fleet._save("signals", joinsides.with_join_sides(eventlog.sql_signals(events), events))
     fleet._save("metrics", rollup.app_metrics(apps, stages))
     found = rules.all_findings(stages, signals, limits, use_final_plan)
     findings = fleet._save("findings", rules.with_app_name(found, apps))

@@ -538,6 +538,15 @@ from signals where has_sort_merge_join and not has_broadcast_join""",
     "detect_missing_broadcast_final": f"""with {SIGNALS}
 select run_key, {_NO_STAGE}, execution_id, 'missing_broadcast' as category, 'high' as severity
 from signals where final_has_sort_merge_join and not final_has_broadcast_join""",
+    "detect_missing_broadcast_sized": f"""with {SIGNALS},
+sides as (
+  select 'run_' || (o_custkey % 4) as run_key, l_orderkey as execution_id, l_linenumber % 2 as side, sum({_P}) as bytes
+  from lineitem join orders on l_orderkey = o_orderkey where l_returnflag <> 'R' group by 1, 2, 3),
+small as (select run_key, execution_id, min(bytes) as bytes from sides group by 1, 2 having count(*) = 2)
+select run_key, {_NO_STAGE}, execution_id, 'missing_broadcast' as category, 'high' as severity,
+  bytes::double as small_side_bytes
+from signals left join small using (run_key, execution_id)
+where has_sort_merge_join and not has_broadcast_join and (bytes is null or bytes <= 50000)""",
     "detect_missing_cache": f"""with {SIGNALS}
 select run_key, {_NO_STAGE}, {_NO_EXECUTION}, 'missing_cache' as category, 'medium' as severity,
   scans::double as num_scanning_executions

@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "detect_small_files": diagnosis.detect_small_files,
     "detect_missing_broadcast": diagnosis.detect_missing_broadcast,
     "detect_missing_broadcast_final": diagnosis.detect_missing_broadcast_final,
+    "detect_missing_broadcast_sized": diagnosis.detect_missing_broadcast_sized,
     "detect_missing_cache": diagnosis.detect_missing_cache,
     "detect_spill": diagnosis.detect_spill,
     "detect_serialization": diagnosis.detect_serialization,

@@ -107,7 +107,9 @@ EVENT_JSON = """
 `Stage Info` struct<
   `Stage ID`: int, `Stage Attempt ID`: int, `Stage Name`: string,
   `Submission Time`: bigint, `Completion Time`: bigint>,
-`Task Info` struct<`Task ID`: bigint, `Launch Time`: bigint, `Finish Time`: bigint>,
+`Task Info` struct<
+  `Task ID`: bigint, `Launch Time`: bigint, `Finish Time`: bigint,
+  `Accumulables`: array<struct<`ID`: bigint, `Name`: string, `Update`: string>>>,
 `Task End Reason` struct<`Reason`: string>,
 `Task Metrics` struct<
   `Executor Run Time`: bigint, `Executor Deserialize Time`: bigint,
@@ -117,5 +119,6 @@ EVENT_JSON = """
     `Remote Bytes Read`: bigint, `Local Bytes Read`: bigint, `Total Records Read`: bigint>,
   `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: bigint>,
   `Input Metrics`: struct<`Bytes Read`: bigint>>,
-`executionId` bigint, `description` string, `physicalPlanDescription` string, `time` bigint
+`executionId` bigint, `description` string, `physicalPlanDescription` string, `time` bigint,
+`sparkPlanInfo` string
 """

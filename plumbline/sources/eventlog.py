@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.sources import packed
+from plumbline.sources import joinsides, packed
 from plumbline.sources.files import PARTITION_BYTES, file_listing, twin_session
 
 _SQL_EVENT = "org.apache.spark.sql.execution.ui.SparkListenerSQL"
@@ -203,6 +203,13 @@ def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFr
     finish = F.coalesce(F.col("`Task Info`.`Finish Time`"), F.lit(0))
     succeeded = F.col("`Task End Reason`.`Reason`").eqNullSafe(F.lit("Success"))
 
+    # What a task added to the sizes of exchanges; a join's inputs are told by them, see joinsides.
+    updates = F.filter("`Task Info`.`Accumulables`", lambda a: a["Name"] == joinsides.SIZE_METRIC)
+    sizes = F.transform(
+        updates,
+        lambda a: F.struct(a["ID"].alias("accumulator_id"), a["Update"].try_cast("bigint").alias("bytes")),
+    )
+
     # The task columns mean something on task events only.
     return parsed.select(
         _kind(wanted),
@@ -234,6 +241,8 @@ def parse_events(lines: DataFrame, kinds: Iterable[str] | None = None) -> DataFr
         F.col("executionId").alias("execution_id"),
         "description",
         F.col("physicalPlanDescription").alias("physical_plan"),
+        F.when(F.col("sparkPlanInfo").contains(joinsides.JOIN_NODE), F.col("sparkPlanInfo")).alias("join_plan"),
+        sizes.alias("exchange_bytes"),
     )
 
 

@@ -266,6 +266,52 @@ def sql_lines(spark: SparkSession, sf_dir: str, partitions: int = 1) -> DataFram
     return _as_lines(spread(sql_rows(spark, sf_dir), partitions, "execution_id"), start, update, end)
 
 
+def sized_join_lines(spark: SparkSession, sf_dir: str, partitions: int = 1) -> DataFrame:
+    """Starts of SQL executions with plan trees, and task ends of their joins.
+
+    The join of order ``k`` has accumulators ``2k`` and ``2k + 1``; its line items are the
+    tasks that wrote for its two sides, a whole price each.
+    """
+    execution = F.col("execution_id")
+
+    def node(name: str, size_id: Column | None, *below: Column) -> Column:
+        metric = '{"name":"data size","accumulatorId":%d,"metricType":"size"}' if size_id is not None else ""
+        inner = ",".join(["%s"] * len(below))
+        text = f'{{"nodeName":"{name}","children":[{inner}],"metrics":[{metric}]}}'
+        return F.format_string(text, *below, *([size_id] if size_id is not None else []))
+
+    sides = [node("Sort", None, node("Exchange", execution * 2 + side, node("Scan", None))) for side in (0, 1)]
+    tree = F.when(F.col("physical_plan").contains("SortMergeJoin"), node("SortMergeJoin", None, *sides))
+    start = _line(
+        "sql_start",
+        executionId=execution,
+        physicalPlanDescription=F.col("physical_plan"),
+        time=F.col("start_ms"),
+    )
+    # The tree goes in as JSON and not as a text.
+    start = F.when(tree.isNull(), start).otherwise(
+        F.concat(F.regexp_replace(start, r"\}$", ""), F.lit(',"sparkPlanInfo":'), tree, F.lit("}"))
+    )
+    executions = spread(sql_rows(spark, sf_dir), partitions, "execution_id")
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", _run(F.col("o_custkey") % RUNS).alias("run_key"))
+    items = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    side = F.col("l_linenumber").cast("bigint") % 2
+    update = _named(
+        ID=F.col("l_orderkey") * 2 + side,
+        Name=F.lit("data size"),
+        Update=F.floor("l_extendedprice").cast("string"),
+    )
+    other = _named(ID=F.lit(1).cast("bigint"), Name=F.lit("records read"), Update=F.lit("17"))
+    end = _line(
+        "task_end",
+        Stage_ID=F.lit(0),
+        Task_End_Reason=_named(Reason=F.when(F.col("l_returnflag") == "R", "ExceptionFailure").otherwise("Success")),
+        Task_Info=_named(Task_ID="l_orderkey", Accumulables=F.array(other, update)),
+    )
+    return _as_lines(executions, start).unionByName(_as_lines(items, end))
+
+
 def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start and end events of the runs."""
     start = _line(
