@@ -15,7 +15,9 @@ travel at a quarter of the size, and what passes by halves (suffix filter) and e
 Links only have to connect, so not all pairs that meet in a shingle are formed.  First each
 class meets the one that posts the shingle earliest, which of near copies is the one with the
 fewest words of its own.  Then only classes that are still apart are paired, in blocks of
-bounded size, until no candidate is left untested.
+bounded size, until no candidate is left untested.  There each posting brings the parities of
+its set (bitmap filter): a shingle that only one of two sets holds flips one bit, so where more
+bits differ than shingles may, the pair cannot be similar and is not formed.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ REMEMBERED = 1 << 17
 SALTS = 64
 # Classes that a task holds at once come in blocks of about so many.
 BLOCK = 256
+# Bits of the parities of a set; sets of up to several times as many shingles are told apart.
+PARITY_BITS = 512
 
 
 def set_class(found: np.ndarray) -> bytes:
@@ -61,8 +65,8 @@ def sets_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int | None, np.ndar
         yield from zip(ids[first:last], shingles(data[part[0] : part[-1]], part - part[0], n))
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, cls binary, key bigint, bucket int, df bigint"
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("key", pa.int64()), ("bucket", pa.int32()), ("df", pa.int64())])
+PROFILE = "doc_id bigint, n_shingles bigint, cls binary, key bigint, parity binary, bucket int, df bigint"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("key", pa.int64()), ("parity", pa.binary()), ("bucket", pa.int32()), ("df", pa.int64())])
 
 
 def class_key(cls: bytes) -> int:
@@ -74,6 +78,13 @@ def class_key(cls: bytes) -> int:
     return int.from_bytes(cls[:8], "little", signed=True)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Whether an odd number of a set's shingles fall on each bit.  Two sets differ in as many
+    shingles as their parities do in bits, or in more."""
+    counts = np.bincount((found & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits(counts & 1).tobytes()
+
+
 def _buckets(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -94,9 +105,10 @@ def _profiler(n: int):
     def profile(batches):
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in batches:
-            ids, sizes, classes = [], [], []
+            ids, sizes, classes, bits = [], [], [], []
             for doc, found in sets_of(batch, n):
                 cls = set_class(found)
+                bits.append(parities(found))
                 ids.append(doc)
                 sizes.append(len(found))
                 classes.append(cls)
@@ -104,11 +116,11 @@ def _profiler(n: int):
                     np.add.at(sketch, _buckets(found), 1)
             none = pa.nulls(len(ids))
             keys = [class_key(c) for c in classes]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=_PROFILE)
         used = np.flatnonzero(sketch)
         none = pa.nulls(len(used))
         no_number = none.cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([no_number, no_number, none.cast(pa.binary()), no_number, pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=_PROFILE)
+        yield pa.RecordBatch.from_arrays([no_number, no_number, none.cast(pa.binary()), no_number, none.cast(pa.binary()), pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=_PROFILE)
 
     return profile
 
@@ -426,6 +438,7 @@ def _crossing(num: int, den: int):
 
     def pairs_of(run: pa.RecordBatch):
         block, group = run.column("block").to_numpy(), run.column("group").to_numpy()
+        parity = flat(run.column("parity"))[0].view(np.uint64).reshape(run.num_rows, -1)
         meta, lead = run.column("meta").to_numpy(), run.column("lead").to_numpy(zero_copy_only=False)
         place, size = meta >> 32, meta & 0xFFFFFFFF
         one = np.flatnonzero(block == run.column("row")[0].as_py())
@@ -439,6 +452,10 @@ def _crossing(num: int, den: int):
             most * (num + den) >= (size[i] + size[j]) * num
         )
         i, j = i[good], j[good]
+        # Of sets that share enough no more shingles than these are in one of them alone.
+        alone = size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den)
+        good = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) <= alone
+        i, j = i[good], j[good]
         return i, j, place[i] + place[j]
 
     def cross(batches):
@@ -508,7 +525,7 @@ def similar_texts(
     spark = docs.sparkSession
     texts = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
     found = kept(texts.mapInArrow(_profiler(n), PROFILE), "ngram-profile")
-    profile = found.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "key")
+    profile = found.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "key", "parity")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for bucket, df in found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df")).toLocalIterator():
         counts[bucket] = df
@@ -516,12 +533,12 @@ def similar_texts(
     # A class is known by its smallest id.
     nodes = kept(
         profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls")
-        .agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("key").alias("key")),
+        .agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("key").alias("key"), F.min("parity").alias("parity")),
         "ngram-nodes",
     )
     buckets = spark.sparkContext.broadcast((counts, commons(counts, nodes.count())))
     postings = kept(_postings(texts, nodes, n, num, den, buckets), "ngram-postings")
-    nodes = nodes.select("cls", "node")
+    told, nodes = nodes.select("cls", "node", "parity"), nodes.select("cls", "node")
     meetings = kept(_meetings(postings), "ngram-meetings")
     # Classes that meet another one, each with its home block.
     met = meetings.where("cls <> first")
@@ -543,7 +560,7 @@ def similar_texts(
     links = _linked(_each_once(first_pairs), texts, shorts, homes, n, num, den)
     groups = kept(_class_groups(links, nodes), "ngram-groups")
 
-    grouped = nodes.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("group"))
+    grouped = told.join(groups, "node", "left").select("cls", F.coalesce("component_id", "node").alias("group"), "parity")
     placed = kept(
         meetings.select("token", "meta", "cls", (F.col("cls") == F.col("first")).alias("lead")).join(
             grouped.hint("merge"), "cls"
@@ -560,7 +577,7 @@ def similar_texts(
         placed.join(apart.hint("merge"), "token")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "with").alias("row"), F.greatest("block", "with").alias("column"), "block", "meta", "cls", "group", "lead")
+        .select("token", F.least("block", "with").alias("row"), F.greatest("block", "with").alias("column"), "block", "meta", "cls", "group", "lead", "parity")
     )
     crossing = (
         blocked.repartition("token", "row", "column")

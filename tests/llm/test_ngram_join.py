@@ -152,3 +152,32 @@ def test_prefixes_are_rarest_first(spark, monkeypatch, common):
     buckets = spark.sparkContext.broadcast((bucket, hot))
     got = {(r["token"], r["meta"]) for r in nj._postings(texts, nodes, 4, 85, 100, buckets).collect()}
     assert got == want
+
+
+def _run_of_rows(sets, num, den):
+    """Rows of one shingle that all sets post at their first place, each set a group of its own."""
+    import pyarrow as pa
+
+    n = len(sets)
+    columns = {
+        "token": [1] * n, "row": [0] * n, "column": [0] * n, "block": [0] * n, "meta": [len(x) for x in sets],
+        "cls": [nj.set_class(x) for x in sets], "group": list(range(n)), "lead": [False] * n, "parity": [nj.parities(x) for x in sets],
+    }
+    kinds = {"row": pa.int32(), "column": pa.int32(), "block": pa.int32()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k)) for k, v in columns.items()], names=list(columns))
+    found = [r for b in nj._crossing(num, den)(iter([batch])) for r in b.to_pylist()]
+    return {frozenset((r["group_a"], r["group_b"])) for r in found if r["group_a"] != r["group_b"]}
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 400, 3000])
+def test_pairs_that_share_one_shingle_are_not_formed(size):
+    """Of sets that meet in a shingle all similar pairs are formed; without the parities all 780 pairs were."""
+    rng = np.random.default_rng(size)
+    base = [np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(20)]
+    near = [np.unique(np.append(x[: len(x) - len(x) // 20], rng.integers(0, 2**64, len(x) // 20, dtype=np.uint64))) for x in base]
+    sets = base + near
+    formed = _run_of_rows(sets, 85, 100)
+    similar = {frozenset((i, j)) for i in range(40) for j in range(i) if nj.linked(sets[i], sets[j], 85, 100)}
+    assert similar and similar <= formed
+    if 60 <= size <= 400:
+        assert len(formed) <= 2 * len(similar)
