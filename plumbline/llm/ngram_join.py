@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytestream import flat, shingles, signed, slices
+from plumbline.llm.bytestream import flat, release_unused, shingles, signed, slices
 from plumbline.llm.components import components
 from plumbline.llm.frames import join_small, kept, named
 
@@ -48,6 +48,8 @@ REMEMBERED = 1 << 17
 SALTS = 64
 # Classes that a task holds at once come in blocks of about so many.
 BLOCK = 256
+# Rows of shingles that a task gathers before it hands them on; a batch of texts has many times as many.
+SENT_ROWS = 1 << 16
 # Bits of the parities of a set; sets of up to several times as many shingles are told apart.
 PARITY_BITS = 512
 
@@ -103,6 +105,7 @@ def _profiler(n: int):
     """Size and class of each text, and per task the counts of its shingles by bucket."""
 
     def profile(batches):
+        release_unused()
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in batches:
             ids, sizes, classes, bits = [], [], [], []
@@ -153,10 +156,15 @@ def _sender(n: int, num: int, den: int, buckets):
     """
     below = np.uint64(min(int(2.0 * (1 - num / den) * 2**64), 2**64 - 1))
 
+    def rows_of(tokens, keys, metas, places):
+        columns = [signed(np.concatenate(tokens)), np.concatenate(keys), np.concatenate(metas), np.concatenate(places)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "meta", "place"])
+
     def send(batches):
+        release_unused()
         (df, common), seen = buckets.value, set()
         for batch in batches:
-            tokens, keys, metas, places = [], [], [], []
+            tokens, keys, metas, places, held = [], [], [], [], 0
             for _, found in sets_of(batch, n):
                 size = len(found)
                 cls = set_class(found)
@@ -179,9 +187,12 @@ def _sender(n: int, num: int, den: int, buckets):
                 tokens += mine
                 keys.append(np.full(sent, class_key(cls)))
                 metas.append(np.full(sent, (len(counted) << 32) + size))
+                held += sent
+                if held >= SENT_ROWS:
+                    yield rows_of(tokens, keys, metas, places)
+                    tokens, keys, metas, places, held = [], [], [], [], 0
             if tokens:
-                columns = [signed(np.concatenate(tokens)), np.concatenate(keys), np.concatenate(metas), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "meta", "place"])
+                yield rows_of(tokens, keys, metas, places)
 
     return send
 

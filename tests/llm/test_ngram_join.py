@@ -181,3 +181,17 @@ def test_pairs_that_share_one_shingle_are_not_formed(size):
     assert similar and similar <= formed
     if 60 <= size <= 400:
         assert len(formed) <= 2 * len(similar)
+
+
+def test_shingles_are_handed_on_in_bounded_batches():
+    """Before, a task gathered the shingles of a whole batch of texts, however many these were."""
+    import types
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    none = np.zeros(1 << nj.SKETCH_BITS, np.int64)
+    sent = list(nj._sender(4, 85, 100, types.SimpleNamespace(value=(none, none > 0)))(iter([batch])))
+    assert len({k for b in sent for k in b.column("key").to_pylist()}) == len(texts)
+    assert sum(b.num_rows for b in sent) > 2 * nj.SENT_ROWS and max(b.num_rows for b in sent) < nj.SENT_ROWS + 400
