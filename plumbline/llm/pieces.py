@@ -27,6 +27,7 @@ ALPHA = 1.0
 SEED = 20264
 CACHE_NODES = 1_000_000
 LATTICE_SLICE = 1 << 19
+MARK_BITS = 18
 
 
 @dataclass
@@ -40,6 +41,7 @@ class Vocabulary:
     flat: np.ndarray
     begin: np.ndarray
     size: np.ndarray
+    marks: dict[int, np.ndarray]  # per length, which leading bits the hashes of its pieces have
 
     @property
     def widest(self) -> int:
@@ -90,15 +92,17 @@ def load(path: str) -> Vocabulary:
             raw.append(b"")
     if (byte_piece < 0).any():
         raise ValueError("the vocabulary has no piece for some bytes")
-    by_length = {}
+    by_length, marks = {}, {}
     for length, ids in lengths.items():
         hashed = _prefix(_codes("".join(pieces[i].replace(BLANK, " ") for i in ids))).of(
             np.arange(len(ids)) * length, (np.arange(len(ids)) + 1) * length
         )
         order = np.argsort(hashed)
         by_length[length] = (hashed[order], np.array(ids)[order])
+        marks[length] = np.zeros(1 << MARK_BITS, bool)
+        marks[length][hashed >> np.uint64(64 - MARK_BITS)] = True
     size = np.array([len(r) for r in raw], np.int64)
-    return Vocabulary(raw, weight, byte_piece, by_length, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+    return Vocabulary(raw, weight, byte_piece, by_length, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, marks)
 
 
 class Lattices:
@@ -146,6 +150,9 @@ class Lattices:
         for length, (keys, ids) in voc.by_length.items():
             start = at[at + length <= owner_end]
             h = hashed.of(start, start + length)
+            # Most stretches are no piece: a table of leading bits spares them the search.
+            likely = np.flatnonzero(voc.marks[length][h >> np.uint64(64 - MARK_BITS)])
+            start, h = start[likely], h[likely]
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[place] == h
             start, found = start[hit], ids[place[hit]]
@@ -173,13 +180,16 @@ class Lattices:
         chunk = np.repeat(np.arange(len(size)), size)
         begin = start + chunk[start]
         end = begin + width
-        order = np.lexsort((piece, begin, end))
+        # By end, then begin; no two pieces have both in common.
+        order = np.argsort(end * (voc.widest + 2) - width)
         begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
         node_base = base + np.arange(len(size))
         local_end = end - node_base[chunk[start[order]]]
         total = np.full(len(codes) + len(size), -np.inf)
         total[node_base] = 0.0
-        by_step = np.argsort(local_end, kind="stable")
+        # Numbers of 16 bits are sorted by their digits.
+        small = local_end.max() < 1 << 16
+        by_step = np.argsort(local_end.astype(np.uint16) if small else local_end, kind="stable")
         steps = np.concatenate([[0], np.flatnonzero(np.diff(local_end[by_step])) + 1, [len(by_step)]])
         reach = np.empty(len(begin))
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):

@@ -190,3 +190,40 @@ def test_query_returns_the_pieces(spark):
 
     rows = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.lossless and len(r.piece_ids) == r.n_pieces for r in rows)
+
+
+def counted_searches(monkeypatch, module):
+    """Sizes of the searches that a module makes from now on."""
+    sizes, search = [], np.searchsorted
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def searchsorted(self, a, v, *rest):
+            sizes.append(np.size(v))
+            return search(a, v, *rest)
+
+    monkeypatch.setattr(module, "np", Counting())
+    return sizes
+
+
+def test_most_stretches_are_not_searched_for(vocabulary, monkeypatch):
+    """Stretches of a word of no piece are turned away by a table; of 16 lengths few are left."""
+    rng = np.random.default_rng(4)
+    words = [" " + "".join(chr(c) for c in rng.integers(97, 123, 12)) for _ in range(500)]
+    lattices = pieces.Lattices(vocabulary, 1.0)
+    sizes = counted_searches(monkeypatch, pieces)
+    lattices.add([w.encode() for w in words])
+    stretches = sum(len(w) - length + 1 for w in words for length in vocabulary.by_length if length <= len(w))
+    known = {r.decode() for i, r in enumerate(vocabulary.raw) if r and i not in set(vocabulary.byte_piece.tolist()) and _utf8(r)}
+    edges = sum(w[a:b] in known for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1))
+    assert (lattices.edge_piece >= 0).sum() == edges
+    assert sum(sizes) < stretches / 2
+
+
+def test_a_chunk_longer_than_16_bits_has_its_lattice(vocabulary):
+    text = "ab" * 40_000
+    data, offsets = flat_of([text])
+    ids, _ = pieces.Lattices(vocabulary, 1.0).sample(data, offsets, np.arange(1, dtype=np.uint64), 1)
+    assert pieces.decode(ids, vocabulary).decode() == text
