@@ -82,11 +82,15 @@ class ChunkCache:
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 for new ones."""
-        recent = self.recent
-        places = np.array([recent.get(k, -1) for k in keys.tolist()], np.int64)
+        places = np.full(len(keys), -1, np.int64)
+        # Keys are sought in their order: neighbours lie close together then.
+        order = np.argsort(keys)
+        sought = keys[order]
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-            places = np.where(self.hashes[at] == keys, self.places[at], places)
+            at = np.minimum(np.searchsorted(self.hashes, sought), len(self.hashes) - 1)
+            places[order] = np.where(self.hashes[at] == sought, self.places[at], -1)
+        recent, rest = self.recent, np.flatnonzero(places < 0)
+        places[rest] = [recent.get(k, -1) for k in keys[rest].tolist()]
         return places
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

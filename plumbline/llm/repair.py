@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytestream import flat, slices
-from plumbline.llm.chunks import ChunkCache
+from plumbline.llm.chunks import ChunkCache, spread
 from plumbline.llm.frames import kept, named, shared_folder
 from plumbline.llm.warc import store_of
 
@@ -29,6 +29,7 @@ MAGIC = b"RPR1"
 END = 0
 SHARD_TOKENS = 2_000_000  # a shard is closed at the document that reaches this many
 ROUNDS = 5
+MARK_BITS = 18
 LEAST = 12  # a pair rarer than this is not worth a rule
 _COUNTS = struct.Struct("<4s5Q")
 
@@ -36,6 +37,12 @@ _COUNTS = struct.Struct("<4s5Q")
 # --- grammar --------------------------------------------------------------------------
 
 
+def _mark(pairs: np.ndarray) -> np.ndarray:
+    """The leading bits of a hash of pairs, of 32 or 64 bits each."""
+    bits = pairs.dtype.itemsize * 8
+    return (pairs * pairs.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> pairs.dtype.type(bits - MARK_BITS)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST):
     """Replace frequent pairs by nonterminals, the most frequent ones of each round together.
 
@@ -75,8 +82,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = RO
         begins, follows = np.zeros(top, bool), np.zeros(top, bool)
         begins[left], follows[right] = True, True
         at = np.flatnonzero(begins[symbols[:-1]] & follows[symbols[1:]] & free)
-        place = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[place] == pairs[at]
+        # A table of hashed pairs spares most of the others the search.
+        likely = np.zeros(1 << MARK_BITS, bool)
+        likely[_mark(chosen)] = True
+        at = at[likely[_mark(pairs[at])]]
+        sought = pairs[at]
+        place = np.minimum(np.searchsorted(chosen, sought), len(chosen) - 1)
+        hit = chosen[place] == sought
         at, place = at[hit], place[hit]
         # Of hits that overlap in a row, every other one is replaced.
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
@@ -122,6 +134,24 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return symbols
 
 
+def expand_by_table(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The same for many symbols, when what every rule stands for fits into memory.
+
+    ``lengths`` are the tokens of each rule.
+    """
+    sizes = np.concatenate([np.ones(terminals, np.int64), lengths])
+    begin = np.cumsum(sizes) - sizes
+    known, done = np.arange(terminals, dtype=np.uint32), terminals
+    while done < len(sizes):
+        # All rules whose parts are known already are worked out at once.
+        deep = np.flatnonzero(rules[done - terminals :].max(axis=1) >= done)
+        until = done + (int(deep[0]) if len(deep) else len(sizes) - done)
+        parts = rules[done - terminals : until - terminals].ravel()
+        known = np.concatenate([known, known[spread(begin[parts], sizes[parts])]])
+        done = until
+    return known[spread(begin[symbols], sizes[symbols])]
+
+
 # --- files ----------------------------------------------------------------------------
 
 
@@ -181,7 +211,10 @@ class Shard:
 
     def documents(self):
         """``(doc_id, first token, ids)`` of each document in order."""
-        ids = expand(self.symbols, self.rules, self.terminals)
+        if int(self.lengths.sum()) <= self.n_tokens:
+            ids = expand_by_table(self.symbols, self.rules, self.lengths, self.terminals)
+        else:
+            ids = expand(self.symbols, self.rules, self.terminals)
         starts = np.append(self.index["token"], self.n_tokens).astype(np.int64)
         for row, a, b in zip(self.index, starts[:-1], starts[1:]):
             yield (None if row["null"] else int(row["doc"])), int(a), ids[a:b]
@@ -205,11 +238,12 @@ def tokenizer(path: str) -> tuple[ChunkCache, int]:
         # A chunk that begins with a blank is a word of its own in any text: all of them are
         # encoded as one text, and cut apart by how many bytes each id covers.
         joins = np.array([c[:1] == b" " and len(c) > 1 for c in chunks])
-        sizes = np.zeros(len(chunks), np.int64)
-        runs: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
+        sizes, begin = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        runs, n = [np.zeros(0, np.int32)], 0
         for i, e in zip(np.flatnonzero(~joins).tolist(), own.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in np.flatnonzero(~joins).tolist()], add_special_tokens=False)):
-            runs[i] = np.array(e.ids, np.int32)
-            sizes[i] = len(runs[i])
+            runs.append(np.array(e.ids, np.int32))
+            begin[i], sizes[i] = n, len(runs[-1])
+            n += len(runs[-1])
         together = np.flatnonzero(joins)
         for part in np.array_split(together, max(len(together) // 20_000, 1)):
             some = [chunks[i] for i in part.tolist()]
@@ -219,10 +253,11 @@ def tokenizer(path: str) -> tuple[ChunkCache, int]:
             ids = np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             upto = np.concatenate([[0], np.cumsum(widths[ids])])
             cut = np.searchsorted(upto, np.concatenate([[0], np.cumsum([len(c) for c in some])]))
-            sizes[part] = np.diff(cut)
-            for i, a, b in zip(part.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
-                runs[i] = ids[a:b]
-        return np.concatenate(runs) if runs else np.zeros(0, np.int32), sizes
+            begin[part], sizes[part] = n + cut[:-1], np.diff(cut)
+            runs.append(ids)
+            n += len(ids)
+        # Runs of ids stand in the order they were made in; chunks are given in theirs.
+        return np.concatenate(runs)[spread(begin, sizes)], sizes
 
     return ChunkCache(encode), size
 

@@ -227,3 +227,42 @@ def test_a_chunk_longer_than_16_bits_has_its_lattice(vocabulary):
     data, offsets = flat_of([text])
     ids, _ = pieces.Lattices(vocabulary, 1.0).sample(data, offsets, np.arange(1, dtype=np.uint64), 1)
     assert pieces.decode(ids, vocabulary).decode() == text
+
+
+def test_few_pairs_are_searched_for_in_a_round(monkeypatch):
+    """Of pairs whose parts are in rules, those of no rule are turned away by a table."""
+    rng = np.random.default_rng(6)
+    ids = rng.integers(1, 600, 200_000).astype(np.int32)
+    # A few frequent pairs, with every symbol as the left and as the right part of one.
+    ids = np.concatenate([ids, np.tile(np.stack([np.arange(1, 600), np.roll(np.arange(1, 600), 7)], axis=1).ravel(), 40)]).astype(np.int32)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    sizes = counted_searches(monkeypatch, repair)
+    symbols, _, rules = repair.compress(ids, ends, 600, rounds=1, least=30)
+    assert 0 < len(rules) < 2_000
+    assert sum(sizes) < len(ids) / 2
+    assert (repair.expand(symbols, rules, 600) == ids).all()
+
+
+def test_expanding_by_a_table_gives_the_same_ids():
+    rng = np.random.default_rng(7)
+    ids = np.tile(rng.integers(1, 90, 2_000), 30).astype(np.int32)
+    ends = np.zeros(len(ids), bool)
+    ends[999::1000] = True
+    symbols, _, rules = repair.compress(ids, ends, 90)
+    lengths = repair.expansion_lengths(rules, 90)[90:]
+    assert lengths.max() > 8
+    assert (repair.expand_by_table(symbols, rules, lengths, 90) == ids).all()
+    none = np.zeros((0, 2), np.uint32)
+    assert repair.expand_by_table(symbols[:0], none, lengths[:0], 90).tolist() == []
+
+
+def test_encoded_chunks_stand_in_their_order():
+    """Chunks that are words of their own and others take different ways, and come back in order."""
+    chunks = [b"one", b" two", "  drei".encode(), b" vier", b" ", b" two\n", b"five", b" sechs"]
+    cache, _ = repair.tokenizer(BPE)
+    values, sizes = cache.make(chunks)
+    own = Tokenizer.from_file(BPE)
+    expected = [own.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
+    assert sizes.tolist() == [len(e) for e in expected]
+    assert values.tolist() == [i for e in expected for i in e]
