@@ -177,10 +177,11 @@ def _line(kind: str, **fields: Column) -> Column:
 def _as_lines(rows: DataFrame, *lines: Column) -> DataFrame:
     """``run_key, value``: the lines of each row, null ones left out.
 
-    Going through explode() keeps text filters from writing the JSON once per filter.
+    Going through explode() keeps text filters from writing the JSON once per filter.  The array is
+    a plain one, as Spark compiles no expression below a function like array_compact().
     """
-    value = F.explode(F.array_compact(F.array(*lines)))
-    return rows.select("run_key", value.alias("value"))
+    value = F.explode(F.array(*lines))
+    return rows.select("run_key", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def _named(**fields: Column | str) -> Column:

@@ -5,10 +5,12 @@ import subprocess
 import sys
 
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 
 from plumbline.operators import rules
 from plumbline.plans import fleet
-from plumbline.sources import eventlog, joinsides
+from plumbline.sources import eventlog, joinsides, telemetry
 
 SQL = "org.apache.spark.sql.execution.ui.SparkListenerSQL"
 
@@ -172,3 +174,17 @@ def test_two_large_sides_are_told_from_a_small_one(spark, tmp_path, adaptive):
     # A row takes 8 bytes and 8 for each whole number; 60,000 rows of one meet 50,000 and 100 rows of two.
     assert joins(every) == {0: min(16.0 * 60_000, 24.0 * 50_000), 1: 24.0 * 100}
     assert joins(large) == {1: 24.0 * 100}
+
+
+def test_lines_are_written_by_compiled_code(spark):
+    """JSON is not written below a higher-order function, which Spark interprets with all its arguments."""
+    for lines in (telemetry.sized_join_lines, telemetry.task_lines, telemetry.sql_lines):
+        plan = lines(spark, SMALL, 2).where(F.col("value").contains("Start"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and "lambda" not in plan
+
+
+def test_missing_lines_are_left_out(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "run_key string, n int")
+    text = F.col("n").cast("string")
+    found = telemetry._as_lines(rows, text, F.lit("x"), F.concat(text, F.lit("!"))).collect()
+    assert sorted(map(tuple, found)) == [("a", "1"), ("a", "1!"), ("a", "x"), ("b", "x")]
