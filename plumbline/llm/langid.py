@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.bytestream import flat
+from plumbline.llm.bytestream import flat, release_unused
 from plumbline.llm.frames import fresh, named, number_of, numbered
 
 NONE = "und"
@@ -149,6 +149,28 @@ def fit(rows: list, dim: int = 16, epochs: int = 12, rate: float = 2.0, batch: i
     return model
 
 
+_MODEL = "langs array<string>, table binary, bias binary, temperature double, threshold double"
+
+
+def _fitted(batches):
+    """The model of all sampled rows, as one row."""
+    rows = [Row(**r) for batch in batches for r in batch.to_pylist()]
+    if rows:
+        m = fit(rows)
+        del rows
+        release_unused()
+        values = (m.langs, m.table.tobytes(), m.bias.tobytes(), float(m.temperature), float(m.threshold))
+        types = (pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip(values, types)], names=["langs", "table", "bias", "temperature", "threshold"]
+        )
+
+
+def _model_of(row: Row) -> Model:
+    table, bias = np.frombuffer(row.table, np.float64), np.frombuffer(row.bias, np.float64)
+    return Model(list(row.langs), table.reshape(1 << BUCKET_BITS, len(row.langs)), bias, row.temperature, row.threshold)
+
+
 def calibrate(model: Model, rows: list, lost: float = 0.001) -> None:
     """Set the temperature that makes scores honest, and the score below which to reject.
 
@@ -218,7 +240,9 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         named(lang_col).cast("string").alias("lang"),
         (crc == 0).alias("fits"),
     ).where((crc != 1) & F.col("lang").isNotNull())
-    return fit(sample(labelled, fit_rows, calibration_rows).collect())
+    # One task fits: the driver sees the folded model alone, not the sampled rows.
+    told = sample(labelled, fit_rows, calibration_rows).repartition(1).mapInArrow(_fitted, _MODEL).collect()
+    return _model_of(told[0]) if told else fit([])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:

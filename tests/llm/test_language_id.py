@@ -51,3 +51,20 @@ def test_nothing_learned(spark):
     told, names = langid.identify(docs, langid.fit_on(docs))
     assert [told.first()[n] for n in names] == ["und", 0.0, True]
     assert langid.identify(docs.limit(0), langid.fit_on(docs.limit(0)))[0].count() == 0
+
+
+def test_the_model_is_fitted_in_a_task(spark, model, monkeypatch):
+    """The driver gets the folded model, not the sampled rows to fit on."""
+    def refuse(rows):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(langid, "fit", refuse)
+    again = langid.fit_on(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
+    assert again.langs == model.langs and np.array_equal(again.table, model.table) and np.array_equal(again.bias, model.bias)
+    assert (again.temperature, again.threshold) == (model.temperature, model.threshold)
+
+
+def test_without_labels_there_is_no_language(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "other text", None)], "doc_id bigint, text string, lang string")
+    assert langid.fit_on(docs).langs == []
+    assert langid.fit_on(docs.limit(0)).langs == []
