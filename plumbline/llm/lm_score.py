@@ -39,6 +39,7 @@ SEED = 20268
 BLOCKS = 16
 SPREAD = 16
 SIZE = CLUSTERS * WITHIN
+MARK_BITS = 18
 SHARE = 200  # the network knows words seen tokens ** (2 / 3) / SHARE times
 
 
@@ -134,13 +135,17 @@ class Network:
         h = self.hidden(around)
         group, place = word // self.room, word % self.room
         out = _log_softmax_at(h @ self.cluster, group)
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(CLUSTERS + 1))
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            some = order[edge[c] : edge[c + 1]]
-            out[some] += _log_softmax_at(h[some] @ self.within[c], place[some])
+        order, edge, known = _by_cluster(group)
+        out[order] += _log_softmax_at(self._within(h[order], edge, known), place[order])
         return out
 
+    def _within(self, h: np.ndarray, edge: list[int], known: list[int]) -> np.ndarray:
+        """What the words of its cluster get for each token; tokens are in the order of their clusters."""
+        z = np.empty((len(h), self.room), np.float32)
+        for c in known:
+            np.matmul(h[edge[c] : edge[c + 1]], self.within[c], out=z[edge[c] : edge[c + 1]])
+        return z
+
     def step(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step of stochastic gradient descent on a batch of tokens."""
         n = len(word)
@@ -150,17 +155,23 @@ class Network:
         error[np.arange(n), group] -= 1
         back = error @ self.cluster.T
         self.cluster -= rate * h.T @ error / n
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(CLUSTERS + 1))
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            some = order[edge[c] : edge[c + 1]]
-            error = _softmax(h[some] @ self.within[c])
-            error[np.arange(len(some)), place[some]] -= 1
-            back[some] += error @ self.within[c].T
-            self.within[c] -= rate * h[some].T @ error / len(some)
+        # Tokens of a cluster lie side by side, so that all clusters share the steps over whole arrays.
+        order, edge, known = _by_cluster(group)
+        h_of = h[order]
+        error = _softmax(self._within(h_of, edge, known))
+        error[np.arange(n), place[order]] -= 1
+        pulled, risen = rate * h_of, np.zeros_like(self.within)
+        own_back = np.empty_like(back)
+        for c in known:
+            some = slice(edge[c], edge[c + 1])
+            np.matmul(error[some], self.within[c].T, out=own_back[some])
+            np.matmul(pulled[some].T, error[some], out=risen[c])
+        back[order] += own_back
+        risen /= np.maximum(np.diff(edge), 1).astype(np.float32)[:, None, None]
+        self.within -= risen
         pull = back[:, :-1] * (1 - h[:, :-1] ** 2)
         for k in range(len(AROUND)):
-            order = np.argsort(around[k], kind="stable")
+            order = _stable_order(around[k], self.embed.shape[1])
             own = around[k][order]
             head = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
             seen = np.diff(np.append(head, n))[:, None]
@@ -168,14 +179,42 @@ class Network:
             self.embed[k][own[head]] -= rate * np.add.reduceat(pull[order], head, axis=0) / np.maximum(seen, 4)
 
 
+def _stable_order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Stable sorting order of numbers; those of 16 bits are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
+def _by_cluster(group: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """Tokens in the order of their clusters, where each cluster begins there, and which have tokens."""
+    order = _stable_order(group, CLUSTERS)
+    edge = np.searchsorted(group[order], np.arange(CLUSTERS + 1))
+    return order, edge.tolist(), np.flatnonzero(np.diff(edge)).tolist()
+
+
+def _row_max(z: np.ndarray) -> np.ndarray:
+    """The largest of each row, as a column: halves are compared, which takes few steps over long arrays."""
+    while z.shape[1] > 1:
+        half = (z.shape[1] + 1) // 2
+        z = np.maximum(z[:, :half], z[:, -half:])
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Softmax of each row, in the place of ``z``."""
+    z -= _row_max(z)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    """Log-softmax of each row at one column; ``z`` is overwritten."""
+    top = _row_max(z)
+    # Of one column, the largest is the column itself.
+    top, own = top[:, 0].copy(), z[np.arange(len(z)), at]
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return own - top - np.log(z.sum(axis=1))
 
 
 class Words:
@@ -185,13 +224,19 @@ class Words:
         self.order = np.argsort(top)
         self.sorted = top[self.order]
         self.size = CLUSTERS * room_for(len(top))
+        self.marks = np.zeros(1 << MARK_BITS, bool)
+        self.marks[top >> np.uint64(64 - MARK_BITS)] = True
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        rare = self.size - RARE + (hashes >> np.uint64(32)).astype(np.int64) % RARE
-        if not len(self.sorted):
-            return rare
-        place = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[place] == hashes, self.order[place], rare)
+        ids = self.size - RARE + ((hashes >> np.uint64(32)) % np.uint64(RARE)).astype(np.int64)
+        # Most rare words are none of the others by a table of leading bits, and are not searched for.
+        likely = np.flatnonzero(self.marks[hashes >> np.uint64(64 - MARK_BITS)])
+        if len(likely):
+            sought = hashes[likely]
+            place = np.minimum(np.searchsorted(self.sorted, sought), len(self.sorted) - 1)
+            hit = self.sorted[place] == sought
+            ids[likely[hit]] = self.order[place[hit]]
+        return ids
 
 
 def contexts(ids: np.ndarray, begin: np.ndarray, beyond: int = SIZE) -> np.ndarray:

@@ -135,3 +135,44 @@ def test_the_network_grows_with_the_corpus(monkeypatch, spark):
     assert again.embed.shape == net.embed.shape and again.within.shape == net.within.shape and (again.flat() == net.flat()).all()
     around = lm.contexts(ids[:500], np.array([0, 500]), lm.Words(words).size)
     assert np.isfinite(net.log_probability(around, ids[:500])).all()
+
+
+def test_all_clusters_share_one_softmax(monkeypatch):
+    """A step takes the softmax of clusters and that of words within them, over all tokens at once."""
+    sizes = []
+
+    def counted(z, own=lm._softmax):
+        sizes.append(z.shape)
+        return own(z)
+
+    monkeypatch.setattr(lm, "_softmax", counted)
+    rng = np.random.default_rng(3)
+    net = lm.Network.new()
+    net.step(rng.integers(0, lm.SIZE, (4, 500)), rng.integers(0, lm.SIZE, 500), 0.2)
+    assert sizes == [(500, lm.CLUSTERS), (500, lm.WITHIN)]
+
+
+def test_most_unknown_words_are_not_searched_for(monkeypatch):
+    rng = np.random.default_rng(4)
+    top, other = (rng.integers(0, 2**64, n, np.uint64) for n in (300, 5000))
+    words, sought = lm.Words(top), []
+
+    def counted(a, v, *more, own=np.searchsorted):
+        sought.append(len(v))
+        return own(a, v, *more)
+
+    monkeypatch.setattr(lm.np, "searchsorted", counted)
+    ids = words.ids(np.concatenate([top, other]))
+    assert sum(sought) < 400
+    assert ids[:300].tolist() == list(range(300))
+    assert ids[300:].tolist() == [words.size - lm.RARE + (x >> 32) % lm.RARE for x in other.tolist()]
+    assert lm.Words(top[:0]).ids(other).min() >= lm.CLUSTERS * lm.WITHIN - lm.RARE
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 64, 142])
+def test_largest_of_rows(width):
+    z = np.random.default_rng(width).normal(size=(50, width)).astype(np.float32)
+    assert (lm._row_max(z) == z.max(axis=1, keepdims=True)).all()
+    want = z - np.log(np.exp(z.astype(float)).sum(axis=1, keepdims=True))
+    at = np.arange(50) % width
+    assert np.allclose(lm._log_softmax_at(z.copy(), at), want[np.arange(50), at], atol=1e-5)
