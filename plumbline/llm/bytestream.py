@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,9 +156,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def released(run: Callable) -> Callable:
+    """``run``, a function over batches, such that a worker that waits for its next task holds no freed memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def release_unused() -> None:
     """Give memory that earlier tasks of this worker have freed back to the system, where it can be."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

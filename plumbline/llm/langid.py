@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.bytestream import flat, release_unused
+from plumbline.llm.bytestream import flat, release_unused, released
 from plumbline.llm.frames import fresh, named, number_of, numbered
 
 NONE = "und"
@@ -97,7 +97,7 @@ def sample(labelled: DataFrame, fit_rows: int, calibration_rows: int) -> DataFra
         most = (fit_rows if r.fits else calibration_rows) / n_langs
         share = F.when((F.col("lang") == r.lang) & (F.col("fits") == r.fits), min(1.0, most / r.n)).otherwise(share)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "key"), 11) / F.lit(float(2**53))
-    return labelled.where(draw < share).select("lang", "fits", "text").mapInArrow(_features, _SPARSE)
+    return labelled.where(draw < share).select("lang", "fits", "text").mapInArrow(released(_features), _SPARSE)
 
 
 def _dense(rows: list) -> np.ndarray:
@@ -241,7 +241,7 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         (crc == 0).alias("fits"),
     ).where((crc != 1) & F.col("lang").isNotNull())
     # One task fits: the driver sees the folded model alone, not the sampled rows.
-    told = sample(labelled, fit_rows, calibration_rows).repartition(1).mapInArrow(_fitted, _MODEL).collect()
+    told = sample(labelled, fit_rows, calibration_rows).repartition(1).mapInArrow(released(_fitted), _MODEL).collect()
     return _model_of(told[0]) if told else fit([])
 
 
@@ -258,5 +258,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     plain, text = numbered(docs), number_of(docs, text_col)
     schema = T.StructType(list(plain.schema.fields)).add("lang", "string").add("score", "double").add("rejected", "boolean")
     marked = plain.withColumn("letter", has_letter(F.col(text)))
-    told = marked.mapInArrow(_predictor(shipped, text, "letter", "lang", "score", "rejected"), schema)
+    told = marked.mapInArrow(released(_predictor(shipped, text, "letter", "lang", "score", "rejected")), schema)
     return told.toDF(*docs.columns, *names), names

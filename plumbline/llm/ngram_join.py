@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytestream import flat, release_unused, shingles, signed, slices
+from plumbline.llm.bytestream import flat, release_unused, released, shingles, signed, slices
 from plumbline.llm.components import components
 from plumbline.llm.frames import join_small, kept, named
 
@@ -246,11 +246,11 @@ def _counted(batches):
 def _postings(texts: DataFrame, nodes: DataFrame, n: int, num: int, den: int, buckets) -> DataFrame:
     """``token, meta, cls``: prefixes less the shingles of one class.  ``meta`` is the place in the set
     and the set's size."""
-    sent = texts.where("doc_id IS NOT NULL").mapInArrow(_sender(n, num, den, buckets), SENT)
+    sent = texts.where("doc_id IS NOT NULL").mapInArrow(released(_sender(n, num, den, buckets)), SENT)
     # Common shingles have a place already; their rows need not come together.
     salt = F.when(F.col("place") >= 0, F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0))
     counted = kept(
-        sent.repartition("token", salt).sortWithinPartitions("token", "key").mapInArrow(_counted, COUNTED), "ngram-counted"
+        sent.repartition("token", salt).sortWithinPartitions("token", "key").mapInArrow(released(_counted), COUNTED), "ngram-counted"
     )
     size, own = F.col("meta").bitwiseAND(0xFFFFFFFF), F.shiftright("meta", 32)
     by_class = Window.partitionBy("key", "meta")
@@ -400,7 +400,7 @@ def _set_maker(n: int, short: bool):
 def _sets(texts: DataFrame, ids: DataFrame, n: int, short: bool) -> DataFrame:
     """``cls, set`` of the texts with the given ids, one row per class."""
     some = join_small(texts, kept(ids, "ngram-wanted"), "doc_id")
-    return some.mapInArrow(_set_maker(n, short), "cls binary, set binary").dropDuplicates(["cls"])
+    return some.mapInArrow(released(_set_maker(n, short)), "cls binary, set binary").dropDuplicates(["cls"])
 
 
 def _passing(pairs: DataFrame, sets: DataFrame, homes: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
@@ -427,7 +427,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, homes: DataFrame, num: int, den:
     return (
         rows.repartition("low", "high")
         .sortWithinPartitions("low", "high", "rank", "a", "b")
-        .mapInArrow(_verifier(num, den, exact), PAIR)
+        .mapInArrow(released(_verifier(num, den, exact)), PAIR)
     )
 
 
@@ -535,7 +535,7 @@ def similar_texts(
     """
     spark = docs.sparkSession
     texts = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
-    found = kept(texts.mapInArrow(_profiler(n), PROFILE), "ngram-profile")
+    found = kept(texts.mapInArrow(released(_profiler(n)), PROFILE), "ngram-profile")
     profile = found.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "key", "parity")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for bucket, df in found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df")).toLocalIterator():
@@ -593,7 +593,7 @@ def similar_texts(
     crossing = (
         blocked.repartition("token", "row", "column")
         .sortWithinPartitions("token", "row", "column")
-        .mapInArrow(_crossing(num, den), PAIR)
+        .mapInArrow(released(_crossing(num, den)), PAIR)
     )
     more = _linked(_each_once(crossing), texts, shorts, homes, n, num, den)
     groups = kept(_class_groups(links.union(more), nodes), "ngram-groups")

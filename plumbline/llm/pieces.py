@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.bytestream import Hashed, flat, mix, release_unused, slices
+from plumbline.llm.bytestream import Hashed, flat, mix, release_unused, released, slices
 from plumbline.llm.chunks import chunk_starts, distinct_chunks, spread
 from plumbline.llm.frames import fresh, number_of, numbered
 
 BLANK = "▁"
 ALPHA = 1.0
 SEED = 20264
-CACHE_NODES = 1_000_000
-LATTICE_SLICE = 1 << 19
+CACHE_NODES = 400_000
+LATTICE_SLICE = 1 << 17
+ADDED_CHARS = 1 << 16
 MARK_BITS = 18
 
 
@@ -134,7 +135,20 @@ class Lattices:
         setattr(self, name, room[: used + len(values)])
 
     def add(self, chunks: list[bytes]) -> np.ndarray:
-        """End nodes of the lattices of new chunks, one each.  Chunks are not empty."""
+        """End nodes of the lattices of new chunks, one each.  Chunks are not empty.
+
+        About ``ADDED_CHARS`` bytes are filtered at once: that takes many times the memory of the bytes.  Chunks
+        of like lengths go together, as each place in a chunk is a step over all of them.
+        """
+        size = np.array([len(c) for c in chunks], np.int64)
+        order = np.argsort(size, kind="stable")
+        ends = np.zeros(len(chunks), np.int64)
+        for first, last in slices(np.append(0, np.cumsum(size[order])), ADDED_CHARS):
+            some = order[first:last]
+            ends[some] = self._add([chunks[i] for i in some.tolist()])
+        return ends
+
+    def _add(self, chunks: list[bytes]) -> np.ndarray:
         voc = self.vocabulary
         # Texts of a Spark string are UTF-8; should bytes be broken, they are pieces one by one.
         texts = [c.decode("utf-8", "surrogateescape") for c in chunks]
@@ -342,7 +356,8 @@ def encoded(
     left = [(f, name) for f, name in zip(plain.schema.fields, docs.columns) if f.name not in dropped]
     schema = T.StructType([f for f, _ in left]).add("ids", T.ArrayType(T.IntegerType())).add("n", "long").add("same", "boolean")
     keyed = plain.withColumn("row_key", F.xxhash64(F.lit(seed), F.col(number_of(docs, id_col))))
-    told = keyed.mapInArrow(_encoder(path, alpha, seed, text, "row_key", ["ids", "n", "same"], dropped), schema)
+    encoder = _encoder(path, alpha, seed, text, "row_key", ["ids", "n", "same"], dropped)
+    told = keyed.mapInArrow(released(encoder), schema)
     return told.toDF(*(name for _, name in left), *names), names
 
 

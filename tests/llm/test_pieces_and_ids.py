@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from odd_rows import DOCS, by_id, documents
 from tokenizers import Tokenizer
 
-from plumbline.llm import pieces, repair
+from plumbline.llm import bytestream, pieces, repair
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -266,3 +266,31 @@ def test_encoded_chunks_stand_in_their_order():
     expected = [own.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
     assert sizes.tolist() == [len(e) for e in expected]
     assert values.tolist() == [i for e in expected for i in e]
+
+
+def test_lattices_are_filtered_in_parts(vocabulary, monkeypatch):
+    """New chunks are filtered some bytes at a time, and draws are those of all at once."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(c) for c in rng.integers(97, 103, n)) for n in rng.integers(1, 30, 40)) for _ in range(20)]
+    data, offsets = flat_of([*texts, "", "é" * 500])
+    keys = np.arange(len(offsets) - 1, dtype=np.uint64)
+    whole = pieces.Lattices(vocabulary, 1.0).sample(data, offsets, keys, 5)
+    at_once = []
+
+    def counted(codes, own=pieces._prefix):
+        at_once.append(len(codes))
+        return own(codes)
+
+    monkeypatch.setattr(pieces, "_prefix", counted)
+    monkeypatch.setattr(pieces, "ADDED_CHARS", 300)
+    parts = pieces.Lattices(vocabulary, 1.0).sample(data, offsets, keys, 5)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert len(at_once) > 10 and sorted(at_once)[-2] <= 300
+
+
+def test_tasks_release_memory_when_they_end(monkeypatch):
+    done = []
+    monkeypatch.setattr(bytestream, "_trim", lambda: done.append("released"))
+    run = bytestream.released(lambda batches: (done.append(b) or b for b in batches))
+    assert list(run([1, 2])) == [1, 2]
+    assert done == [1, 2, "released"]
