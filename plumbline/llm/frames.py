@@ -32,6 +32,22 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df`` dealt by ``keys`` once and kept so: joins on just these keys move the other side only.
+
+    The table is known to the catalog for as long as it takes to read it back; its files stay.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"plumbline_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet")
+    dealt.option("path", shared_folder(spark, what)).saveAsTable(table_name)
+    found = spark.table(table_name)
+    found.schema  # looked up before the name goes
+    spark.sql(f"DROP TABLE {table_name}")
+    return found
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bytestream import PLAIN_2, Hashed, flat, mix, signed, slices
 from plumbline.llm.chunks import spread
-from plumbline.llm.frames import join_small, kept, named
+from plumbline.llm.frames import bucketed, kept, named
 
 LENGTH = 200
 GRAMS = (64, 172)
@@ -237,10 +237,13 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 
 def repeated_starts(texts: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
-    """``doc, sig, lo, hi``: runs of window starts in ``texts`` (``doc, sig, text``) that repeat."""
+    """``doc, sig, lo, hi``: runs of window starts in ``texts`` (``doc, sig, text``) that repeat.
+
+    ``texts`` are joined by ``doc`` and ``sig`` with runs to look at, so they should be bucketed by these.
+    """
     wanted, runs = None, []
     for gram in grams:
-        looked_at = texts if wanted is None else join_small(texts, wanted, ["doc", "sig"])
+        looked_at = texts if wanted is None else texts.join(wanted.hint("merge"), ["doc", "sig"])
         found = looked_at.mapInArrow(_anchorer(length, gram), ANCHOR)
         # Contexts that are not open stand for repeats found before; they are there to be met.
         several = kept(
@@ -275,7 +278,7 @@ def repeated_starts(texts: DataFrame, length: int, grams: tuple[int, ...]) -> Da
             ),
             "suffix-wanted",
         )
-    suffixes = join_small(texts, wanted, ["doc", "sig"]).mapInArrow(_suffixer(length), SUFFIX)
+    suffixes = texts.join(wanted.hint("merge"), ["doc", "sig"]).mapInArrow(_suffixer(length), SUFFIX)
     sorted_out = kept(
         suffixes.repartitionByRange("lead", "next", "rest", "doc", "at").mapInArrow(_bucket, BUCKET),
         "suffix-buckets",
@@ -314,10 +317,12 @@ def without_repeats(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"),
         F.xxhash64("text").alias("sig"),
     )
+    # Whole texts are shuffled this once, whatever their size; runs come to them from here on.
+    texts = bucketed(texts, ["doc", "sig"], "suffix-texts")
     starts = kept(
         repeated_starts(texts.select("doc", "sig", "text"), length, grams)
         .groupBy("doc", "sig")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("spans")),
         "suffix-spans",
     )
-    return join_small(texts, starts, ["doc", "sig"], "left").select("doc_id", "text", "spans").mapInArrow(_remover(length), RESULT)
+    return texts.join(starts.hint("merge"), ["doc", "sig"], "left").select("doc_id", "text", "spans").mapInArrow(_remover(length), RESULT)

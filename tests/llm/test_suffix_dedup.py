@@ -88,3 +88,14 @@ def test_nothing(spark):
     assert ours(documents(spark).limit(0)) == []
     with pytest.raises(ValueError):
         sd.without_repeats(documents(spark), length=100, grams=(120,))
+
+
+def test_texts_are_dealt_once(spark):
+    """However many runs there are, they come to the texts: no join shuffles or broadcasts beside whole texts."""
+    docs = spark.createDataFrame(made(3), "doc_id bigint, text string")
+    names = {t.name for t in spark.catalog.listTables()}
+    result = sd.without_repeats(docs)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan
+    assert {t.name for t in spark.catalog.listTables()} == names
+    assert sorted(map(tuple, result.collect()), key=str) == brute(made(3), 200)
