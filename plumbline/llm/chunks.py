@@ -19,11 +19,20 @@ _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3:0xE0] = True
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where chunks begin in flat texts: at each text, and at each blank before a word."""
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, marks: bytes = b"") -> np.ndarray:
+    """Where chunks begin in flat texts: at each text, at each blank before a word, and at
+    each of ``marks`` after an ASCII letter."""
     first = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         first[: len(data) - 1] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+        if marks:
+            is_mark = np.zeros(256, bool)
+            is_mark[list(marks)] = True
+            first[1 : len(data)] |= _LETTER[data[:-1]] & is_mark[data[1:]]
     # What follows a text's last byte is another text's.
     first[offsets[1:][offsets[1:] > 0] - 1] = False
     first[offsets[:-1]] = True
@@ -43,11 +52,11 @@ class ChunkCache:
 
     ``make`` takes a list of new chunks and gives all their values in a row and how many each
     chunk has.  The cache is emptied when it has ``CACHE_ENTRIES``, so its size does not follow
-    the input.
+    the input.  ``marks`` begin chunks as well (see ``chunk_starts``).
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.make = make
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], marks: bytes = b""):
+        self.make, self.marks = make, marks
         self.clear()
 
     def clear(self) -> None:
@@ -95,7 +104,7 @@ class ChunkCache:
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of all chunks in order, and where each text begins among them."""
-        starts = chunk_starts(data, offsets)
+        starts = chunk_starts(data, offsets, self.marks)
         ends = np.append(starts[1:], len(data))
         codes, distinct, first = distinct_chunks(data, starts, ends)
         if self.entries + len(distinct) > CACHE_ENTRIES:

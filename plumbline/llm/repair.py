@@ -30,6 +30,8 @@ END = 0
 SHARD_TOKENS = 2_000_000  # a shard is closed at the document that reaches this many
 ROUNDS = 5
 MARK_BITS = 18
+# Between a letter and one of these every word ends, and none of them is part of a contraction.
+MARKS = ".,;:!?"
 LEAST = 12  # a pair rarer than this is not worth a rule
 _COUNTS = struct.Struct("<4s5Q")
 
@@ -234,10 +236,18 @@ def tokenizer(path: str) -> tuple[ChunkCache, int]:
     for piece, i in own.get_vocab(with_added_tokens=True).items():
         widths[i] = len(piece.encode()) if i in lone else len(piece)
 
+    # Special tokens are found before words are, so no chunk may begin inside one; and a vocabulary
+    # whose words are others, or that treats the begin of a text in its own way, has no marks.
+    alone = lambda text: own.encode(text, add_special_tokens=False).ids
+    inside = "".join(token.content for token in own.get_added_tokens_decoder().values())
+    marks = "".join(m for m in MARKS if m not in inside and alone("a" + m) == alone("a") + alone(m)).encode()
+    before_mark = b" a"
+
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # A chunk that begins with a blank is a word of its own in any text: all of them are
-        # encoded as one text, and cut apart by how many bytes each id covers.
-        joins = np.array([c[:1] == b" " and len(c) > 1 for c in chunks])
+        # encoded as one text, and cut apart by how many bytes each id covers.  A chunk that begins
+        # with a mark is so after a letter, which is put before it and left out of its ids.
+        joins = np.array([(c[:1] == b" " and len(c) > 1) or c[0] in marks if c else False for c in chunks], bool)
         sizes, begin = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         runs, n = [np.zeros(0, np.int32)], 0
         for i, e in zip(np.flatnonzero(~joins).tolist(), own.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in np.flatnonzero(~joins).tolist()], add_special_tokens=False)):
@@ -246,20 +256,22 @@ def tokenizer(path: str) -> tuple[ChunkCache, int]:
             n += len(runs[-1])
         together = np.flatnonzero(joins)
         for part in np.array_split(together, max(len(together) // 20_000, 1)):
-            some = [chunks[i] for i in part.tolist()]
+            some = [chunks[i] if chunks[i][0] == 0x20 else before_mark + chunks[i] for i in part.tolist()]
             if not some:
                 continue
             text = b"".join(some).decode("utf-8", "replace")
             ids = np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             upto = np.concatenate([[0], np.cumsum(widths[ids])])
-            cut = np.searchsorted(upto, np.concatenate([[0], np.cumsum([len(c) for c in some])]))
-            begin[part], sizes[part] = n + cut[:-1], np.diff(cut)
+            ends = np.cumsum([len(c) for c in some])
+            starts = ends - [len(chunks[i]) for i in part.tolist()]
+            cut = np.searchsorted(upto, starts)
+            begin[part], sizes[part] = n + cut, np.searchsorted(upto, ends) - cut
             runs.append(ids)
             n += len(ids)
         # Runs of ids stand in the order they were made in; chunks are given in theirs.
         return np.concatenate(runs)[spread(begin, sizes)], sizes
 
-    return ChunkCache(encode), size
+    return ChunkCache(encode, marks), size
 
 
 FILES = "part int, number int, file string, n_docs bigint, n_tokens bigint"

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter
 
@@ -268,6 +269,29 @@ def test_encoded_chunks_stand_in_their_order():
     assert values.tolist() == [i for e in expected for i in e]
 
 
+def test_words_are_encoded_once_whatever_mark_follows():
+    texts = ["one two. one two, one two! one two", ". two?", "a.<|endoftext|>.b a<|endoftext|>", "x'll.y's;z. é.é", "two.\n\nTwo. .,two  ,"]
+    cache, _ = repair.tokenizer(BPE)
+    cache.clear()
+    data, offsets = flat_of(texts)
+    values, begin = cache.lookup(data, offsets)
+    own = Tokenizer.from_file(BPE)
+    for text, a, b in zip(texts, begin[:-1], begin[1:]):
+        assert values[a:b].tolist() == own.encode(text, add_special_tokens=False).ids
+    cache.clear()
+    cache.lookup(*flat_of(texts[:1]))
+    assert cache.entries == len(["one", " two", ".", " one", ",", "!"])
+
+
+def test_vocabularies_with_other_words_have_no_marks(tmp_path):
+    """A begin that gets a blank differs from the same inside a text, so chunks begin at blanks only."""
+    other = json.load(open(BPE))
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    assert repair.tokenizer(str(path))[0].marks == b"" and repair.tokenizer(BPE)[0].marks == repair.MARKS.encode()
+
+
 def test_lattices_are_filtered_in_parts(vocabulary, monkeypatch):
     """New chunks are filtered some bytes at a time, and draws are those of all at once."""
     rng = np.random.default_rng(8)
